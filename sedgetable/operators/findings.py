@@ -261,36 +261,44 @@ def swapped_coordinates(df: DataFrame, latitude: str, longitude: str) -> DataFra
     return _record_finding(points, "coordinates may be swapped")
 
 
-def upper_median(df: DataFrame, column: str) -> Column:
-    """Scalar: element ``floor(n/2)`` of the sorted numbers, exact, without a global sort.
+def upper_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Element ``floor(n/2)`` of the sorted numbers of each column, exact and without a global sort.
 
-    The rank is narrowed in decimal steps; each step groups the remaining numbers
-    into at most a few thousand buckets, so only bucket counts meet in one task.
+    All columns are narrowed together in decimal steps. A step counts the
+    remaining numbers in a bounded number of buckets per column, picks the
+    bucket that holds the rank, and hands one row per column to the driver.
     """
-    window = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def locate(level: DataFrame, rank: Column) -> Column:
-        counted = level.groupBy("b").agg(F.count("*").alias("n"))
-        upto = counted.withColumn("upto", F.sum("n").over(window)).withColumn("rank", rank)
-        hit = upto.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-        return hit.select(F.struct("b", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("left")).alias("s")).scalar()
-
-    rest = df.select(F.col(column).alias("v"))
-    rank = rest.agg(F.floor(F.count("*") / 2).cast("long").alias("r")).scalar()
-    for step in (10.0, 10_000.0, 10_000_000.0):
-        level = rest.withColumn("b", F.floor(F.col("v") * step).cast("double"))
-        found = locate(level, rank)
-        rest, rank = level.filter(F.col("b") == found.getField("b")).select("v"), found.getField("left")
-    return locate(rest.select(F.col("v").alias("b")), rank).getField("b")
+    axis = Window.partitionBy("axis")
+    running = axis.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbers = df.unpivot([], list(columns), "axis", "v")
+    rank: dict[str, int] = {}
+    found: dict[str, float] = {}
+
+    def per_axis(values: dict) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("axis")]
+
+    for step in (1_000.0, 10_000_000.0, None):
+        bucket = F.col("v") if step is None else F.floor(F.col("v") * step).cast("double")
+        counted = numbers.groupBy("axis", bucket.alias("b")).agg(F.count("*").alias("n"))
+        wanted = per_axis(rank) if rank else F.floor(F.sum("n").over(axis) / 2).cast("long")
+        upto = counted.withColumn("rank", wanted).withColumn("upto", F.sum("n").over(running))
+        hits = upto.filter("upto > rank and upto - n <= rank").select("axis", "b", (F.col("rank") - F.col("upto") + F.col("n")).alias("left")).collect()
+        if not hits:
+            return {}
+        found, rank = {h["axis"]: h["b"] for h in hits}, {h["axis"]: h["left"] for h in hits}
+        if step is not None:
+            numbers = numbers.filter(F.floor(F.col("v") * step).cast("double") == per_axis(found))
+    return found
 
 
 def geographic_outliers(df: DataFrame, latitude: str, longitude: str, degrees: float = 10.0, least: int = 5) -> DataFrame:
     """In-range points more than ``degrees`` from the upper-median latitude or longitude."""
     points = _points(df, latitude, longitude).filter("abs(lat) <= 90 and abs(lon) <= 180")
-    middle_lat, middle_lon = upper_median(points, "lat"), upper_median(points, "lon")
-    enough = points.agg(F.count("*").alias("n")).scalar() >= least
-    far = (F.abs(F.col("lat") - middle_lat) > degrees) | (F.abs(F.col("lon") - middle_lon) > degrees)
-    return _record_finding(points.filter(enough & far), "geographic outlier candidates")
+    middle = upper_medians(points, ["lat", "lon"])
+    if not middle or points.limit(least).count() < least:
+        return _record_finding(points.filter(F.lit(False)), "geographic outlier candidates")
+    far = (F.abs(F.col("lat") - middle["lat"]) > degrees) | (F.abs(F.col("lon") - middle["lon"]) > degrees)
+    return _record_finding(points.filter(far), "geographic outlier candidates")
 
 
 def repeated_identifiers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
