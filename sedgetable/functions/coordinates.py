@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from sedgetable.functions.numbers import decimal_or_null
-from sedgetable.functions.text import number_text, number_text_15, trim_space
+from sedgetable.functions.text import bind, number_text, number_text_15, trim_space
 
 # Accepted degree text, sphere radius and square extent in metres.
 _DMS = (
@@ -22,22 +22,31 @@ def degrees_or_null(c: Column, axis: str) -> Column:
     """Decimal degrees text with at most eight decimals; blank stays blank, null means refused."""
     if axis not in ("latitude", "longitude"):
         raise ValueError("axis is latitude or longitude")
-    v = trim_space(c)
-    number = lambda i: F.coalesce(F.regexp_extract(v, _DMS, i).try_cast("double"), F.lit(0.0))
-    degrees, minutes, seconds = number(1), number(2), number(3)
-    hemisphere = F.upper(F.regexp_extract(v, _DMS, 4))
+    number = lambda v, i: F.coalesce(F.regexp_extract(v, _DMS, i).try_cast("double"), F.lit(0.0))
     letters = ("N", "S") if axis == "latitude" else ("E", "W")
-    negative = hemisphere.isin("S", "W") | (degrees < 0)
-    total = F.when(negative, -1.0).otherwise(1.0) * (F.abs(degrees) + minutes / 60 + seconds / 3600)
-    ok = (
-        v.rlike(_DMS)
-        & (minutes < 60)
-        & (seconds < 60)
-        & ((hemisphere == "") | hemisphere.isin(*letters))
-        & ~((degrees < 0) & hemisphere.isin("N", "E"))
-        & (F.abs(total) <= (90 if axis == "latitude" else 180))
-    )
-    return F.when(v == "", F.lit("")).when(ok, number_text(F.round(total, 8)))
+
+    def total(p: Column) -> Column:
+        negative = p["hemisphere"].isin("S", "W") | (p["degrees"] < 0)
+        value = F.when(negative, -1.0).otherwise(1.0) * (F.abs(p["degrees"]) + p["minutes"] / 60 + p["seconds"] / 3600)
+        ok = (
+            (p["minutes"] < 60)
+            & (p["seconds"] < 60)
+            & ((p["hemisphere"] == "") | p["hemisphere"].isin(*letters))
+            & ~((p["degrees"] < 0) & p["hemisphere"].isin("N", "E"))
+        )
+        return F.when(ok, value)
+
+    def read(v: Column) -> Column:
+        parts = F.struct(
+            number(v, 1).alias("degrees"),
+            number(v, 2).alias("minutes"),
+            number(v, 3).alias("seconds"),
+            F.upper(F.regexp_extract(v, _DMS, 4)).alias("hemisphere"),
+        )
+        within = lambda n: F.when(F.abs(n) <= (90 if axis == "latitude" else 180), number_text(F.round(n, 8)))
+        return F.when(v == "", F.lit("")).when(v.rlike(_DMS), bind(bind(parts, total), within))
+
+    return bind(trim_space(c), read)
 
 
 def inverse_mercator(easting: Column, northing: Column) -> tuple[Column, Column]:

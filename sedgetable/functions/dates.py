@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from sedgetable.functions.text import bind
+
 # Reviewed date formats, month names and day-serial limits.
 DATE_FORMATS = ("ISO", "DMY", "MDY", "english-day-month", "english-month-day", "year", "month", "excel1900", "excel1904")
 STRICT_FORMATS = ("ISO", "year", "month", "excel1900", "excel1904", "DMY", "MDY")
@@ -21,26 +23,33 @@ def days_in_month(year: Column, month: Column) -> Column:
     return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
-def iso_or_null(year: Column, month: Column, day: Column) -> Column:
-    """``yyyy-mm-dd`` when the day exists in the proleptic Gregorian calendar, else null."""
+def _existing_day(p: Column) -> Column:
+    year, month, day = p["y"], p["m"], p["d"]
     exists = year.between(0, 9999) & month.between(1, 12) & (day >= 1) & (day <= days_in_month(year, month))
     pad = lambda n, size: F.lpad(n.cast("string"), size, "0")
     return F.when(exists, F.concat_ws("-", pad(year, 4), pad(month, 2), pad(day, 2)))
 
 
+def iso_or_null(year: Column, month: Column, day: Column) -> Column:
+    """``yyyy-mm-dd`` when the day exists in the proleptic Gregorian calendar, else null."""
+    return bind(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), _existing_day)
+
+
 def is_iso_day(c: Column) -> Column:
-    p = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
-    return F.coalesce(iso_or_null(_part(c, p, 1), _part(c, p, 2), _part(c, p, 3)).isNotNull(), F.lit(False))
+    part = lambda start, size: F.substring(c, start, size).try_cast("int")
+    return c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & iso_or_null(part(1, 4), part(6, 2), part(9, 2)).isNotNull()
 
 
 def _serial(c: Column, base: str, phantom: bool, pattern: str) -> Column:
     n = F.when(c.rlike(pattern), F.regexp_extract(c, "^([0-9]+)", 1).try_cast("long"))
-    shift = F.when(n > PHANTOM_SERIAL, n - 1).otherwise(n) if phantom else n
-    ok = n.between(0, LAST_SERIAL)
-    if phantom:
-        ok = ok & (n != PHANTOM_SERIAL)
-    day = F.date_add(F.lit(base).cast("date"), F.when(ok, shift).cast("int"))
-    return F.when(ok & (F.year(day) <= 9999), F.date_format(day, "yyyy-MM-dd"))
+
+    def day_of(n: Column) -> Column:
+        shift = F.when(n > PHANTOM_SERIAL, n - 1).otherwise(n) if phantom else n
+        day = F.when(n.between(0, LAST_SERIAL), F.date_add(F.lit(base).cast("date"), shift.cast("int")))
+        keep = F.year(day) <= 9999
+        return F.when(keep & (n != PHANTOM_SERIAL) if phantom else keep, F.date_format(day, "yyyy-MM-dd"))
+
+    return bind(n, day_of)
 
 
 def strict_date(c: Column, fmt: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The two whitespace sets of the data model. Project tables drop
@@ -49,13 +51,22 @@ def numeric_sort_key(c: Column) -> Column:
     return F.transform(runs, keyed)
 
 
-def _plain_number(sign: Column, digits: Column, exponent: Column) -> Column:
-    """Write significant digits with a decimal exponent the way scripts print numbers."""
-    digits = F.rtrim(digits, F.lit("0"))
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``build``.
+
+    Without it a nested expression is copied at every use and its plan grows
+    beyond what can be compiled.
+    """
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def _plain_number(parts: Column) -> Column:
+    """Write sign, significant digits and decimal exponent the way scripts print numbers."""
+    sign, digits, exponent = parts["sign"], parts["digits"], parts["exponent"]
     size = F.length(digits)
-    whole = F.concat(digits, F.repeat(F.lit("0"), F.greatest(exponent + 1 - size, F.lit(0))))
+    whole = F.concat(digits, F.repeat(F.lit("0"), exponent + 1 - size))
     mixed = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, size))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     rest = F.substring(digits, F.lit(2), size)
     science = F.concat(
         F.substring(digits, 1, 1),
@@ -66,29 +77,32 @@ def _plain_number(sign: Column, digits: Column, exponent: Column) -> Column:
     body = (
         F.when(exponent.between(0, 20) & (size <= exponent + 1), whole)
         .when(exponent.between(0, 20), mixed)
-        .when(exponent.between(-7 + 1, -1), small)
+        .when(exponent.between(-6, -1), small)
         .otherwise(science)
     )
     return F.concat(sign, body)
 
 
+def _scientific(text: Column, mark: str) -> Column:
+    """Sign, digits without trailing zeros and exponent of a ``d.ddde±x`` text."""
+    return F.struct(
+        F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+        F.rtrim(F.translate(F.substring_index(text, mark, 1), "-.", ""), F.lit("0")).alias("digits"),
+        F.substring_index(text, mark, -1).try_cast("int").alias("exponent"),
+    )
+
+
 def number_text(c: Column) -> Column:
     """Shortest text of a double: ``1`` and ``0.0001``, not ``1.0`` and ``1.0E-4``."""
-    text = c.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    return (
-        F.when(c == 0, F.lit("0"))
-        .when(text.contains("E"), _plain_number(sign, mantissa, exponent))
-        .otherwise(F.regexp_replace(text, "\\.0$", ""))
+    return bind(
+        c.cast("string"),
+        lambda text: F.when(text.isin("0.0", "-0.0"), F.lit("0"))
+        .when(text.contains("E"), bind(_scientific(text, "E"), _plain_number))
+        .otherwise(F.regexp_replace(text, "\\.0$", "")),
     )
 
 
 def number_text_15(c: Column) -> Column:
     """Text of a double after rounding to 15 significant digits."""
     shown = F.format_string("%.14e", c)
-    sign = F.when(shown.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.substring_index(shown, "e", 1), "[-.]", "")
-    exponent = F.substring_index(shown, "e", -1).try_cast("int")
-    return F.when(c == 0, F.lit("0")).otherwise(_plain_number(sign, mantissa, exponent))
+    return bind(F.when(c.isNotNull(), shown), lambda text: bind(_scientific(text, "e"), lambda p: F.when(p["digits"] == "", F.lit("0")).otherwise(_plain_number(p))))

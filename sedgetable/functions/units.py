@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sedgetable.functions.numbers import decimal_or_null
-from sedgetable.functions.text import number_text_15
+from sedgetable.functions.text import bind, number_text_15
 
 # The units of each dimension with their factor to its base unit.
 FACTORS = {
@@ -34,10 +34,10 @@ def convert_unit(value: Column, source: Column, target: str) -> Column:
         raise ValueError(f"unknown unit: {target}")
     n = decimal_or_null(value)
     if target in TEMPERATURES:
-        converted = _from_celsius(_to_celsius(n, source), target)
+        converted = bind(n, lambda x: _from_celsius(_to_celsius(x, source), target))
     else:
         units = FACTORS[DIMENSION[target]]
         table = F.create_map(*[F.lit(x) for unit, factor in units.items() for x in (unit, factor)])
         converted = n * F.try_element_at(table, source) / units[target]
     converted = F.when(source == target, n).otherwise(converted)
-    return F.when(F.abs(converted) < F.lit(float("inf")), number_text_15(converted))
+    return bind(converted, lambda x: F.when(F.abs(x) < F.lit(float("inf")), number_text_15(x)))

@@ -71,7 +71,8 @@ def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimi
     if head is None:
         raise TableError("choose a header row within the table")
     body = numbered.filter(F.col(SRC) > header_row)
-    widest = max(body.agg(F.max(WIDTH)).first()[0] or 0, head[WIDTH])
+    # The count keeps a data column in the scan, which raw text alone may not be read without.
+    widest = max(body.agg(F.max(WIDTH), F.count("c0")).first()[0] or 0, head[WIDTH])
     if widest > MOST_COLUMNS:
         raise TableError(f"the table has more than {MOST_COLUMNS} columns")
     names = unique_headers([head[f"c{i}"] or "" for i in range(head[WIDTH])], strip=False, width=widest)
