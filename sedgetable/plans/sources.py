@@ -153,7 +153,7 @@ def _xml(s, d):
     rows = load(s, d, CUSTOMER)
     record = F.concat(F.lit('<record id="'), "custkey", F.lit('"><name>'), "name", F.lit("</name><segment>"), "segment", F.lit("</segment></record>"))
     docs = rows.groupBy(F.col("nationkey").alias("doc")).agg(F.concat(F.lit("<records>\n"), F.array_join(F.array_sort(F.collect_list(record)), "\n"), F.lit("\n</records>")).alias("value"))
-    return xml_scan(s, _documents(docs, s), "record").drop("__source_record", "doc")
+    return xml_scan(s, _documents(docs, s), "record").drop("__source_record")
 
 
 def _dbase(s, d):

@@ -1,14 +1,19 @@
-"""Strict and lenient delimited scans."""
+"""Strict and lenient delimited scans.
+
+``multi_line=True`` reads quoted line breaks and takes a file per task.
+``multi_line=False`` is for files whose records are single lines: Spark splits
+them freely, and every line is checked as recorded.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sedgetable.core import SRC, TableError, WIDTH
 from sedgetable.sources.headers import MOST_COLUMNS, unique_headers
-from sedgetable.sources.numbering import BLOCK, FILE, number_records, with_position
+from sedgetable.sources.numbering import BLOCK, FILE, LINE, number_records, with_position
 
 DELIMITERS = (",", ";", "\t", "|")
 # Encoding labels and the charset that reads them.
@@ -16,57 +21,115 @@ CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252"
 RAW = "__raw"
 
 
-def _reader(spark: SparkSession, encoding: str, delimiter: str, multi_line: bool):
+def check_format(spark: SparkSession, encoding: str, delimiter: str = ",") -> None:
     if encoding not in CHARSETS or delimiter not in DELIMITERS:
         raise TableError("unsupported encoding or delimiter")
     if encoding == "cp1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Decoded lines with their position. UTF-16 files are decoded whole, others split by bytes."""
+    check_format(spark, encoding)
+    if encoding == "utf-16":
+        whole = spark.read.format("binaryFile").load(path)
+        text = F.regexp_replace(F.decode("content", "UTF-16"), "(\r\n|\r|\n)\\z", "")
+        lines = whole.select(F.col("path").alias(FILE), F.lit(0).cast("long").alias(BLOCK), F.posexplode(F.split(text, "\r\n|\r|\n", -1)).alias("__at", "value"))
+        return lines.withColumn("__at", F.col("__at").cast("long"))
+    lines = with_position(spark.read.text(path))
+    if encoding not in ("utf-8", "utf-8-sig"):
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), CHARSETS[encoding]))
+    return lines
+
+
+def _reader(spark: SparkSession, encoding: str, delimiter: str):
+    check_format(spark, encoding, delimiter)
     return spark.read.options(
-        sep=delimiter, quote='"', escape='"', encoding=CHARSETS[encoding], multiLine=multi_line, header=False,
+        sep=delimiter, quote='"', escape='"', encoding=CHARSETS[encoding], multiLine=True, header=False,
         mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, maxCharsPerColumn=-1,
     ).format("csv")
 
 
-def _schema(width: int) -> T.StructType:
+def _schema(width: int, raw: bool = True) -> T.StructType:
     cells = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
-    return T.StructType([*cells, T.StructField(RAW, T.StringType())])
+    return T.StructType([*cells, T.StructField(RAW, T.StringType())] if raw else cells)
 
 
-def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """Quoted delimited files with one header; any record of another width fails the whole load.
+def record_width(raw: Column, delimiter: str) -> Column:
+    """Fields of a raw record: separators outside quotes plus one; a blank line has none."""
+    outside = F.regexp_replace(raw, '"(?:[^"]|"")*"', "q")
+    return F.when(raw == "", 0).otherwise(F.regexp_count(outside, F.lit(re.escape(delimiter))) + 1)
 
-    ``multi_line=False`` lets Spark split large files; use it when no cell holds
-    a line break.
-    """
-    head = _reader(spark, encoding, delimiter, multi_line).load(path).first()
-    if head is None:
-        raise TableError("the source is empty")
-    header = ["" if v is None else v for v in head]
-    names = unique_headers(header)
-    bad = strict_rejects(spark, path, len(names), encoding, delimiter, multi_line).orderBy(FILE, BLOCK).first()
-    if bad is not None:
-        raise TableError(f"a record has another width than the header: {bad[RAW][:200]!r}")
-    rows = _reader(spark, encoding, delimiter, multi_line).schema(_schema(len(names))).option("header", True).load(path)
-    numbered = number_records(with_position(rows))
-    return numbered.select(SRC, *[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
+def _single_lines(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
+    """Numbered lines with their raw text; a byte-order mark is taken off the first line of a file."""
+    check_format(spark, encoding, delimiter)
+    numbered = number_records(text_lines(spark, path, encoding))
+    text = F.when(F.col(LINE) == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
+    return numbered.withColumn(RAW, text).drop("value")
 
-def strict_rejects(spark: SparkSession, path: str, width: int, encoding: str = "utf-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """Raw text of the records whose width differs from the header."""
-    rows = _reader(spark, encoding, delimiter, multi_line).schema(_schema(width)).option("header", True).load(path)
-    return rows.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK), RAW, "c0").filter(F.col(RAW).isNotNull())
 
+def _parsed(lines: DataFrame, width: int, delimiter: str) -> DataFrame:
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    return lines.withColumn("__cells", F.from_csv(RAW, _schema(width, raw=False).simpleString()[7:-1].replace(":", " "), options)).select("*", "__cells.*").drop("__cells")
 
-def _width(raw, delimiter: str):
-    outside = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
-    return F.regexp_count(outside, F.lit(re.escape(delimiter))) + 1
+
+def _multi_line_problems(spark: SparkSession, path: str, width: int, encoding: str, delimiter: str) -> DataFrame:
+    rows = _reader(spark, encoding, delimiter).schema(_schema(width)).option("header", True).load(path)
+    wide = rows.select(F.col("_metadata.file_path").alias(FILE), F.col(RAW), "c0").filter(F.col(RAW).isNotNull())
+    # Raw text may not be read without a data column, so the sample touches one.
+    sample = F.concat(F.substring(RAW, 1, 200), F.coalesce(F.substring("c0", 1, 0), F.lit("")))
+    out = wide.select(FILE, F.lit("a record has another width than the header").alias("reason"), sample.alias("sample"))
+    if encoding in ("utf-8", "utf-8-sig"):
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), "value")
+        per_file = text.groupBy(FILE).agg(F.max(~F.is_valid_utf8("value")).alias("bad"), (F.sum(F.regexp_count("value", F.lit('"'))) % 2).alias("open"))
+        reason = F.when(F.col("bad"), "bytes are not valid in this encoding").when(F.col("open") == 1, "a quoted value is never closed")
+        out = out.unionByName(per_file.select(FILE, reason.alias("reason"), F.lit("").alias("sample")).filter("reason is not null"))
+    return out
+
+
+def _single_line_problems(lines: DataFrame, width: int, delimiter: str) -> DataFrame:
+    reason = (
+        F.when(~F.is_valid_utf8(RAW), "bytes are not valid in this encoding")
+        .when(F.regexp_count(RAW, F.lit('"')) % 2 == 1, "a quoted value is never closed")
+        .when(record_width(F.col(RAW), delimiter) != width, "a record has another width than the header")
+    )
+    return lines.select(FILE, reason.alias("reason"), F.substring(RAW, 1, 200).alias("sample")).filter("reason is not null")
+
+
+def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+    """Quoted delimited files with one header; any record of another width fails the whole load."""
+    if multi_line:
+        first = _reader(spark, encoding, delimiter).load(path).first()
+        header = None if first is None else ["" if v is None else v for v in first]
+    else:
+        lines = _single_lines(spark, path, encoding, delimiter)
+        first = _parsed(lines.filter(F.col(SRC) == 1), MOST_COLUMNS + 1, delimiter).withColumn("__w", record_width(F.col(RAW), delimiter)).first()
+        header = None if first is None else [first[f"c{i}"] or "" for i in range(min(first["__w"], MOST_COLUMNS + 1))]
+    if not header:
+        raise TableError("the source is empty")
+    names = unique_headers(header)
+    problems = _multi_line_problems(spark, path, len(names), encoding, delimiter) if multi_line else _single_line_problems(lines, len(names), delimiter)
+    bad = problems.first()
+    if bad is not None:
+        raise TableError(f"{bad['reason']}: {bad['sample']!r}")
+    if multi_line:
+        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(len(names))).option("header", True).load(path)))
+        number = F.col(SRC)
+    else:
+        rows = _parsed(lines.filter(F.col(LINE) > 1), len(names), delimiter)
+        number = F.col(SRC) - F.col("__files_before") - 1
+    return rows.select(number.alias(SRC), *[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", header_row: int = 1, multi_line: bool = True) -> DataFrame:
     """Ragged delimited file: short rows are padded, extra columns are kept, every row records its own width."""
-    wide = MOST_COLUMNS + 1
-    rows = _reader(spark, encoding, delimiter, multi_line).schema(_schema(wide)).load(path)
-    numbered = number_records(with_position(rows)).withColumn(WIDTH, _width(F.col(RAW), delimiter))
+    if multi_line:
+        # One column more than any table has: every record is then reported with its raw text.
+        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(MOST_COLUMNS + 1)).load(path)))
+    else:
+        rows = _parsed(_single_lines(spark, path, encoding, delimiter), MOST_COLUMNS + 1, delimiter)
+    numbered = rows.withColumn(WIDTH, record_width(F.col(RAW), delimiter))
     head = numbered.filter(F.col(SRC) == header_row).first()
     if head is None:
         raise TableError("choose a header row within the table")

@@ -8,9 +8,9 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sedgetable.core import SRC, TableError
-from sedgetable.sources.delimited import CHARSETS
+from sedgetable.sources.delimited import CHARSETS, text_lines
 from sedgetable.sources.headers import unique_headers
-from sedgetable.sources.numbering import number_records, with_position
+from sedgetable.sources.numbering import LINE, number_records
 
 
 def fixed_width_scan(spark: SparkSession, path: str, widths: Sequence[int], encoding: str = "utf-8", header_row: int = 1) -> DataFrame:
@@ -22,10 +22,11 @@ def fixed_width_scan(spark: SparkSession, path: str, widths: Sequence[int], enco
         raise TableError("choose 1 to 250 positive widths with a total of at most 65,536")
     if encoding not in CHARSETS or not 0 <= header_row <= 1000:
         raise TableError("choose a known encoding and a header row of at most 1000")
-    if encoding == "cp1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    lines = spark.read.format("text").option("encoding", CHARSETS[encoding]).load(path)
-    numbered = number_records(with_position(lines)).filter(F.col(SRC) >= header_row)
+    lines = number_records(text_lines(spark, path, encoding))
+    marked = F.when(F.col(LINE) == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    numbered = lines.withColumn("value", marked).filter(F.col(SRC) >= header_row)
+    if numbered.filter(F.contains("value", F.lit("\x00"))).limit(1).count():
+        raise TableError("the text contains NUL characters; review its encoding")
     if numbered.filter(F.length("value") != sum(widths)).limit(1).count():
         raise TableError("a line has another length than the reviewed widths")
     starts = [1, *[1 + e for e in accumulate(widths)][:-1]]

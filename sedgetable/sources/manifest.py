@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sedgetable.core import SRC
 from sedgetable.sources.delimited import DELIMITERS, RAW, _reader, _schema
 from sedgetable.sources.headers import unique_headers
-from sedgetable.sources.numbering import FILE, number_records, with_position
+from sedgetable.sources.numbering import FILE, LINE, number_records, with_position
 
 
 def _relative(path: Column, folder: str) -> Column:
@@ -100,21 +100,21 @@ def load_with_quarantine(spark: SparkSession, folder: str, header: list[str], de
     """
     manifest = source_manifest(spark, folder).select("file", "sha256", "bytes")
     names = unique_headers(header)
-    reader = _reader(spark, "utf-8", delimiter, True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    reader = _reader(spark, "utf-8", delimiter).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
     rows = with_position(reader.schema(_schema(len(names))).load(folder))
     rows = rows.withColumn("file", _relative(F.col(FILE), folder))
-    numbered = number_records(rows, per_file=True)
+    numbered = number_records(rows)
     first_ok = F.lit(True)
     for i, name in enumerate(header):
         first_ok = first_ok & F.coalesce(F.col(f"c{i}") == name, F.lit(name == ""))
     reason = (
-        F.when(F.max(F.when(F.col(SRC) == 1, ~first_ok)), "header differs")
+        F.when(F.max(F.when(F.col(LINE) == 1, ~first_ok)), "header differs")
         .when(F.max(F.col(RAW).isNotNull()), "a record has another width than the header")
     )
     verdict = numbered.groupBy("file").agg(reason.alias("reason"), F.count("*").alias("lines"))
     other = F.when(~F.col("file").endswith(suffix), "no tabular adapter for this suffix").when(F.col("lines").isNull(), "the source is empty")
     full = manifest.join(verdict, "file", "left").withColumn("reason", F.coalesce("reason", other)).drop("lines")
     good = full.filter("reason is null").select("file")
-    table = numbered.join(good, "file", "left_semi").filter(F.col(SRC) > 1)
+    table = numbered.join(good, "file", "left_semi").filter(F.col(LINE) > 1)
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    return table.select("file", (F.col(SRC) - 1).alias(SRC), *cells), full
+    return table.select("file", (F.col(LINE) - 1).alias(SRC), *cells), full

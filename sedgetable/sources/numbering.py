@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sedgetable.core import SRC, TableError, WIDTH
 
-FILE, BLOCK = "__file", "__block"
+FILE, BLOCK, LINE = "__file", "__block", "__line"
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -19,21 +19,23 @@ def with_position(df: DataFrame) -> DataFrame:
     )
 
 
-def number_records(df: DataFrame, per_file: bool = False) -> DataFrame:
+def number_records(df: DataFrame) -> DataFrame:
     """Contiguous 1-based ``__source_record`` in file and line order.
 
     ``df`` comes from :func:`with_position`. A split is read by one task from top
     to bottom, so a row's place is its offset in the split plus the rows of the
     splits before it. Only one row per split meets in the running sum, and the
-    table itself is not shuffled.
+    table itself is not shuffled. ``__line`` counts within the file and
+    ``__files_before`` counts the files that come first.
     """
     blocks = df.groupBy(FILE, BLOCK).agg(F.count("*").alias("n"), F.min("__at").alias("__first_at"))
-    order = Window.partitionBy(FILE).orderBy(BLOCK) if per_file else Window.orderBy(FILE, BLOCK)
+    order = Window.orderBy(FILE, BLOCK)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select(FILE, BLOCK, "__first_at", before.alias("__before"))
+    placed = blocks.select(FILE, BLOCK, "__first_at", before.alias("__before"), (F.dense_rank().over(Window.orderBy(FILE)) - 1).alias("__files_before"))
+    offsets = placed.withColumn("__file_start", F.min("__before").over(Window.partitionBy(FILE)))
     out = df.join(F.broadcast(offsets), [FILE, BLOCK])  # one row per file split
     number = F.col("__before") + F.col("__at") - F.col("__first_at") + 1
-    return out.withColumn(SRC, number).drop("__at", "__first_at", "__before")
+    return out.withColumn(SRC, number).withColumn(LINE, F.col(SRC) - F.col("__file_start")).drop("__at", "__first_at", "__before", "__file_start")
 
 
 def number_frame(df: DataFrame, order: list[str]) -> DataFrame:

@@ -85,7 +85,7 @@ def xml_scan(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Flat record elements: children and ``@attributes`` become columns; nested or repeated children fail."""
     rows = (
         spark.read.format("xml")
-        .options(rowTag=record, inferSchema=False, attributePrefix="@", valueTag="#text", ignoreSurroundingSpaces=False, mode="FAILFAST")
+        .options(rowTag=record, inferSchema=False, attributePrefix="@", valueTag="#text", ignoreSurroundingSpaces=False, mode="FAILFAST", recursiveFileLookup=True)
         .load(path)
     )
     nested = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.StringType)]
