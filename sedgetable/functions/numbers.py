@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sedgetable.functions.text import PROJECT_SPACE, RECORD_SPACE, trim_space
+from sedgetable.functions.text import PROJECT_SPACE, RECORD_SPACE, bind, trim_space
 
 # Accepted spellings of numbers, one per grammar.
 INTEGER = r"^[+-]?[0-9]+\z"
@@ -29,29 +29,33 @@ def integer_or_null(c: Column) -> Column:
 
 def script_number_or_null(c: Column) -> Column:
     """Loose coordinate grammar: outer space ignored; hexadecimal, octal and binary accepted."""
-    v = trim_space(c, PROJECT_SPACE)
+    return bind(trim_space(c, PROJECT_SPACE), trimmed_script_number)
+
+
+def trimmed_script_number(v: Column) -> Column:
+    """The loose coordinate grammar on text without outer space."""
     radix = F.when(v.rlike("^0[xX][0-9a-fA-F]{1,15}\\z"), F.conv(F.substring(v, 3, 15), 16, 10))
     radix = radix.when(v.rlike("^0[oO][0-7]{1,15}\\z"), F.conv(F.substring(v, 3, 15), 8, 10))
     radix = radix.when(v.rlike("^0[bB][01]{1,50}\\z"), F.conv(F.substring(v, 3, 50), 2, 10))
-    return F.when(v.rlike(DECIMAL), _finite(v.try_cast("double"))).otherwise(radix.try_cast("double"))
+    prefixed = F.when(v.startswith("0") & (F.octet_length(v) > 2), radix.try_cast("double"))
+    return F.when(v.rlike(DECIMAL), _finite(v.try_cast("double"))).otherwise(prefixed)
 
 
 def record_number_or_null(c: Column) -> Column:
     """Import-profile grammar: outer space ignored and single underscores between digits."""
-    v = trim_space(c, RECORD_SPACE)
-    return F.when(v.rlike(PYTHON_FLOAT), _finite(F.replace(v, F.lit("_"), F.lit("")).try_cast("double")))
+    return bind(trim_space(c, RECORD_SPACE), lambda v: F.when(v.rlike(PYTHON_FLOAT), _finite(F.replace(v, F.lit("_"), F.lit("")).try_cast("double"))))
 
 
 def type_class(c: Column) -> Column:
     """empty, integer, number, date-like, boolean or text."""
-    v = trim_space(c)
-    return (
-        F.when(v == "", "empty")
+    return bind(
+        trim_space(c),
+        lambda v: F.when(v == "", "empty")
         .when(v.rlike(INTEGER), "integer")
         .when(v.rlike(DECIMAL), "number")
         .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[^\n\r]*)?\z"), "date-like")
         .when(v.rlike("(?i)^(true|false)\\z"), "boolean")
-        .otherwise("text")
+        .otherwise("text"),
     )
 
 

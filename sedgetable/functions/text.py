@@ -18,13 +18,20 @@ RECORD_SPACE = _COMMON_SPACE + "\x1c\x1d\x1e\x1f\x85"
 
 
 def trim_space(c: Column, space: str = PROJECT_SPACE) -> Column:
-    return F.btrim(c, F.lit(space))
+    """Drop outer whitespace. Text that starts and ends in printable ASCII skips the set search."""
+    last = F.right(c, F.lit(1))
+    plain = (c >= "!") & (c < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(space)))
 
 
 def is_blank(c: Column, space: str = PROJECT_SPACE) -> Column:
     return trim_space(c, space) == ""
 
 
+def starts_with_digit(c: Column) -> Column:
+    return (c >= "0") & (c < ":")
+
+
 def contains_folded(c: Column, text: str) -> Column:
     """Literal, case-insensitive substring; ``%``, ``_`` and ``\\`` are ordinary."""
     return F.contains(F.lower(c), F.lower(F.lit(text)))

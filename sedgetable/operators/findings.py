@@ -12,21 +12,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sedgetable.core import SRC, WIDTH, Field, data_columns, default_fields, require, unpivot_cells
-from sedgetable.functions.dates import is_iso_day
-from sedgetable.functions.numbers import fits_declared_type, script_number_or_null
-from sedgetable.functions.text import folded_name, folded_name_column, is_blank, trim_space
+from sedgetable.core import SRC, WIDTH, Field, data_columns, default_fields, explode_marks, require, unpivot_cells
+from sedgetable.functions.dates import is_iso_day, reviewed_date
+from sedgetable.functions.numbers import decimal_or_null, fits_declared_type, script_number_or_null, trimmed_script_number
+from sedgetable.functions.text import folded_name, folded_name_column, is_blank, starts_with_digit, trim_space
 from sedgetable.operators.profiles import TYPE_CLASSES
 from sedgetable.scale import non_first, salted_join, top_rows
 
 # Marker sets, value shapes and field-name patterns of the rules.
-MISSING_TOKENS = r"(?i)^(NA|N/A|NULL|NONE|-9999|\?)\z"
-SENTINELS = r"(?i)^(NA|N/A|NULL|NONE|\.|-|\?|-999|-9999|9999)\z"
-SUGGESTED_SENTINELS = r"(?i)^(NA|N/A|NULL|\.|-|-9{1,6}|999|9999)\z"
+MISSING_TOKENS = ("NA", "N/A", "NULL", "NONE", "-9999", "?")
+SENTINELS = ("NA", "N/A", "NULL", "NONE", ".", "-", "?", "-999", "-9999", "9999")
+SUGGESTED_SENTINELS = ("NA", "N/A", "NULL", ".", "-", "-9", "-99", "-999", "-9999", "-99999", "-999999", "999", "9999")
 NUMERIC_DATE = r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\z"
 SLASH_DATE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})\z"
 ENCODING_DAMAGE = "�|Ã.|Â."
-FORMULA_START = r"^[=+@]"
+FORMULA_START = ("=", "+", "@")
 SIGNED_NUMBER = r"^-[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?\z"
 PARTIAL_DATE = r"^[0-9]{4}\z|^[0-9]{4}-[0-9]{2}\z|^[0-9]{1,2}/[0-9]{4}\z"
 SERIAL = r"^[0-9]+(\.[0-9]+)?\z"
@@ -89,32 +89,44 @@ def _named(pattern: str) -> Callable[[Field], bool]:
     return lambda field: re.search(pattern, field.name, re.I) is not None
 
 
-def _out_of_range(limit: int) -> Callable[[Column], Column]:
-    return lambda v: ~is_blank(v) & F.coalesce(F.abs(script_number_or_null(v)) > limit, F.lit(True))
+# Tests take the recorded value and the value without outer whitespace.
+Test = Callable[[Column, Column], Column]
 
 
-def _screened_range(limit: int) -> Callable[[Column], Column]:
-    from sedgetable.functions.numbers import decimal_or_null
+def _out_of_range(limit: int) -> Test:
+    return lambda v, t: (t != "") & F.coalesce(F.abs(trimmed_script_number(t)) > limit, F.lit(True))
 
-    return lambda v: ~is_blank(v) & F.coalesce(F.abs(decimal_or_null(trim_space(v))) > limit, F.lit(True))
 
+def _screened_range(limit: int) -> Test:
+    return lambda v, t: (t != "") & F.coalesce(F.abs(decimal_or_null(t)) > limit, F.lit(True))
 
-def _ambiguous_day_month(v: Column) -> Column:
+
+def _ambiguous_day_month(v: Column, t: Column) -> Column:
     a, b = F.regexp_extract(v, SLASH_DATE, 1).try_cast("int"), F.regexp_extract(v, SLASH_DATE, 2).try_cast("int")
-    return F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
+    return starts_with_digit(v) & F.contains(v, F.lit("/")) & F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
 
 
-def _serial_date(v: Column) -> Column:
-    n = F.when(v.rlike(SERIAL), v.try_cast("double"))
+def _serial_date(v: Column, t: Column) -> Column:
+    n = F.when(starts_with_digit(v) & v.rlike(SERIAL), v.try_cast("double"))
     return F.coalesce((n > 20000) & (n < 80000), F.lit(False))
 
 
-def _named_month_or_partial(v: Column) -> Column:
-    from sedgetable.functions.dates import reviewed_date
-
+def _named_month_or_partial(v: Column, t: Column) -> Column:
     shape = r"^(?:[0-9]{4}(?:-[0-9]{2}){0,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})\z"
     named = (v != "") & (reviewed_date(v, "english-day-month").isNotNull() | reviewed_date(v, "english-month-day").isNotNull())
-    return trim_space(v).rlike(shape) | named
+    return t.rlike(shape) | named
+
+
+def _encoding_damage(v: Column, t: Column) -> Column:
+    return (F.octet_length(v) > F.char_length(v)) & v.rlike(ENCODING_DAMAGE)
+
+
+def _formula(v: Column, t: Column) -> Column:
+    return F.substring(v, 1, 1).isin(*FORMULA_START) | (v.startswith("-") & ~v.rlike(SIGNED_NUMBER))
+
+
+def _impossible_date(v: Column, t: Column) -> Column:
+    return (F.octet_length(v) == 10) & starts_with_digit(v) & v.rlike(ISO_SHAPE) & ~is_iso_day(v)
 
 
 @dataclass(frozen=True)
@@ -125,26 +137,26 @@ class CellRule:
     layer: str
     severity: str
     applies: Callable[[Field], bool]
-    test: Callable[[Column], Column]
+    test: Test
 
 
 _every = lambda field: True
 CELL_RULES: dict[str, CellRule] = {
     rule.name: rule
     for rule in [
-        CellRule("blank values", "scientific", "Information", _every, is_blank),
-        CellRule("outer whitespace", "scientific", "Warning", _every, lambda v: v != trim_space(v)),
-        CellRule("missing tokens", "scientific", "Warning", _every, lambda v: trim_space(v).rlike(MISSING_TOKENS)),
-        CellRule("ambiguous numeric dates", "scientific", "Warning", _every, lambda v: trim_space(v).rlike(NUMERIC_DATE)),
-        CellRule("encoding damage", "scientific", "Warning", _every, lambda v: v.rlike(ENCODING_DAMAGE)),
-        CellRule("formula-like text", "scientific", "Warning", _every, lambda v: v.rlike(FORMULA_START) | (v.startswith("-") & ~v.rlike(SIGNED_NUMBER))),
+        CellRule("blank values", "scientific", "Information", _every, lambda v, t: t == ""),
+        CellRule("outer whitespace", "scientific", "Warning", _every, lambda v, t: v != t),
+        CellRule("missing tokens", "scientific", "Warning", _every, lambda v, t: F.upper(t).isin(*MISSING_TOKENS)),
+        CellRule("ambiguous numeric dates", "scientific", "Warning", _every, lambda v, t: starts_with_digit(t) & (F.octet_length(t) <= 10) & t.rlike(NUMERIC_DATE)),
+        CellRule("encoding damage", "scientific", "Warning", _every, _encoding_damage),
+        CellRule("formula-like text", "scientific", "Warning", _every, _formula),
         CellRule("latitude range", "scientific", "Warning", lambda f: _term_axis(f) == "latitude", _out_of_range(90)),
         CellRule("longitude range", "scientific", "Warning", lambda f: _term_axis(f) == "longitude", _out_of_range(180)),
-        CellRule("count not whole", "scientific", "Warning", lambda f: f.term == "individualCount" or f.name.lower() == "count", lambda v: ~is_blank(v) & ~trim_space(v).rlike(r"^[0-9]+\z")),
-        CellRule("suspicious sentinels", "scientific", "Warning", _every, lambda v: trim_space(v).rlike(SENTINELS)),
-        CellRule("partial dates", "scientific", "Information", _named("date|year|^dt$"), lambda v: v.rlike(PARTIAL_DATE)),
+        CellRule("count not whole", "scientific", "Warning", lambda f: f.term == "individualCount" or f.name.lower() == "count", lambda v, t: (t != "") & ~t.rlike(r"^[0-9]+\z")),
+        CellRule("suspicious sentinels", "scientific", "Warning", _every, lambda v, t: F.upper(t).isin(*SENTINELS)),
+        CellRule("partial dates", "scientific", "Information", _named("date|year|^dt$"), lambda v, t: starts_with_digit(v) & v.rlike(PARTIAL_DATE)),
         CellRule("serial dates", "scientific", "Warning", _named("date|^dt$"), _serial_date),
-        CellRule("impossible dates", "scientific", "Warning", _every, lambda v: v.rlike(ISO_SHAPE) & ~is_iso_day(v)),
+        CellRule("impossible dates", "scientific", "Warning", _every, _impossible_date),
     ]
 }
 # Import screening and suggestion rules share the scan but are asked for by name.
@@ -154,7 +166,7 @@ SCREENING_RULES: dict[str, CellRule] = {
         CellRule("screened day or month first", "screening", "Information", _every, _ambiguous_day_month),
         CellRule("screened latitude range", "screening", "Information", lambda f: _screen_axis(f) == "latitude", _screened_range(90)),
         CellRule("screened longitude range", "screening", "Information", lambda f: _screen_axis(f) == "longitude", _screened_range(180)),
-        CellRule("suggested sentinels", "suggestion", "Information", _every, lambda v: trim_space(v).rlike(SUGGESTED_SENTINELS)),
+        CellRule("suggested sentinels", "suggestion", "Information", _every, lambda v, t: F.upper(t).isin(*SUGGESTED_SENTINELS)),
         CellRule("named month or partial date", "suggestion", "Information", lambda f: re.search(MEANING_PATTERNS["eventDate"], folded_name(f.name)) is not None, _named_month_or_partial),
     ]
 }
@@ -165,19 +177,20 @@ def cell_findings(df: DataFrame, fields: Sequence[Field] | None = None, rules: I
     """All chosen row-local rules in one scan; declared types are checked when fields declare them."""
     fields = list(fields) if fields is not None else default_fields(df)
     chosen = [ALL_RULES[name] for name in (rules if rules is not None else CELL_RULES)]
-    value, column = F.col("value"), F.col("column")
-    branches, used = [], set()
+    value, column, trimmed = F.col("value"), F.col("column"), F.col("__trimmed")
+    tests, used, labels = [], set(), []
     for rule in chosen:
         names = [f.name for f in fields if rule.applies(f)]
         if not names:
             continue
         used.update(names)
-        hit = rule.test(value) if len(names) == len(fields) else column.isin(*names) & rule.test(value)
-        branches.append(F.when(hit, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.layer).alias("layer"), F.lit(rule.severity).alias("severity"))))
-    if not branches:
+        hit = rule.test(value, trimmed)
+        tests.append(hit if len(names) == len(fields) else column.isin(*names) & hit)
+        labels.append(F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.layer).alias("layer"), F.lit(rule.severity).alias("severity")))
+    if not tests:
         return unpivot_cells(df).select(F.lit("").alias("rule"), F.lit("").alias("layer"), F.lit("").alias("severity"), "column", SRC, "value").filter(F.lit(False))
-    cells = unpivot_cells(df, [f.name for f in fields if f.name in used])
-    hits = cells.select(column, SRC, value, F.explode(F.array_compact(F.array(*branches))).alias("hit"))
+    cells = unpivot_cells(df, [f.name for f in fields if f.name in used]).withColumn("__trimmed", trim_space(value))
+    hits = explode_marks(cells, ["column", SRC, "value"], tests).withColumn("hit", F.get(F.array(*labels), F.col("mark")))
     return hits.select("hit.rule", "hit.layer", "hit.severity", "column", SRC, "value")
 
 

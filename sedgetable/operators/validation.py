@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedgetable.core import DATA_TYPES, SRC, STATUSES, WIDTH, Field, require, unpivot_cells
+from sedgetable.core import DATA_TYPES, SRC, STATUSES, WIDTH, Field, explode_marks, require, unpivot_cells
 from sedgetable.functions.dates import is_iso_day, iso_or_null
 from sedgetable.functions.numbers import DECIMAL, INTEGER, record_number_or_null
 from sedgetable.functions.text import RECORD_SPACE, is_blank
@@ -87,10 +87,10 @@ def value_findings(df: DataFrame, schema: Mapping) -> DataFrame:
     missing_values = schema.get("missingValues", [""])
     v, column = F.col("value"), F.col("column")
     missing = v.isin(*missing_values)
-    branches = []
+    tests: dict[str, Column] = {}
 
     def add(rule: str, field: Mapping, test: Column) -> None:
-        branches.append(F.when((column == field["name"]) & test, F.lit(rule)))
+        tests[rule] = tests.get(rule, F.lit(False)) | ((column == field["name"]) & test)
 
     for field in fields:
         limits = field.get("constraints", {})
@@ -115,10 +115,10 @@ def value_findings(df: DataFrame, schema: Mapping) -> DataFrame:
         if "maxLength" in limits:
             add("maxLength", field, usable & (F.length(v) > limits["maxLength"]))
     cells = unpivot_cells(df, [f["name"] for f in fields])
-    if not branches:
+    if not tests:
         return cells.select(F.lit("").alias("rule"), "column", SRC, "value").filter(F.lit(False))
-    hits = cells.select(column, SRC, v, F.explode(F.array_compact(F.array(*branches))).alias("rule"))
-    return hits.select("rule", "column", SRC, "value")
+    hits = explode_marks(cells, ["column", SRC, "value"], list(tests.values()))
+    return hits.select(F.get(F.array(*[F.lit(r) for r in tests]), F.col("mark")).alias("rule"), "column", SRC, "value")
 
 
 def width_findings(df: DataFrame, expected: int) -> DataFrame:
