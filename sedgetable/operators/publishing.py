@@ -12,6 +12,7 @@ from sedgetable.core import Field, TableError, data_columns
 from sedgetable.functions.numbers import record_number_or_null
 from sedgetable.operators.findings import PLACE_NAME, PLACE_TERMS
 from sedgetable.operators.validation import star_findings
+from sedgetable.scale import salted_join
 
 # Fixed value: address of bare term names.
 TERM_BASE = "http://rs.tdwg.org/dwc/terms/"
@@ -73,7 +74,7 @@ def mapping_findings(dictionary: DataFrame, mapping: DataFrame, targets: DataFra
     term is the column's confirmed term.
     """
     own = dictionary.select("table", "name", "status", "term")
-    joined = own.join(mapping, ["table", "name"], "left").join(targets, ["target_table", "target"], "left")
+    joined = salted_join(own.join(mapping, ["table", "name"], "left"), targets, ["target_table", "target"])
     rule = (
         F.when(F.col("target").isNull(), "column not mapped")
         .when(F.col("term_address").isNull(), "target field unknown")

@@ -134,7 +134,7 @@ def layout_findings(headers: DataFrame, declared: DataFrame) -> DataFrame:
     resources = headers.select("resource", "table").distinct()
     repeated = resources.groupBy("table").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated table").alias("rule"), F.lit("").alias("resource"), "table", F.lit("").alias("name"))
     absent_table = declared.select("table").distinct().join(resources.select("table").distinct(), "table", "left_anti").select(F.lit("absent table").alias("rule"), F.lit("").alias("resource"), "table", F.lit("").alias("name"))
-    wanted = resources.join(declared, "table")
+    wanted = salted_join(resources, declared, ["table"], "inner")
     found = headers.select("resource", "table", "name", F.col("position").alias("found_at"))
     matched = wanted.join(found, ["resource", "table", "name"], "left")
     rule = F.when(F.col("found_at").isNull(), "absent field").when(F.col("found_at") != F.col("position"), "field order")

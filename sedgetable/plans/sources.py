@@ -13,7 +13,6 @@ from sedgetable.sources import manifest as M
 from sedgetable.sources.dbase import dbase_scan
 from sedgetable.sources.delimited import lenient_scan, strict_scan
 from sedgetable.sources.fixed_width import fixed_width_scan
-from sedgetable.sources.headers import unique_headers
 from sedgetable.sources.numbering import number_frame, shape_report
 from sedgetable.sources.sinks import write_baseline, write_csv
 from sedgetable.sources.structured import geojson_scan, json_lines_scan, json_scan, json_tables, xml_scan
@@ -110,12 +109,12 @@ def _quarantine_manifest(s, d):
     return _named(files.filter("not file rlike '(^|/)[._]'")).select("file", "reason")
 
 
-def _headers(s, d):
-    names = [r["name"] for r in load(s, d, "SELECT CASE WHEN n_nationkey % 6 = 0 THEN ' ' WHEN n_nationkey % 4 = 0 THEN ' repeated ' ELSE n_name END AS name, n_nationkey AS k FROM {nation}").orderBy("k").collect()]
-    strict, lenient = unique_headers(names), unique_headers(names, strip=False)
-    columns = load(s, d, "SELECT CAST(n_nationkey + 1 AS INT) AS position FROM {nation}")
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("position"))
-    return columns.select("position", pick(strict).alias("strict_name"), pick(lenient).alias("lenient_name"))
+def _headers(s, d, strict: bool = True):
+    """Orders under a header with outer spaces, a blank and repeated names."""
+    rows = load(s, d, ORDERS).select("__source_record", F.concat_ws(",", "orderkey", "custkey", "status", "priority").alias("line"))
+    head = s.range(1).select(F.lit(0).cast("long").alias("__source_record"), F.lit(" orderkey ,,custkey,custkey").alias("line"))
+    path = _lines(head.unionByName(rows), s, 1)
+    return strict_scan(s, path, multi_line=False) if strict else lenient_scan(s, path, multi_line=False).drop("__row_width")
 
 
 def _fixed(s, d):
@@ -209,8 +208,6 @@ def entries():
     headline = "CASE k WHEN 1 THEN 'custkey;name' ELSE 'custkey,name,nationkey' END"
     body = "CASE k WHEN 1 THEN custkey || ';' || name WHEN 2 THEN custkey || ',' || name || ',' || nationkey || ',extra' ELSE custkey || ',' || name || ',' || nationkey END"
     files = f"""SELECT k, sum(octet_length(encode(line)) + 1) AS bytes, count(*) AS n FROM (SELECT k, {body} AS line FROM (SELECT *, {kind} AS k FROM c) WHERE k < 4 UNION ALL SELECT k, {headline} FROM range(4) r(k)) GROUP BY k"""
-    folded = lambda strip: f"""SELECT position, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM (SELECT position, base, row_number() OVER (PARTITION BY base ORDER BY position) AS n
-        FROM (SELECT n_nationkey + 1 AS position, CASE WHEN n_nationkey % 6 = 0 THEN {"'column_' || (n_nationkey + 1)" if strip else "' '"} WHEN n_nationkey % 4 = 0 THEN {"'repeated'" if strip else "' repeated '"} ELSE n_name END AS base FROM nation))"""
     return {
         "src00_literal_values": (
             _literal,
@@ -229,7 +226,11 @@ def entries():
             _probe,
             with_tables("SELECT 'kind=' || k AS file, 'utf-8' AS encoding, CASE WHEN k = 1 THEN ';' ELSE ',' END AS delimiter, true AS loadable, CASE WHEN k = 2 THEN 'delimiter uncertain' ELSE '' END AS notes FROM range(4) r(k) WHERE (SELECT count(*) FROM c) > 0", c=CUSTOMER),
         ),
-        "src04_unique_headers": (_headers, f"SELECT CAST(a.position AS INT) AS position, a.name AS strict_name, b.name AS lenient_name FROM ({folded(True)}) a JOIN ({folded(False)}) b USING (position)"),
+        "src04_unique_headers": (_headers, with_tables("SELECT __source_record, orderkey, custkey AS column_2, status AS custkey, priority AS custkey_2 FROM o", o=ORDERS)),
+        "src04_unstripped_headers": (
+            lambda s, d: _headers(s, d, strict=False),
+            with_tables('SELECT __source_record, orderkey AS " orderkey ", custkey AS column_2, status AS custkey, priority AS custkey_2 FROM o', o=ORDERS),
+        ),
         "src05_fixed_width_scan": (
             _fixed,
             with_tables("""SELECT __source_record, lpad(custkey, 9, '0') AS "custkey..", rpad(name, 30, ' ') AS "name..........................", lpad(nationkey, 3, ' ') AS nat FROM c""", c=CUSTOMER),

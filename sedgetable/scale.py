@@ -104,6 +104,14 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(base, f"sedgetable-{uuid.uuid4().hex}")
 
 
+BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a frame known to hold at most ``rows`` short rows; beyond the bound Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 CHUNK = 1_000_000
 
 
@@ -148,7 +156,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 1)
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__base"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", "__base", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    out = ordered.join(F.broadcast(offsets), "__part")  # one row per partition
+    out = ordered.join(bounded_broadcast(offsets, ordered.rdd.getNumPartitions()), "__part")
     return out.withColumn(name, F.col("__offset") + F.col("__at") - F.col("__base") + start).drop("__part", "__at", "__base", "__offset")
 
 

@@ -104,8 +104,12 @@ def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimit
         header = None if first is None else ["" if v is None else v for v in first]
     else:
         lines = _single_lines(spark, path, encoding, delimiter)
-        first = _parsed(lines.filter(F.col(SRC) == 1), MOST_COLUMNS + 1, delimiter).withColumn("__w", record_width(F.col(RAW), delimiter)).first()
-        header = None if first is None else [first[f"c{i}"] or "" for i in range(min(first["__w"], MOST_COLUMNS + 1))]
+        head = lines.filter(F.col(SRC) == 1).withColumn("__w", record_width(F.col(RAW), delimiter))
+        width = head.select("__w").first()
+        if width is None or not 1 <= width[0] <= MOST_COLUMNS:
+            raise TableError(f"a table has 1 to {MOST_COLUMNS} columns")
+        first = _parsed(head, width[0], delimiter).first()
+        header = [first[f"c{i}"] or "" for i in range(width[0])]
     if not header:
         raise TableError("the source is empty")
     names = unique_headers(header)
@@ -127,17 +131,21 @@ def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimi
     if multi_line:
         # One column more than any table has: every record is then reported with its raw text.
         rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(MOST_COLUMNS + 1)).load(path)))
+        parse = lambda lines, width: lines
+        # The count keeps a data column in the scan, which raw text alone may not be read without.
+        touched = [F.count("c0")]
     else:
-        rows = _parsed(_single_lines(spark, path, encoding, delimiter), MOST_COLUMNS + 1, delimiter)
+        rows = _single_lines(spark, path, encoding, delimiter)
+        parse = lambda lines, width: _parsed(lines, width, delimiter)
+        touched = []
     numbered = rows.withColumn(WIDTH, record_width(F.col(RAW), delimiter))
-    head = numbered.filter(F.col(SRC) == header_row).first()
-    if head is None:
+    widest = numbered.filter(F.col(SRC) >= header_row).agg(F.max(WIDTH), *touched).first()[0]
+    if not widest:
         raise TableError("choose a header row within the table")
-    body = numbered.filter(F.col(SRC) > header_row)
-    # The count keeps a data column in the scan, which raw text alone may not be read without.
-    widest = max(body.agg(F.max(WIDTH), F.count("c0")).first()[0] or 0, head[WIDTH])
     if widest > MOST_COLUMNS:
         raise TableError(f"the table has more than {MOST_COLUMNS} columns")
+    head = parse(numbered.filter(F.col(SRC) == header_row), widest).first()
     names = unique_headers([head[f"c{i}"] or "" for i in range(head[WIDTH])], strip=False, width=widest)
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
+    body = parse(numbered.filter(F.col(SRC) > header_row), widest)
     return body.select((F.col(SRC) - header_row).alias(SRC), F.col(WIDTH), *cells)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sedgetable.core import SRC, TableError, WIDTH
+from sedgetable.scale import bounded_broadcast, number_rows
 
 FILE, BLOCK, LINE = "__file", "__block", "__line"
 
@@ -33,15 +34,15 @@ def number_records(df: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.select(FILE, BLOCK, "__first_at", before.alias("__before"), (F.dense_rank().over(Window.orderBy(FILE)) - 1).alias("__files_before"))
     offsets = placed.withColumn("__file_start", F.min("__before").over(Window.partitionBy(FILE)))
-    out = df.join(F.broadcast(offsets), [FILE, BLOCK])  # one row per file split
+    # One row per file split: a partition packs splits of different files or holds a single one.
+    splits = df.rdd.getNumPartitions() + len(df.inputFiles())
+    out = df.join(bounded_broadcast(offsets, splits), [FILE, BLOCK])
     number = F.col("__before") + F.col("__at") - F.col("__first_at") + 1
     return out.withColumn(SRC, number).withColumn(LINE, F.col(SRC) - F.col("__file_start")).drop("__at", "__first_at", "__before", "__file_start")
 
 
 def number_frame(df: DataFrame, order: list[str]) -> DataFrame:
     """Record numbers for a table without file order, by explicit columns."""
-    from sedgetable.scale import number_rows
-
     return number_rows(df, order, SRC)
 
 

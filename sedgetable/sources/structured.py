@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from sedgetable.core import SRC, TableError, data_columns
+from sedgetable.scale import bounded_broadcast
 from sedgetable.sources.headers import MOST_COLUMNS
 from sedgetable.sources.numbering import number_records, with_position
 
@@ -28,12 +29,11 @@ def _keys_in_order(records: DataFrame, column: str) -> list[str]:
 
 def _numbered(records: DataFrame) -> DataFrame:
     """Records of whole documents: offset of the document plus the place inside it."""
-    from pyspark.sql import Window
-
     sizes = records.groupBy("__file").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__file", before.alias("__before"))
-    return records.join(F.broadcast(offsets), "__file").withColumn(SRC, F.col("__before") + F.col("__at") + 1)  # one row per file
+    placed = records.join(bounded_broadcast(offsets, len(records.inputFiles())), "__file")
+    return placed.withColumn(SRC, F.col("__before") + F.col("__at") + 1)
 
 
 def _literal(record: str, name: str):
