@@ -94,12 +94,15 @@ def reviewed_date(c: Column, fmt: str, century: int | None = None) -> Column:
         out = _serial(c, "1904-01-01" if fmt == "excel1904" else "1899-12-31", fmt == "excel1900", r"^[0-9]+(?:\.0+)?\z")
     elif fmt in ("DMY", "MDY"):
         p = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{2}|[0-9]{4})\z"
-        first, second = _part(c, p, 1), _part(c, p, 3)
-        token = F.regexp_extract(c, p, 4)
-        short = F.lit(None).cast("int") if century is None else token.try_cast("int") + century
-        year = F.when(F.length(token) == 2, short).otherwise(token.try_cast("int"))
-        day, month = (first, second) if fmt == "DMY" else (second, first)
-        out = iso_or_null(year, month, day)
+
+        def read(t: Column) -> Column:
+            short = F.lit(None).cast("int") if century is None else t["year"].try_cast("int") + century
+            year = F.when(F.length(t["year"]) == 2, short).otherwise(t["year"].try_cast("int"))
+            day, month = (t["first"], t["second"]) if fmt == "DMY" else (t["second"], t["first"])
+            return iso_or_null(year, month, day)
+
+        parts = F.struct(_part(c, p, 1).alias("first"), _part(c, p, 3).alias("second"), F.regexp_extract(c, p, 4).alias("year"))
+        out = F.when(c.rlike(p), bind(parts, read))
     elif fmt == "english-day-month":
         p = r"^([0-9]{1,2})([- ])([A-Za-z]+)\2([0-9]{4})\z"
         out = iso_or_null(_part(c, p, 4), _month_number(F.regexp_extract(c, p, 3)), _part(c, p, 1))

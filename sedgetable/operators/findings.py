@@ -249,9 +249,9 @@ def outside_vocabulary(df: DataFrame, allowed: DataFrame, columns: Sequence[str]
 
 
 def _points(df: DataFrame, latitude: str, longitude: str) -> DataFrame:
-    a, b = F.col(f"`{latitude}`"), F.col(f"`{longitude}`")
-    both = df.filter(~is_blank(a) & ~is_blank(b)).select(SRC, script_number_or_null(a).alias("lat"), script_number_or_null(b).alias("lon"))
-    return both.filter("lat is not null and lon is not null")
+    """Rows with two numbers. The pair goes through a one-element array, so the filter does not read it a second time."""
+    pair = F.struct(script_number_or_null(F.col(f"`{latitude}`")).alias("lat"), script_number_or_null(F.col(f"`{longitude}`")).alias("lon"))
+    return df.select(SRC, pair.alias("p")).select(SRC, F.explode(F.array("p")).alias("p")).select(SRC, "p.lat", "p.lon").filter("lat is not null and lon is not null")
 
 
 def coordinate_columns(fields: Sequence[Field]) -> tuple[str, str] | None:

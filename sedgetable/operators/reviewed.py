@@ -50,16 +50,17 @@ def _translate(df: DataFrame, column: str, name: str, read: Column, upstream: st
     require(df, [column])
     _fresh(df, [name, outcome_name(name)])
     before, inherited = _col(column), _upstream(df, upstream)
-    refused = read.isNull() if blocked is None else read.isNull() | F.coalesce(blocked, F.lit(False))
+    refused = F.lit(False) if blocked is None else F.coalesce(blocked, F.lit(False))
+    out = df.withColumns({"__read": read, "__inherited": inherited, "__refused": refused})
     state = (
         F.when(before == "", "empty")
-        .when(inherited.isNotNull(), inherited)
-        .when(refused, "unresolved")
-        .when(read != before, "converted")
+        .when(F.col("__inherited").isNotNull(), F.col("__inherited"))
+        .when(F.col("__refused") | F.col("__read").isNull(), "unresolved")
+        .when(F.col("__read") != before, "converted")
         .otherwise("unchanged")
     )
-    out = df.withColumn(outcome_name(name), state)
-    return out.withColumn(name, F.when(_col(outcome_name(name)) == "converted", read).otherwise(before)).select(*df.columns, _col(name), _col(outcome_name(name)))
+    settled = F.when(_col(outcome_name(name)) == "converted", F.col("__read")).otherwise(before)
+    return out.withColumn(outcome_name(name), state).select(*[_col(c) for c in df.columns], settled.alias(name), _col(outcome_name(name)))
 
 
 def review_dates(df: DataFrame, column: str, name: str, fmt: str, century: int | None = None, upstream: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedgetable.core import DATA_TYPES, SRC, STATUSES, WIDTH, Field, explode_marks, require, unpivot_cells
 from sedgetable.functions.dates import is_iso_day, iso_or_null
 from sedgetable.functions.numbers import DECIMAL, INTEGER, record_number_or_null
-from sedgetable.functions.text import RECORD_SPACE, is_blank
+from sedgetable.functions.text import RECORD_SPACE, bind, is_blank
 from sedgetable.scale import non_first, salted_join
 
 # Accepted texts of declared types and of absolute term addresses.
@@ -25,6 +25,7 @@ FALSE_VALUES = ("false", "False", "FALSE", "0")
 TERM_ADDRESS = r"^https?://[^\s]+\z"
 START_END = (("deploymentStart", "deploymentEnd"), ("eventStart", "eventEnd"))
 _DIRECTIVES = {"Y": "([0-9]{4})", "m": "([0-9]{1,2})", "d": "([0-9]{1,2})", "H": "([0-9]{1,2})", "M": "([0-9]{1,2})", "S": "([0-9]{1,2})", "f": "([0-9]{1,6})", "z": "(Z|[+-][0-9]{2}:?[0-9]{2})"}
+_PARTS = {"Y": "year", "m": "month", "d": "day", "H": "hour", "M": "minute", "S": "second", "f": "fraction", "z": "zone"}
 _ISO_MOMENT = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z"
 
 
@@ -42,18 +43,22 @@ def moment(c: Column, fmt: str | None = None) -> Column:
         pattern += r"\z"
     else:
         pattern, groups = _ISO_MOMENT, {d: i for i, d in enumerate("YmdHMSfz", 1)}
-    text = lambda d: F.regexp_extract(c, pattern, groups[d]) if d in groups else F.lit("")
-    number = lambda d, default: F.coalesce(text(d).try_cast("int"), F.lit(default))
-    day = iso_or_null(number("Y", 1900), number("m", 1), number("d", 1))
-    hour, minute, second = number("H", 0), number("M", 0), number("S", 0)
-    ok = c.rlike(pattern) & day.isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
-    offset = text("z")
-    shift = F.when(offset.isin("", "Z"), F.lit(0)).otherwise(
-        F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int"))
-    )
-    fraction = F.rpad(text("f"), 6, "0").try_cast("long")
-    seconds = F.unix_date(day.try_cast("date")) * F.lit(86400).cast("long") + hour * 3600 + minute * 60 + second - shift * 60
-    return F.when(ok, F.struct((offset != "").alias("zoned"), (seconds * 1000000 + F.coalesce(fraction, F.lit(0))).alias("at")))
+    parts = F.struct(*[(F.regexp_extract(c, pattern, groups[d]) if d in groups else F.lit("")).alias(name) for d, name in _PARTS.items()])
+
+    def read(p: Column) -> Column:
+        number = lambda name, default: F.coalesce(p[name].try_cast("int"), F.lit(default))
+        hour, minute, second, offset = number("hour", 0), number("minute", 0), number("second", 0), p["zone"]
+        day = iso_or_null(number("year", 1900), number("month", 1), number("day", 1))
+        shift = F.when(offset.isin("", "Z"), F.lit(0)).otherwise(
+            F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int"))
+        )
+        seconds = lambda d: F.unix_date(d.try_cast("date")) * F.lit(86400).cast("long") + hour * 3600 + minute * 60 + second - shift * 60
+        fraction = F.coalesce(F.rpad(p["fraction"], 6, "0").try_cast("long"), F.lit(0))
+        in_range = (hour < 24) & (minute < 60) & (second < 60)
+        whole = lambda d: F.when(d.isNotNull() & in_range, F.struct((offset != "").alias("zoned"), (seconds(d) * 1000000 + fraction).alias("at")))
+        return bind(day, whole)
+
+    return F.when(c.rlike(pattern), bind(parts, read))
 
 
 def _typed_ok(c: Column, field: Mapping) -> Column:
