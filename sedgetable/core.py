@@ -115,19 +115,25 @@ def unpivot_cells(df: DataFrame, columns: Sequence[str] | None = None, keep: Seq
     return df.unpivot([F.col(k) for k in keep], [F.col(f"`{c}`") for c in chosen], "column", "value")
 
 
+TESTS_PER_STEP = 3
+
+
 def explode_marks(df: DataFrame, keep: Sequence[Column | str], tests: Sequence[Column]) -> DataFrame:
     """One row per test that holds, with the test's index as ``mark``; rows without any are dropped first.
 
-    The tests are folded into one bit mask, which stays inside generated code.
-    The mask goes through a one-element array so that the filter on it is not
-    moved below and evaluated a second time.
+    The tests are folded into one bit mask, a few per step: one step becomes one
+    generated method, and a method with all tests would be too long to be
+    compiled. Each step goes through a one-element array, which keeps the steps
+    apart and the filter on the mask from being evaluated twice.
     """
     if len(tests) > 62:
         raise ValueError("at most 62 tests fit one mask")
-    mask = F.lit(0).cast("long")
-    for i, test in enumerate(tests):
-        mask = mask + F.when(test, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    masked = df.select(*keep, mask.alias("__tests"))
-    marked = masked.select(*keep, F.explode(F.array("__tests")).alias("__mask")).filter(F.col("__mask") > 0)
+    masked = df.withColumn("__mask", F.lit(0).cast("long"))
+    for start in range(0, len(tests), TESTS_PER_STEP):
+        mask = F.col("__mask")
+        for i, test in enumerate(tests[start : start + TESTS_PER_STEP], start):
+            mask = mask + F.when(test, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        masked = masked.select(*df.columns, mask.alias("__mask")).select(*df.columns, F.explode(F.array("__mask")).alias("__mask"))
+    marked = masked.filter(F.col("__mask") > 0).select(*keep, "__mask")
     every = F.array(*[F.lit(i) for i in range(len(tests))])
     return marked.withColumn("mark", F.explode(every)).filter(F.expr("shiftright(__mask, mark) & 1L = 1")).drop("__mask")
