@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe
+from sedgetable.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digests.alias("r")).select("doc_id", "r.*")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
+        "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     }

@@ -149,3 +149,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def portions(texts: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
+    """Consecutive slices of about ``most`` bytes, or of one longer text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return []
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        out.append(texts.slice(lo, hi - lo))
+        lo = hi
+    return out
