@@ -12,7 +12,10 @@ import hashlib
 import heapq
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
+from typing import Any
 
 import pyarrow as pa
 import regex
@@ -22,10 +25,10 @@ from pyspark.sql import Column, functions as F
 # pre-tokenizer pattern and byte alphabet of byte-level BPE.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Entries of each cache, which then starts anew: its memory is bounded whatever the text.
-CACHE = 1 << 19
+CACHE = 1 << 18
 NONE = 1 << 62
 LOW = (1 << 32) - 1
+WIDE = 20
 HEAP_FROM = 200
 
 
@@ -39,6 +42,22 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Recent:
+    """Cache of bounded memory: when the young half is full, it becomes the old one."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def keep(self, key: str, make: Callable) -> Any:
+        value = self.young.get(key) or self.old.get(key) or make()
+        if len(key) <= 64:
+            if len(self.young) >= CACHE:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
+        return value
+
+
 class ByteBpe:
     """Encoder and decoder of one public ``tokenizers`` file with a byte-level BPE model."""
 
@@ -49,12 +68,16 @@ class ByteBpe:
         alphabet = byte_alphabet()
         to_byte = {c: b for b, c in enumerate(alphabet)}
         self.byte_ids = [vocab[c] for c in alphabet]
-        self.merges: dict[tuple[int, int], int] = {}
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), rank << 32 | vocab[a + b])
+            self.merges.setdefault(vocab[a] << WIDE | vocab[b], rank << 32 | vocab[a + b])
         self.token_bytes = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items()}
-        self.inside = {token[k : k + 2] for token in self.token_bytes.values() for k in range(len(token) - 1)}
+        inside = bytearray(1 << 16)
+        for token in self.token_bytes.values():
+            for a, b in zip(token, token[1:]):
+                inside[a << 8 | b] = 1
+        self.inside = bytes(inside)
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = specials
         self.token_bytes.update((i, s.encode()) for s, i in specials.items())
@@ -62,76 +85,71 @@ class ByteBpe:
         self.special_cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if specials else None
         self.pieces = regex.compile(PIECES)
         self.ints = list(range(max(self.token_bytes) + 1))
-        self.bare: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.spaced: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.bare, self.spaced, self.known = Recent(), Recent(), Recent()
 
     def forced_fragments(self, piece: bytes) -> list[bytes]:
         """Cut between two bytes that no token holds side by side."""
-        cuts = [k for k in range(1, len(piece)) if piece[k - 1 : k + 1] not in self.inside]
-        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
+        inside = self.inside
+        cuts = [k for k, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not inside[a << 8 | b]]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
 
     def merged(self, fragment: bytes) -> list[int]:
+        """Ids by the rule itself: the pair of lowest rank merges first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in fragment]
+        get = self.merges.get
+        ranks = [get(a << WIDE | b, NONE) for a, b in zip(ids, ids[1:])]
         if len(ids) >= HEAP_FROM:
             return self._merged_by_heap(ids)
-        get = self.merges.get
-        ranks = [get(p, NONE) for p in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != NONE:
             k = ranks.index(best)
             ids[k] = best & LOW
             del ids[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = get((ids[k], ids[k + 1]), NONE)
+                ranks[k] = get(ids[k] << WIDE | ids[k + 1], NONE)
             if k:
-                ranks[k - 1] = get((ids[k - 1], ids[k]), NONE)
+                ranks[k - 1] = get(ids[k - 1] << WIDE | ids[k], NONE)
         return ids
 
+    def _piece(self, piece: bytes) -> list[int]:
+        """Ids of a pre-tokenizer piece: those of its fragments, one after the other."""
+        return [i for f in self.forced_fragments(piece) for i in self.merged(f)]
+
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
         """Same merges for long fragments in O(n log n): lowest rank first, then leftmost."""
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         get = self.merges.get
-        heap = [(r, k) for k in range(n - 1) if (r := get((ids[k], ids[k + 1]))) is not None]
+        heap = [(r, k) for k in range(n - 1) if (r := get(ids[k] << WIDE | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, k = heapq.heappop(heap)
             nxt = after[k]
-            if ids[k] < 0 or nxt < 0 or get((ids[k], ids[nxt])) != rank:
+            if ids[k] < 0 or nxt < 0 or get(ids[k] << WIDE | ids[nxt]) != rank:
                 continue
             ids[k], ids[nxt] = rank & LOW, -1
             after[k] = after[nxt]
             if after[k] >= 0:
                 before[after[k]] = k
-                if (r := get((ids[k], ids[after[k]]))) is not None:
+                if (r := get(ids[k] << WIDE | ids[after[k]])) is not None:
                     heapq.heappush(heap, (r, k))
-            if before[k] >= 0 and (r := get((ids[before[k]], ids[k]))) is not None:
+            if before[k] >= 0 and (r := get(ids[before[k]] << WIDE | ids[k])) is not None:
                 heapq.heappush(heap, (r, before[k]))
         return [i for i in ids if i >= 0]
 
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a pre-tokenizer piece: those of its fragments, one after the other."""
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = [i for f in self.forced_fragments(piece.encode()) for i in self.merged(f)]
-            if len(piece) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
+    def _pieces(self, chunk: str) -> list[str]:
+        """What the pre-tokenizer's pattern finds; letters after at most one space are one piece."""
+        if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():
+            return [chunk]
+        if chunk[-1] in ",.;:!?" and (chunk[:-1].isalpha() or chunk[:1] == " " and chunk[1:-1].isalpha()):
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces.findall(chunk)
 
     def _chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        shared = self.ints  # one object per id, so that cached tuples stay small
-        ids = tuple([shared[i] for piece in self.pieces.findall(chunk) for i in self._piece(piece)])
-        return ",".join(map(str, ids)), ids
-
-    def _cached(self, cache: dict, key: str, lead: str) -> tuple[str, tuple[int, ...]]:
-        got = self._chunk(lead + key)
-        if len(key) <= 64:
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[key] = got
-        return got
+        ids, get, shared = [], self.known.young.get, self.ints  # one object per id keeps cached tuples small
+        for piece in self._pieces(chunk):
+            found = get(piece) or self.known.keep(piece, lambda: tuple([shared[i] for i in self._piece(piece.encode())]))
+            ids += found
+        return ",".join(map(str, ids)), tuple(ids)
 
     def _plain(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         """Text without special tokens, as (decimal ids, ids) of consecutive chunks.
@@ -144,9 +162,13 @@ class ByteBpe:
         if any(f" {c}" in text for c in (WHITE[:6] if text.isascii() else WHITE)):
             return [self._chunk(text)]
         head, *rest = text.split(" ")
-        out = [self.bare.get(head) or self._cached(self.bare, head, "")] if head else []
-        get = self.spaced.get
-        out += [get(w) or self._cached(self.spaced, w, " ") for w in rest]
+        out = [self.bare.keep(head, lambda: self._chunk(head))] if head else []
+        get, keep = self.spaced.young.get, self.spaced.keep
+        for w in rest:
+            if (found := get(w)) is None:
+                found = keep(w, lambda: self._chunk(" " + w))
+                get = self.spaced.young.get
+            out.append(found)
         return out
 
     def chunks(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
@@ -206,7 +228,7 @@ def round_trip(text: Column, path: str) -> Column:
         counts, of_ids, of_text = [], [], []
         for text in texts:
             chunks = bpe.chunks(text.as_py() or "")
-            ids = [i for _, part in chunks for i in part]
+            ids = list(chain.from_iterable([part for _, part in chunks]))
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(",".join([s for s, _ in chunks]).encode()).hexdigest())
             of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
