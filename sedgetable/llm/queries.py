@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, simhash
+from sedgetable.llm import bpe, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,43 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rules.judged(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    named = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")
+    return docs.select("doc_id", *[f"measures.{c}" for c in named], "base_failed", "kept")
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1)
+  GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(len(list_filter(words, lambda x: list_contains(string_split('STOP_WORDS', ' '), lower(x)))) AS BIGINT) AS n_stop_words
+  FROM w LEFT JOIN r ON w.doc_id IS NOT DISTINCT FROM r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+    AND 10 * n_symbols <= n_words AND 20 * n_stop_words >= n_words AND 2 * n_dup_lines <= n_lines AS kept
+FROM m
+""".replace("STOP_WORDS", " ".join(rules.STOP_WORDS))
+
+
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
+        "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     }
