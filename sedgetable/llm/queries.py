@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, rules, simhash
+from sedgetable.llm import bpe, quality, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digests.alias("r")).select("doc_id", "r.*")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return quality.classified(docs, labels).select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,6 +68,7 @@ FROM m
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
+        "op4_quality_classifier": (op4_quality_classifier, None),
         "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
         "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     }
