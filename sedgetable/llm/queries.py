@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, quality, rules, simhash
+from sedgetable.llm import bpe, packing, quality, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +65,15 @@ FROM m
 """.replace("STOP_WORDS", " ".join(rules.STOP_WORDS))
 
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
         "op4_quality_classifier": (op4_quality_classifier, None),
         "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
         "op8_quality_rules": (op8_quality_rules, OP8_SQL),
+        "op10_retrieval_packing": (op10_retrieval_packing, None),
     }
