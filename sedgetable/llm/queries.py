@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, packing, quality, rules, simhash
+from sedgetable.llm import bpe, lm, packing, quality, rules, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,15 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digests.alias("r")).select("doc_id", "r.*")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.scored(_table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return quality.classified(docs, labels).select("doc_id", "log_weight", "gumbel_key", "kept")
@@ -37,6 +46,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[f"measures.{c}" for c in named], "base_failed", "kept")
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w)),
+k AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i WHERE c.i IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN x ON w.doc_id = x.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS body,
@@ -72,6 +98,8 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
+        "op3_lm_scores": (op3_lm_scores, None),
+        "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
         "op4_quality_classifier": (op4_quality_classifier, None),
         "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
         "op8_quality_rules": (op8_quality_rules, OP8_SQL),
