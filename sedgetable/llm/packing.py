@@ -26,32 +26,35 @@ from sedgetable.llm.words import stored
 
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+LATIN = "\u024f"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordIds:
     """Ids of a ``tokenizers`` file whose pieces never cross white space, as little-endian unsigned bytes.
 
-    Each run outside white space is encoded by the library's own model once and then
-    remembered. Texts in which a run's ids could depend on more than the run go to
-    the library whole.
+    Each run outside white space is encoded once and then remembered: its pieces go to
+    the library's own model.
     """
 
     def __init__(self, path: str):
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.runs = Recent()
+        self.runs, self.words = Recent(), Recent()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.not_white = regex.compile(f"[^{WHITE}]+")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.alphabet = byte_alphabet()
 
+    def _word(self, piece: str) -> bytes:
+        mapped = "".join([self.alphabet[b] for b in piece.encode()])
+        return np.array([t.id for t in self.whole.model.tokenize(mapped)], self.kind).tobytes()
+
     def _run(self, run: str) -> bytes:
-        if run.isascii() and "<|" not in run:
-            tokens = [t.id for piece in self.pieces.findall(run.lower()) for t in self.whole.model.tokenize("".join([self.alphabet[b] for b in piece.encode()]))]
-        else:
-            tokens = self.whole.encode(run, add_special_tokens=False).ids
-        return np.array(tokens, self.kind).tobytes()
+        """Latin text up to U+024F is composed already and folds letter by letter; anything else goes through the library's own steps."""
+        if max(run) > LATIN or "<|" in run:
+            return np.array(self.whole.encode(run, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join([self.words.keep(piece, lambda: self._word(piece)) for piece in self.pieces.findall(run.lower())])
 
     def encode(self, text: str) -> bytes:
         odd = any(c in text for c in ODD_SPACES)
