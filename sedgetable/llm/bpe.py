@@ -45,14 +45,15 @@ def byte_alphabet() -> list[str]:
 class Recent:
     """Cache of bounded memory: when the young half is full, it becomes the old one."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = CACHE) -> None:
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
     def keep(self, key: str, make: Callable) -> Any:
         value = self.young.get(key) or self.old.get(key) or make()
         if len(key) <= 64:
-            if len(self.young) >= CACHE:
+            if len(self.young) >= self.size:
                 self.young, self.old = {}, self.young
             self.young[key] = value
         return value

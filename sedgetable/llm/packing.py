@@ -11,6 +11,7 @@ seeds the next window. So only the last window of a shard is padded.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,22 +40,26 @@ class WordIds:
 
     def __init__(self, path: str):
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.runs, self.words = Recent(), Recent()
+        self.runs, self.words = Recent(1 << 19), Recent()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.not_white = regex.compile(f"[^{WHITE}]+")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.alphabet = byte_alphabet()
 
     def _word(self, piece: str) -> bytes:
         mapped = "".join([self.alphabet[b] for b in piece.encode()])
-        return np.array([t.id for t in self.whole.model.tokenize(mapped)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.whole.model.tokenize(mapped)]).tobytes()
 
     def _run(self, run: str) -> bytes:
         """Latin text up to U+024F is composed already and folds letter by letter; anything else goes through the library's own steps."""
         if max(run) > LATIN or "<|" in run:
             return np.array(self.whole.encode(run, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join([self.words.keep(piece, lambda: self._word(piece)) for piece in self.pieces.findall(run.lower())])
+        run = run.lower()
+        pieces = [run] if run.isalpha() else [run[:-1], run[-1]] if run[-1] in ",.;:!?" and run[:-1].isalpha() else self.pieces.findall(run)
+        get, keep = self.words.young.get, self.words.keep
+        return b"".join([get(piece) or keep(piece, lambda: self._word(piece)) for piece in pieces])
 
     def encode(self, text: str) -> bytes:
         odd = any(c in text for c in ODD_SPACES)
