@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, lm, packing, quality, rules, simhash, substrings, topk, warc
+from sedgetable.llm import bpe, lm, packing, quality, rules, simhash, substrings, topk, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return lm.scored(_table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
@@ -135,5 +139,6 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "op4_quality_classifier": (op4_quality_classifier, None),
         "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
         "op8_quality_rules": (op8_quality_rules, OP8_SQL),
+        "op9_html_main_text": (op9_html_main_text, None),
         "op10_retrieval_packing": (op10_retrieval_packing, None),
     }
