@@ -23,7 +23,9 @@ BUCKETS = 1 << 16
 # The only bounded sample: labelled rows, those of lowest hash, half to fit and half to set the cut.
 LABELLED = 20_000
 # Share of the labelled good rows that the cut must keep.
-KEEP = 0.998
+KEEP = 0.997
+# The target model's smoothing: n-grams drawn from the raw model, and a count that every bucket has.
+PRIOR, FLOOR = 5_000, 0.02
 M = np.uint32(0x9E3779B1)
 
 
@@ -79,8 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     table = np.zeros((2, BUCKETS))
     for b, n_raw, n_target in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toLocalIterator():
         table[:, b] = n_raw, n_target
-    smooth = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    return np.log(smooth[1]) - np.log(smooth[0]), held
+    raw = (table[0] + 0.5) / (table[0].sum() + 0.5 * BUCKETS)
+    smooth = (table[1] + PRIOR * raw + FLOOR) / (table[1].sum() + PRIOR + FLOOR * BUCKETS)
+    return np.log(smooth) - np.log(raw), held
 
 
 def log_weight(text: Column, ratio: np.ndarray) -> Column:
@@ -148,7 +151,7 @@ def _cut(pairs: list) -> float:
     good, bad = (np.sort([p[0] for p in pairs if p[1] == g]) for g in (1, 0))
     if not len(good):
         return float("-inf")
-    highest = good[int((1 - KEEP) * len(good))]
+    highest = good[min(len(good) - 1, int(np.ceil((1 - KEEP) * len(good))))]
     tries = np.unique(np.concatenate([good, bad]))
     tries = tries[tries <= highest]
     recall = 1 - np.searchsorted(good, tries) / len(good) + np.searchsorted(bad, tries) / max(1, len(bad))
