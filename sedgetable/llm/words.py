@@ -7,6 +7,8 @@ occur inside a multi-byte UTF-8 character, so byte positions are exact.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -128,10 +130,17 @@ def block_count(df: DataFrame, text: str, block_bytes: int, least: int = 12) ->
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """New folder under the one that all executors share, which the cluster names in ``spark.checkpoint.dir``."""
+    """New folder under the one that all executors share, which the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose
+    machines do not share theirs, that is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sedgetable-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
