@@ -32,11 +32,19 @@ def script_number_or_null(c: Column) -> Column:
     return bind(trim_space(c, PROJECT_SPACE), trimmed_script_number)
 
 
+def _radix(digits: Column, base: int, exact: int) -> Column:
+    """Value of digits as a double; above ``exact`` digits they are added up one by one."""
+    each = F.transform(F.split(digits, ""), lambda d: F.conv(d, base, 10).cast("double"))
+    summed = F.aggregate(each, F.lit(0.0), lambda a, d: a * float(base) + d)
+    return F.when(F.length(digits) <= exact, F.conv(digits, base, 10).cast("double")).otherwise(summed)
+
+
 def trimmed_script_number(v: Column) -> Column:
     """The loose coordinate grammar on text without outer space."""
-    radix = F.when(v.rlike("^0[xX][0-9a-fA-F]{1,15}\\z"), F.conv(F.substring(v, 3, 15), 16, 10))
-    radix = radix.when(v.rlike("^0[oO][0-7]{1,15}\\z"), F.conv(F.substring(v, 3, 15), 8, 10))
-    radix = radix.when(v.rlike("^0[bB][01]{1,50}\\z"), F.conv(F.substring(v, 3, 50), 2, 10))
+    digits = F.substring(v, 3, 2**31 - 1)
+    radix = F.when(v.rlike("^0[xX][0-9a-fA-F]+\\z"), _radix(digits, 16, 15))
+    radix = radix.when(v.rlike("^0[oO][0-7]+\\z"), _radix(digits, 8, 17))
+    radix = radix.when(v.rlike("^0[bB][01]+\\z"), _radix(digits, 2, 52))
     prefixed = F.when(v.startswith("0") & (F.octet_length(v) > 2), radix.try_cast("double"))
     return F.when(v.rlike(DECIMAL), _finite(v.try_cast("double"))).otherwise(prefixed)
 

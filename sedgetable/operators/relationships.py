@@ -119,9 +119,9 @@ def literal_left_join(child: DataFrame, parent: DataFrame, child_keys: Sequence[
 def join_dictionary(child_dictionary: DataFrame, parent_dictionary: DataFrame) -> DataFrame:
     """Dictionary of a derived join: technical rows, then the fields of both sides."""
     technical = {
-        "__child_source_record": ("integer", "One-based record of the child row."),
-        "__parent_source_record": ("integer", "One-based record of the exact unique parent, else absent."),
-        "__link_status": ("string", "Mechanical key outcome; it confirms no scientific meaning."),
+        "__child_source_record": ("integer", "number of the left record"),
+        "__parent_source_record": ("integer", "number of the only right record with the same key; null if there is none or more than one"),
+        "__link_status": ("string", "result of comparing keys: missing, unmatched, conflicting or linked"),
     }
     spark = child_dictionary.sparkSession
     rows = [(name, "technical", kind, "Confirmed", "", text) for name, (kind, text) in technical.items()]

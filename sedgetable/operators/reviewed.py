@@ -222,7 +222,7 @@ def reviewed_field(fields: Sequence[Field], name: str, operation: str, sources:
     derived = Field(
         name,
         name,
-        description="Reviewed derived representation; original recorded field retained.",
+        description=f"{operation} of {sources[0]} under a review",
         status=status,
         rationale=reason,
         reviewer=reviewer,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedgetable.core import SRC, WIDTH, Field, TableError, data_columns, require
 from sedgetable.functions.numbers import script_number_or_null
 from sedgetable.functions.text import contains_folded, is_blank, numeric_sort_key
+from sedgetable.scale import number_rows
 
 
 def _any(tests: Sequence[Column]) -> Column:
@@ -40,12 +41,17 @@ def sort_rows(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     return df.orderBy(key.asc() if ascending else key.desc(), F.col(SRC).asc())
 
 
+def sorted_positions(df: DataFrame, column: str) -> DataFrame:
+    """The order of :func:`sort_rows` as a column ``position``; no task sorts the whole table."""
+    require(df, [column])
+    keyed = df.withColumn("__key", numeric_sort_key(F.col(f"`{column}`")))
+    return number_rows(keyed, ["__key", SRC], "position").drop("__key")
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 50, text: str = "") -> DataFrame:
-    """One page in record order. Without a search the record range is read directly from the scan."""
-    if not 1 <= limit <= 100 or offset < 0 or len(text) > 200:
-        raise TableError("a page has 1 to 100 rows and a search text at most 200 characters")
-    if text == "":
-        return df.filter(F.col(SRC).between(offset + 1, offset + limit)).orderBy(SRC)
+    """Rows ``offset + 1`` to ``offset + limit`` of those that match, in record order, whatever their numbers."""
+    if limit < 1 or offset < 0:
+        raise TableError("a page has at least one row and an offset of at least zero")
     return search_rows(df, text).orderBy(SRC).offset(offset).limit(limit)
 
 

@@ -167,7 +167,7 @@ def derived_field(fields: Sequence[Field], name: str, operation: str, sources: S
     return Field(
         name,
         name,
-        description=f"Derived from {sources[0]} by {operation}; source field retained.",
+        description=f"{operation} of {sources[0]}",
         unit=unit,
         status="Confirmed" if confirmed else "Inferred",
         rationale=reason,

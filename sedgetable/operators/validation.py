@@ -150,6 +150,8 @@ def layout_findings(headers: DataFrame, declared: DataFrame) -> DataFrame:
 def unique_findings(df: DataFrame, schema: Mapping) -> DataFrame:
     """Non-first repeats in fields declared unique; missing and mistyped values are skipped."""
     fields = [f for f in schema["fields"] if f.get("constraints", {}).get("unique") and f["name"] in df.columns]
+    if not fields:
+        return df.limit(0).select(F.lit("unique").alias("rule"), F.lit("").alias("column"), SRC, F.lit("").alias("value"))
     cells = unpivot_cells(df, [f["name"] for f in fields]).filter(~F.col("value").isin(*schema.get("missingValues", [""])))
     ok = reduce(lambda a, b: a | b, [(F.col("column") == f["name"]) & F.coalesce(_typed_ok(F.col("value"), f), F.lit(False)) for f in fields])
     return non_first(cells.filter(ok), ["column", "value"]).select(F.lit("unique").alias("rule"), "column", SRC, "value")
@@ -164,7 +166,8 @@ def temporal_findings(df: DataFrame, schema: Mapping, pairs: Sequence[tuple[str,
             a, b = moment(F.col(f"`{start}`"), formats.get(start)), moment(F.col(f"`{end}`"), formats.get(end))
             late = (a.getField("zoned") == b.getField("zoned")) & (a.getField("at") > b.getField("at"))
             branches.append(F.when(late, F.lit(f"{start} after {end}")))
-    return df.select(SRC, F.explode(F.array_compact(F.array(*branches))).alias("rule")).select("rule", SRC)
+    rules = F.array_compact(F.array(*branches)).cast("array<string>")
+    return df.select(SRC, F.explode(rules).alias("rule")).select("rule", SRC)
 
 
 def foreign_key_orphans(df: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:

@@ -55,8 +55,8 @@ def entries():
             ),
         ),
         "q03_numeric_aware_sort": (
-            lambda s, d: Q.sort_rows(_survey(s, d), "site").limit(200).select("__source_record", "site"),
-            with_tables(f"SELECT __source_record, site FROM t ORDER BY {key}, __source_record LIMIT 200", t=SURVEY),
+            lambda s, d: Q.sorted_positions(_survey(s, d), "site").select("position", "__source_record", "site"),
+            with_tables(f"SELECT row_number() OVER (ORDER BY {key}, __source_record) AS position, __source_record, site FROM t", t=SURVEY),
         ),
         "q04_page": (
             lambda s, d: Q.page(_survey(s, d), 120, 50),

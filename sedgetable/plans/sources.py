@@ -61,10 +61,10 @@ def _mixed_folder(s, d):
     kind = F.col("nationkey").cast("int") % 5
     good = F.concat_ws(",", "custkey", "name", "nationkey")
     line = F.when(kind == 1, F.concat_ws(";", "custkey", "name")).when(kind == 2, F.concat(good, F.lit(",extra"))).otherwise(good)
-    rows = base.filter(kind < 4).select(kind.alias("kind"), "__source_record", line.alias("line"))
-    heads = s.range(4).select(F.col("id").cast("int").alias("kind"), F.lit(0).cast("long").alias("__source_record"), F.when(F.col("id") == 1, "custkey;name").otherwise("custkey,name,nationkey").alias("line"))
+    rows = base.select(kind.alias("kind"), "__source_record", line.alias("line"))
+    heads = s.range(5).select(F.col("id").cast("int").alias("kind"), F.lit(0).cast("long").alias("__source_record"), F.when(F.col("id") == 1, "custkey;name").otherwise("custkey,name,nationkey").alias("line"))
     both = rows.unionByName(heads)
-    both.repartition(4, "kind").sortWithinPartitions("kind", "__source_record").select("kind", "line").write.partitionBy("kind").text(folder)
+    both.repartition("kind").sortWithinPartitions("kind", "__source_record").select("kind", "line").write.partitionBy("kind").text(folder)
     return folder
 
 
@@ -113,7 +113,7 @@ def _headers(s, d, strict: bool = True):
     """Orders under a header with outer spaces, a blank and repeated names."""
     rows = load(s, d, ORDERS).select("__source_record", F.concat_ws(",", "orderkey", "custkey", "status", "priority").alias("line"))
     head = s.range(1).select(F.lit(0).cast("long").alias("__source_record"), F.lit(" orderkey ,,custkey,custkey").alias("line"))
-    path = _lines(head.unionByName(rows), s, 1)
+    path = _lines(head.unionByName(rows), s)
     return strict_scan(s, path, multi_line=False) if strict else lenient_scan(s, path, multi_line=False).drop("__row_width")
 
 
@@ -207,7 +207,7 @@ def entries():
     kind = "CAST(nationkey AS INT) % 5"
     headline = "CASE k WHEN 1 THEN 'custkey;name' ELSE 'custkey,name,nationkey' END"
     body = "CASE k WHEN 1 THEN custkey || ';' || name WHEN 2 THEN custkey || ',' || name || ',' || nationkey || ',extra' ELSE custkey || ',' || name || ',' || nationkey END"
-    files = f"""SELECT k, sum(octet_length(encode(line)) + 1) AS bytes, count(*) AS n FROM (SELECT k, {body} AS line FROM (SELECT *, {kind} AS k FROM c) WHERE k < 4 UNION ALL SELECT k, {headline} FROM range(4) r(k)) GROUP BY k"""
+    files = f"""SELECT k, sum(octet_length(encode(line)) + 1) AS bytes, count(*) AS n FROM (SELECT k, {body} AS line FROM (SELECT *, {kind} AS k FROM c) UNION ALL SELECT k, {headline} FROM range(5) r(k)) GROUP BY k"""
     return {
         "src00_literal_values": (
             _literal,
@@ -224,7 +224,7 @@ def entries():
         ),
         "src03_file_probe": (
             _probe,
-            with_tables("SELECT 'kind=' || k AS file, 'utf-8' AS encoding, CASE WHEN k = 1 THEN ';' ELSE ',' END AS delimiter, true AS loadable, CASE WHEN k = 2 THEN 'delimiter uncertain' ELSE '' END AS notes FROM range(4) r(k) WHERE (SELECT count(*) FROM c) > 0", c=CUSTOMER),
+            with_tables("SELECT 'kind=' || k AS file, 'utf-8' AS encoding, CASE WHEN k = 1 THEN ';' ELSE ',' END AS delimiter, true AS loadable, CASE WHEN k = 2 THEN 'delimiter uncertain' ELSE '' END AS notes FROM range(5) r(k) WHERE (SELECT count(*) FROM c) > 0", c=CUSTOMER),
         ),
         "src04_unique_headers": (_headers, with_tables("SELECT __source_record, orderkey, custkey AS column_2, status AS custkey, priority AS custkey_2 FROM o", o=ORDERS)),
         "src04_unstripped_headers": (
@@ -272,9 +272,9 @@ def entries():
             "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS __source_record, CAST(l_orderkey AS VARCHAR) AS orderkey FROM lineitem",
         ),
         "src15_shape_report": (_shape, with_tables("SELECT count(*) AS records, 1 AS lowest, count(*) AS highest, count(*) AS distinct_numbers, true AS contiguous FROM t", t=SURVEY)),
-        "src16_quarantine_rows": (_quarantine_rows, with_tables(f"SELECT custkey, name, nationkey FROM c WHERE {kind} IN (0, 3)", c=CUSTOMER)),
+        "src16_quarantine_rows": (_quarantine_rows, with_tables(f"SELECT custkey, name, nationkey FROM c WHERE {kind} IN (0, 3, 4)", c=CUSTOMER)),
         "src16_quarantine_manifest": (
             _quarantine_manifest,
-            """SELECT 'kind=0' AS file, NULL AS reason FROM (SELECT count(*) FROM customer) UNION ALL SELECT 'kind=1', 'header differs' UNION ALL SELECT 'kind=2', 'a record has another width than the header' UNION ALL SELECT 'kind=3', NULL""",
+            """SELECT 'kind=0' AS file, NULL AS reason FROM (SELECT count(*) FROM customer) UNION ALL SELECT 'kind=1', 'header differs' UNION ALL SELECT 'kind=2', 'a record has another width than the header' UNION ALL SELECT 'kind=3', NULL UNION ALL SELECT 'kind=4', NULL""",
         ),
     }

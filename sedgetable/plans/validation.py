@@ -65,14 +65,14 @@ def _layout(s, d):
             .otherwise(F.array(F.lit("id"), F.lit("name"), F.lit("note")))
         ).alias("position", "name"),
     )
-    declared = load(s, d, "SELECT c_custkey FROM {customer}").filter("c_custkey < 1100").select(
+    declared = load(s, d, "SELECT c_custkey FROM {customer}").select(
         F.concat(F.lit("table "), F.col("c_custkey").cast("string")).alias("table"), F.posexplode(F.array(F.lit("id"), F.lit("name"), F.lit("note"))).alias("position", "name")
     )
     return V.layout_findings(headers, declared)
 
 
 _LAYOUT_SQL = """WITH files AS (SELECT 'file ' || c_custkey AS resource, 'table ' || (c_custkey % 1000) AS "table", CASE WHEN c_custkey % 7 = 3 THEN ['id', 'odd', 'note'] WHEN c_custkey % 5 = 1 THEN ['name', 'id', 'note'] ELSE ['id', 'name', 'note'] END AS names FROM customer),
-  declared AS (SELECT 'table ' || c_custkey AS "table" FROM customer WHERE c_custkey < 1100)
+  declared AS (SELECT 'table ' || c_custkey AS "table" FROM customer)
   SELECT CASE WHEN NOT list_contains(names, f.name) THEN 'absent field' ELSE 'field order' END AS rule, resource, x."table", f.name FROM files x JOIN declared USING ("table"), (VALUES ('id', 1), ('name', 2), ('note', 3)) f(name, place)
     WHERE NOT list_contains(names, f.name) OR list_position(names, f.name) <> f.place
   UNION ALL SELECT 'repeated table', '', "table", '' FROM files GROUP BY "table" HAVING count(*) > 1

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sedgetable.core import SRC, data_columns
+from sedgetable.core import SRC, TableError, data_columns
 
 # A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are
 # fewer than HEAVY_SHARE heavy keys whatever the table size.
@@ -93,11 +94,14 @@ def table_digest(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """New subfolder of the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made only
-    where that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session gets a temporary folder; on a cluster, whose machines do not share
+    theirs, that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise TableError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sedgetable-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

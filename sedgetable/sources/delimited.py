@@ -8,11 +8,12 @@ them freely, and every line is checked as recorded.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sedgetable.core import SRC, TableError, WIDTH
-from sedgetable.sources.headers import MOST_COLUMNS, unique_headers
+from sedgetable.sources.headers import unique_headers
 from sedgetable.sources.numbering import BLOCK, FILE, LINE, number_records, with_position
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -56,8 +57,11 @@ def _schema(width: int, raw: bool = True) -> T.StructType:
 
 
 def record_width(raw: Column, delimiter: str) -> Column:
-    """Fields of a raw record: separators outside quotes plus one; a blank line has none."""
-    outside = F.regexp_replace(raw, '"(?:[^"]|"")*"', "q")
+    """Fields of a raw record: separators outside quotes plus one; a blank line has none.
+
+    A doubled quote closes one quoted run and opens the next, so runs need no nesting.
+    """
+    outside = F.regexp_replace(raw, '"[^"]*+"', "q")
     return F.when(raw == "", 0).otherwise(F.regexp_count(outside, F.lit(re.escape(delimiter))) + 1)
 
 
@@ -74,63 +78,112 @@ def _parsed(lines: DataFrame, width: int, delimiter: str) -> DataFrame:
     return lines.withColumn("__cells", F.from_csv(RAW, _schema(width, raw=False).simpleString()[7:-1].replace(":", " "), options)).select("*", "__cells.*").drop("__cells")
 
 
-def _multi_line_problems(spark: SparkSession, path: str, width: int, encoding: str, delimiter: str) -> DataFrame:
-    rows = _reader(spark, encoding, delimiter).schema(_schema(width)).option("header", True).load(path)
-    wide = rows.select(F.col("_metadata.file_path").alias(FILE), F.col(RAW), "c0").filter(F.col(RAW).isNotNull())
+def _refuse(problems: DataFrame) -> None:
+    bad = problems.filter("reason is not null").first()
+    if bad is not None:
+        raise TableError(f"{bad['reason']}: {bad['sample']!r}")
+
+
+def _text_problems(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Bytes that are not text in UTF-8, and quotes that stay open, per file of a multi-line load."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), "value")
+    per_file = text.groupBy(FILE).agg(F.max(~F.is_valid_utf8("value")).alias("bad"), (F.sum(F.regexp_count("value", F.lit('"'))) % 2).alias("open"), F.count("*").alias("lines"))
+    return per_file if encoding in ("utf-8", "utf-8-sig") else per_file.limit(0)
+
+
+def _multi_line_problems(spark: SparkSession, path: str, rows: DataFrame, header: list[str], encoding: str) -> DataFrame:
+    """Records of another width, files with another header, blank lines and broken text.
+
+    The reader drops blank lines, so each file's lines are counted: a record takes
+    one, and one more for every line break inside its cells.
+    """
+    cells = [f"c{i}" for i in range(len(header))]
+    other = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cells]) != F.array(*[F.lit(name) for name in header])
     # Raw text may not be read without a data column, so the sample touches one.
     sample = F.concat(F.substring(RAW, 1, 200), F.coalesce(F.substring("c0", 1, 0), F.lit("")))
-    out = wide.select(FILE, F.lit("a record has another width than the header").alias("reason"), sample.alias("sample"))
-    if encoding in ("utf-8", "utf-8-sig"):
-        text = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), "value")
-        per_file = text.groupBy(FILE).agg(F.max(~F.is_valid_utf8("value")).alias("bad"), (F.sum(F.regexp_count("value", F.lit('"'))) % 2).alias("open"))
-        reason = F.when(F.col("bad"), "bytes are not valid in this encoding").when(F.col("open") == 1, "a quoted value is never closed")
-        out = out.unionByName(per_file.select(FILE, reason.alias("reason"), F.lit("").alias("sample")).filter("reason is not null"))
-    return out
+    breaks = 1 + F.regexp_count(F.concat_ws(" ", *cells), F.lit("\r\n|\r|\n"))
+    found = rows.groupBy(FILE).agg(
+        F.max(F.when(F.col(RAW).isNotNull(), sample)).alias("wide"),
+        F.max((F.col(LINE) == 1) & other).alias("other"),
+        F.sum(breaks).alias("taken"),
+    )
+    text = _text_problems(spark, path, encoding)
+    reason = (
+        F.when(F.col("bad"), "bytes are not valid in this encoding")
+        .when(F.col("open") == 1, "a quoted value is never closed")
+        .when(F.col("wide").isNotNull(), "a record has another width than the header")
+        .when(F.coalesce("other", F.lit(True)), "a file has another header than the first")
+        .when(F.col("lines") != F.col("taken"), "a blank line has another width than the header")
+    )
+    return found.join(text, FILE, "full").select(FILE, reason.alias("reason"), F.coalesce("wide", FILE).alias("sample"))
 
 
-def _single_line_problems(lines: DataFrame, width: int, delimiter: str) -> DataFrame:
+def _single_line_problems(lines: DataFrame, width: int, delimiter: str, header: str) -> DataFrame:
     reason = (
         F.when(~F.is_valid_utf8(RAW), "bytes are not valid in this encoding")
         .when(F.regexp_count(RAW, F.lit('"')) % 2 == 1, "a quoted value is never closed")
         .when(record_width(F.col(RAW), delimiter) != width, "a record has another width than the header")
+        .when((F.col(LINE) == 1) & (F.col(RAW) != header), "a file has another header than the first")
     )
-    return lines.select(FILE, reason.alias("reason"), F.substring(RAW, 1, 200).alias("sample")).filter("reason is not null")
+    return lines.select(FILE, reason.alias("reason"), F.substring(RAW, 1, 200).alias("sample"))
 
 
 def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """Quoted delimited files with one header; any record of another width fails the whole load."""
+    """Quoted delimited files with one header, which every file repeats.
+
+    A record of another width, a blank line, another header or broken text fails the
+    whole load.
+    """
     if multi_line:
         first = _reader(spark, encoding, delimiter).load(path).first()
         header = None if first is None else ["" if v is None else v for v in first]
     else:
         lines = _single_lines(spark, path, encoding, delimiter)
         head = lines.filter(F.col(SRC) == 1).withColumn("__w", record_width(F.col(RAW), delimiter))
-        width = head.select("__w").first()
-        if width is None or not 1 <= width[0] <= MOST_COLUMNS:
-            raise TableError(f"a table has 1 to {MOST_COLUMNS} columns")
-        first = _parsed(head, width[0], delimiter).first()
-        header = [first[f"c{i}"] or "" for i in range(width[0])]
+        top = head.select("__w", RAW).first()
+        if top is None or top["__w"] < 1:
+            raise TableError("the source has no header")
+        first = _parsed(head, top["__w"], delimiter).first()
+        header = [first[f"c{i}"] or "" for i in range(top["__w"])]
     if not header:
         raise TableError("the source is empty")
     names = unique_headers(header)
-    problems = _multi_line_problems(spark, path, len(names), encoding, delimiter) if multi_line else _single_line_problems(lines, len(names), delimiter)
-    bad = problems.first()
-    if bad is not None:
-        raise TableError(f"{bad['reason']}: {bad['sample']!r}")
     if multi_line:
-        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(len(names))).option("header", True).load(path)))
-        number = F.col(SRC)
+        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(len(names))).load(path)))
+        _refuse(_multi_line_problems(spark, path, rows, header, encoding))
+        rows = rows.filter(F.col(LINE) > 1)
     else:
+        _refuse(_single_line_problems(lines, len(names), delimiter, top[RAW]))
         rows = _parsed(lines.filter(F.col(LINE) > 1), len(names), delimiter)
-        number = F.col(SRC) - F.col("__files_before") - 1
+    number = F.col(SRC) - F.col("__files_before") - 1
     return rows.select(number.alias(SRC), *[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
+def below_header(lines: DataFrame, header_row: int, repeats: Column, touched: Sequence[Column] = ()) -> tuple[DataFrame, Column]:
+    """Lines after the header, and their numbers.
+
+    One header heads all files, as where a table is written in parts, or every file
+    repeats it in the same row; ``repeats`` is true for a line equal to the header. A
+    header in some of the later files only is refused.
+    """
+    if not header_row:
+        return lines, F.col(SRC)
+    at = F.col(LINE) == header_row
+    found = lines.agg(F.count_distinct(FILE).alias("files"), F.count_if(at & repeats).alias("heads"), *touched).first()
+    if found["heads"] <= 1:
+        return lines.filter(F.col(SRC) > header_row), F.col(SRC) - header_row
+    if found["heads"] < found["files"]:
+        raise TableError("some files repeat the header and some do not")
+    return lines.filter(F.col(LINE) > header_row), F.col(SRC) - header_row * (F.col("__files_before") + 1)
+
+
 def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", header_row: int = 1, multi_line: bool = True) -> DataFrame:
     """Ragged delimited file: short rows are padded, extra columns are kept, every row records its own width."""
     if multi_line:
-        # One column more than any table has: every record is then reported with its raw text.
-        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(MOST_COLUMNS + 1)).load(path)))
+        # One column more than the widest record: every record is then reported with its raw text.
+        narrow = _reader(spark, encoding, delimiter).schema(_schema(1)).load(path)
+        most = narrow.agg(F.max(F.coalesce(record_width(F.col(RAW), delimiter), F.lit(1))), F.count("c0")).first()[0]
+        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema((most or 1) + 1)).load(path)))
         parse = lambda lines, width: lines
         # The count keeps a data column in the scan, which raw text alone may not be read without.
         touched = [F.count("c0")]
@@ -139,13 +192,15 @@ def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimi
         parse = lambda lines, width: _parsed(lines, width, delimiter)
         touched = []
     numbered = rows.withColumn(WIDTH, record_width(F.col(RAW), delimiter))
+    if encoding in ("utf-8", "utf-8-sig"):
+        broken = _text_problems(spark, path, encoding).filter("bad").select(F.col(FILE).alias("sample")) if multi_line else numbered.filter(~F.is_valid_utf8(RAW)).select(F.substring(RAW, 1, 200).alias("sample"))
+        _refuse(broken.select("sample", F.lit("bytes are not valid in this encoding").alias("reason")))
     widest = numbered.filter(F.col(SRC) >= header_row).agg(F.max(WIDTH), *touched).first()[0]
     if not widest:
         raise TableError("choose a header row within the table")
-    if widest > MOST_COLUMNS:
-        raise TableError(f"the table has more than {MOST_COLUMNS} columns")
     head = parse(numbered.filter(F.col(SRC) == header_row), widest).first()
-    names = unique_headers([head[f"c{i}"] or "" for i in range(head[WIDTH])], strip=False, width=widest)
+    header = [head[f"c{i}"] or "" for i in range(head[WIDTH])]
+    names = unique_headers(header, strip=False, width=widest)
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    body = parse(numbered.filter(F.col(SRC) > header_row), widest)
-    return body.select((F.col(SRC) - header_row).alias(SRC), F.col(WIDTH), *cells)
+    body, number = below_header(numbered, header_row, F.col(RAW) == head[RAW], touched)
+    return parse(body, widest).select(number.alias(SRC), F.col(WIDTH), *cells)

@@ -55,8 +55,8 @@ def verify_integrity(expected: DataFrame, found: DataFrame) -> DataFrame:
 def probe_files(spark: SparkSession, folder: str) -> DataFrame:
     """Encoding and delimiter per file, with notes where the choice is uncertain.
 
-    The delimiter is the one that occurs equally often in every line of the
-    first 64 KiB; otherwise a tab in the first line, else a comma.
+    The delimiter is the one that occurs equally often in every line; otherwise
+    a tab in the first line, else a comma.
     """
     c = F.col("content")
     start = F.hex(F.substring(c, 1, 3))
@@ -67,12 +67,10 @@ def probe_files(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("cp1252")
     )
     files = _files(spark, folder).withColumn("encoding", encoding)
-    head = F.substring(c, 1, 65536)
-    text = F.when(F.col("encoding") == "utf-16", F.decode(head, "UTF-16")).when(F.col("encoding") == "cp1252", F.decode(head, "ISO-8859-1")).otherwise(head.cast("string"))
-    files = files.withColumn("head", F.regexp_replace(F.regexp_replace(text, "^﻿", ""), '"(?:[^"]|"")*"', ""))
-    lines = F.filter(F.split("head", "\r\n|\r|\n"), lambda x: x != "")
-    whole = F.when((F.length("content") > 65536) & (F.size(lines) > 1), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    files = files.withColumn("lines", whole)
+    text = F.when(F.col("encoding") == "utf-16", F.decode(c, "UTF-16")).when(F.col("encoding") == "cp1252", F.decode(c, "ISO-8859-1")).otherwise(c.cast("string"))
+    files = files.withColumn("body", F.regexp_replace(F.regexp_replace(text, "^﻿", ""), '"[^"]*+"', ""))
+    lines = F.filter(F.split("body", "\r\n|\r|\n"), lambda x: x != "")
+    files = files.withColumn("lines", lines)
 
     def consistency(delimiter: str) -> Column:
         counts = F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
@@ -82,7 +80,7 @@ def probe_files(spark: SparkSession, folder: str) -> DataFrame:
     files = files.withColumn("best", best)
     sure = F.col("best.n") > 0
     delimiter = F.when(sure, F.col("best.d")).when(F.contains(F.get("lines", F.lit(0)), F.lit("\t")), "\t").otherwise(",")
-    nul = F.contains(F.col("head"), F.lit("\x00"))
+    nul = F.contains(F.col("body"), F.lit("\x00"))
     notes = F.concat_ws(
         "; ",
         F.when(nul, "NUL bytes: not loadable as text"),

@@ -176,3 +176,60 @@ def test_quarantine(spark, tmp_path):
     assert sorted(tuple(r) for r in table.collect()) == [("a.csv", 1, "1", "x"), ("a.csv", 2, "2", "y")]
     reasons = {r.file: r.reason for r in files.collect()}
     assert reasons == {"a.csv": None, "b.csv": "a record has another width than the header", "c.csv": "header differs", "d.bin": "no tabular adapter for this suffix"}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_long_quoted_cell(spark, tmp_path, multi_line):
+    cell = 'x "" y,' * 150_000
+    path = put(tmp_path, "a.csv", f'id,note\n1,"{cell}"\n2,z\n')
+    assert [(r[1], len(r[2])) for r in rows(strict_scan(spark, path, multi_line=multi_line))] == [("1", 6 * 150_000), ("2", 1)]
+    lenient = lenient_scan(spark, path, multi_line=multi_line)
+    assert [r[1] for r in rows(lenient)] == [2, 2]
+    assert M.probe_files(spark, str(tmp_path)).first()["delimiter"] == ","
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_strict_scan_refuses_other_headers_and_blank_lines(spark, tmp_path, multi_line):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    put(folder, "a.csv", "id,name\n1,a\n")
+    put(folder, "b.csv", "id,name\n2,b\n")
+    assert [r[1] for r in rows(strict_scan(spark, str(folder), multi_line=multi_line))] == ["1", "2"]
+    put(folder, "b.csv", "name,id\nb,2\n")
+    with pytest.raises(TableError, match="header"):
+        strict_scan(spark, str(folder), multi_line=multi_line)
+    path = put(tmp_path, "blank.csv", "id,name\n1,a\n\n2,b\n")
+    with pytest.raises(TableError, match="width"):
+        strict_scan(spark, path, multi_line=multi_line)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_lenient_scan_drops_repeated_headers(spark, tmp_path, multi_line):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name, body in (("a.csv", "id,n\n1,x\n"), ("b.csv", "id,n\n2,y\n3\n")):
+        put(folder, name, body)
+    assert [(r[0], r[2]) for r in rows(lenient_scan(spark, str(folder), multi_line=multi_line))] == [(1, "1"), (2, "2"), (3, "3")]
+    put(folder, "c.csv", "4,z\n")
+    with pytest.raises(TableError, match="repeat"):
+        lenient_scan(spark, str(folder), multi_line=multi_line)
+    path = put(tmp_path, "bad.csv", b"id,n\n1,\xff\n")
+    with pytest.raises(TableError, match="not valid"):
+        lenient_scan(spark, path, multi_line=multi_line)
+
+
+def test_fixed_width_checks_bytes_and_repeated_headers(spark, tmp_path):
+    folder = tmp_path / "fixed"
+    folder.mkdir()
+    put(folder, "a.fwf", "idn\n01a\n")
+    put(folder, "b.fwf", "idn\n02b\n")
+    assert rows(fixed_width_scan(spark, str(folder), [2, 1])) == [(1, "01", "a"), (2, "02", "b")]
+    with pytest.raises(TableError, match="not valid"):
+        fixed_width_scan(spark, put(tmp_path, "bad.fwf", b"idn\n01\xff\n"), [2, 1])
+
+
+def test_wide_tables(spark, tmp_path):
+    names = ",".join(f"c{i}" for i in range(400))
+    path = put(tmp_path, "wide.csv", f"{names}\n{','.join('x' * 400)}\n")
+    assert len(strict_scan(spark, path).columns) == 401
+    assert len(lenient_scan(spark, path).columns) == 402
