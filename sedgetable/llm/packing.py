@@ -40,7 +40,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.runs, self.words = Recent(1 << 19), Recent()
+        self.runs, self.words = Recent(), Recent()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -105,6 +105,7 @@ def _tokenised(path: str, end: int, window: int):
             if out:
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), kinds[6]), pa.nulls(len(out), kinds[7])], names)
+        words.runs = Recent()  # the worker lives on; later tasks need its memory
         seen = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), k) for k in kinds[:6]] + [pa.array(seen), pa.array(frequency[seen])], names)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.llm.words import block_count, joined, pack, unpack, words_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LADDER = (1, 2, 4, 8)
 CLASSES = 1 << 12
 GROUP = 1 << 18
@@ -72,9 +72,12 @@ def _sorted(table: pa.Table) -> pa.Table:
 def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schema: str) -> DataFrame:
     """Apply ``shape(table, words, removed)`` to each block, where ``removed`` marks words to go.
 
-    ``table`` has the columns of ``docs`` beside ``k`` and ``text``.
+    ``table`` has the key as ``k``, the text as ``text``, and the other columns of
+    ``docs``, whose names must differ from those and from ``block``. Both passes read
+    the same exchange, so texts are shuffled once.
     """
-    source = docs.withColumn("k", F.col(key).cast("bigint")).withColumn("text", F.col(text))
+    rest = [c for c in docs.columns if c not in (key, text)]
+    source = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), *rest)
     count = block_count(source, "text", BLOCK_BYTES)
     bounds = _bounds(source, count)
 
@@ -159,7 +162,7 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
         np.add.at(edge, at[repeats] + size, -1)
         return shape(docs_, words, np.cumsum(edge[:-1]) > 0)
 
-    sent = by_block.select("block", "k", "text").groupBy("block").applyInArrow(send, "g int, block int, paths binary")
+    sent = by_block.groupBy("block").applyInArrow(send, "g int, block int, paths binary")
     told = sent.groupBy("g").applyInArrow(subtree, "block int, g int, again binary")
     return by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, schema)
 
@@ -206,16 +209,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    schema = ", ".join(f"c{i} {'bigint' if f.name == key else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def renamed(table: pa.Table, words, removed: np.ndarray) -> pa.Table:
         kept, _, lost = _kept_texts(words, removed)
-        old = table[at[text]].to_pylist()
+        old = table["text"].to_pylist()
         new = pa.array([t.decode() if l else o for t, l, o in zip(kept, lost, old)], pa.string())
-        return pa.table({c: new if c == at[text] else table[c] for c in at.values()})
+        return pa.table({c: new if c == at[text] else table["k" if c == at[key] else c] for c in at.values()})
 
     out = repeated_words(plain, at[key], at[text], size, renamed, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return out.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)])
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 20) -> DataFrame:
