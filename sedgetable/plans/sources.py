@@ -25,6 +25,15 @@ def _lines(df: DataFrame, spark: SparkSession, partitions: int = 3) -> str:
     return folder
 
 
+def _headed_lines(df: DataFrame, head: str, spark: SparkSession, records: int = 5000) -> str:
+    """Write one text column as files of ``records`` records in order, each below the same header."""
+    folder = shared_folder(spark)
+    rows = df.select(F.lpad(F.floor(F.col("__source_record") / records).cast("string"), 9, "0").alias("part"), "__source_record", "line")
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("__source_record"), F.lit(head).alias("line"))
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "__source_record").select("part", "line").write.partitionBy("part").text(folder)
+    return folder
+
+
 def _documents(df: DataFrame, spark: SparkSession) -> str:
     """Write whole documents, one per file; each row holds one document."""
     folder = shared_folder(spark)
@@ -112,8 +121,7 @@ def _quarantine_manifest(s, d):
 def _headers(s, d, strict: bool = True):
     """Orders under a header with outer spaces, a blank and repeated names."""
     rows = load(s, d, ORDERS).select("__source_record", F.concat_ws(",", "orderkey", "custkey", "status", "priority").alias("line"))
-    head = s.range(1).select(F.lit(0).cast("long").alias("__source_record"), F.lit(" orderkey ,,custkey,custkey").alias("line"))
-    path = _lines(head.unionByName(rows), s)
+    path = _headed_lines(rows, " orderkey ,,custkey,custkey", s)
     return strict_scan(s, path, multi_line=False) if strict else lenient_scan(s, path, multi_line=False).drop("__row_width")
 
 

@@ -233,3 +233,28 @@ def test_wide_tables(spark, tmp_path):
     path = put(tmp_path, "wide.csv", f"{names}\n{','.join('x' * 400)}\n")
     assert len(strict_scan(spark, path).columns) == 401
     assert len(lenient_scan(spark, path).columns) == 402
+
+
+def test_pages_of_a_table_with_gaps(table):
+    from sedgetable.operators.search import page, sorted_positions
+
+    df = table(["id"], [["a10"], ["x"], ["a9"], ["x"], ["a1"]]).filter("id <> 'x'")
+    assert [r["id"] for r in page(df, 0, 2).collect()] == ["a10", "a9"]
+    assert [r["id"] for r in page(df, 2, 2).collect()] == ["a1"]
+    assert [r["id"] for r in page(df, 1, 5, "A").collect()] == ["a9", "a1"]
+    assert {r["id"]: r["position"] for r in sorted_positions(df, "id").collect()} == {"a1": 1, "a9": 2, "a10": 3}
+
+
+def test_long_radix_numbers(one):
+    from sedgetable.functions.numbers import script_number_or_null
+
+    values = ["0x1F", "0x" + "f" * 20, "0b" + "1" * 60, "0o777", "0xg", "0x"]
+    assert one(values, script_number_or_null) == [31.0, float(16**20), float(2**60), 511.0, None, None]
+
+
+def test_findings_without_fields_are_empty(table):
+    from sedgetable.operators.validation import temporal_findings, unique_findings
+
+    df = table(["id"], [["a"], ["a"]])
+    assert unique_findings(df, {"fields": [{"name": "id"}]}).count() == 0
+    assert temporal_findings(df, {"fields": [{"name": "id"}]}).count() == 0
