@@ -86,7 +86,7 @@ class ByteBpe:
         self.special_cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if specials else None
         self.pieces = regex.compile(PIECES)
         self.ints = list(range(max(self.token_bytes) + 1))
-        self.bare, self.spaced, self.known = Recent(), Recent(), Recent()
+        self.bare, self.spaced, self.known = Recent(1 << 14), Recent(2 * CACHE), Recent()
 
     def forced_fragments(self, piece: bytes) -> list[bytes]:
         """Cut between two bytes that no token holds side by side."""
