@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sedgetable.functions.text import is_blank
 from sedgetable.operators import findings as N, profiles as P
 from sedgetable.plans.inputs import DICTIONARY_ROWS, SURVEY, SURVEY_COLUMNS, DECIMAL, cells, dictionary, load, matches, script_number, trim, trim_record, type_class, with_tables
 
@@ -17,6 +20,14 @@ def _freq(s, d):
     return P.value_frequencies(_survey(s, d))
 
 
+def _approximate(s, d):
+    """Whether each sketch is within four standard errors of the exact count."""
+    survey = _survey(s, d)
+    exact = _freq(s, d).filter(~is_blank(F.col("value"))).groupBy("column").agg(F.count("*").alias("exact_unique"))
+    near = F.abs(F.coalesce("approximate_unique", F.lit(0)) - F.col("exact_unique")) <= 1 + 4 * 0.02 * F.col("exact_unique")
+    return exact.join(P.approximate_distinct(survey, 0.02), "column", "left").select("column", "exact_unique", near.alias("within_error"))
+
+
 def profile_sql() -> str:
     """Column profile from the survey's value frequencies."""
     counts = ", ".join(f"""coalesce(sum(CASE WHEN kind = '{k}' THEN n END), 0) AS "n_{k}", min(CASE WHEN kind = '{k}' THEN f END) AS "f_{k}" """ for k in KINDS)
@@ -97,7 +108,10 @@ def entries():
                 t=SURVEY,
             ),
         ),
-        "p08_approximate_distinct": (lambda s, d: P.approximate_distinct(_survey(s, d)), None),
+        "p08_approximate_distinct": (
+            _approximate,
+            with_tables(f"""SELECT "column", count(DISTINCT value) AS exact_unique, true AS within_error FROM ({_CELLS}) WHERE {trim('value')} <> '' GROUP BY "column" """, t=SURVEY),
+        ),
         "p09_status_rollup": (
             lambda s, d: P.status_rollup(dictionary(s, d)),
             with_tables("SELECT status, count(*) AS fields FROM dict GROUP BY status", dict=DICTIONARY_ROWS),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sedgetable.core import default_fields
 from sedgetable.operators import findings as N, publishing as X
 from sedgetable.plans.inputs import CUSTOMER, DICTIONARY_ROWS, ORDERS, SURVEY, dictionary, load, matches, trim_record, with_tables
+from sedgetable.plans.sources import headed_lines
 from sedgetable.scale import shared_folder
 from sedgetable.sources.delimited import strict_scan
 from sedgetable.sources.sinks import checksum_manifest
@@ -49,11 +50,10 @@ def _star(s, d):
 
 
 def _checksums(s, d):
-    core = load(s, d, CUSTOMER)
-    folder = shared_folder(s)
-    core.coalesce(1).drop("__source_record").write.option("header", True).csv(folder)
-    found = checksum_manifest(s, folder)
-    return found.groupBy().agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.length("sha256") == 64).alias("hashed"))
+    """Customers in files of 500 records; every file's bytes and hash can be told from the table."""
+    rows = load(s, d, CUSTOMER).select("__source_record", F.concat_ws(",", "custkey", "name", "nationkey", "segment").alias("line"))
+    found = checksum_manifest(s, headed_lines(rows, "custkey,name,nationkey,segment", s, 500))
+    return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).alias("part"), "bytes", "sha256")
 
 
 def entries():
@@ -101,5 +101,13 @@ def entries():
             lambda s, d: X.mapped_projection(load(s, d, CUSTOMER), {"custkey": "identifier", "name": "label", "nationkey": "countryCode", "segment": "category"}),
             with_tables('SELECT __source_record, custkey AS identifier, name AS label, nationkey AS "countryCode", segment AS category FROM c', c=CUSTOMER),
         ),
-        "x06_checksum_manifest": (_checksums, None),
+        "x06_checksum_manifest": (
+            _checksums,
+            with_tables(
+                """SELECT part, CAST(octet_length(encode(body)) AS BIGINT) AS bytes, sha256(body) AS sha256 FROM (
+                  SELECT lpad(CAST(__source_record // 500 AS VARCHAR), 9, '0') AS part,
+                    'custkey,name,nationkey,segment' || chr(10) || string_agg(custkey || ',' || name || ',' || nationkey || ',' || segment, chr(10) ORDER BY __source_record) || chr(10) AS body FROM c GROUP BY ALL)""",
+                c=CUSTOMER,
+            ),
+        ),
     }

@@ -25,7 +25,7 @@ def _lines(df: DataFrame, spark: SparkSession, partitions: int = 3) -> str:
     return folder
 
 
-def _headed_lines(df: DataFrame, head: str, spark: SparkSession, records: int = 5000) -> str:
+def headed_lines(df: DataFrame, head: str, spark: SparkSession, records: int = 5000) -> str:
     """Write one text column as files of ``records`` records in order, each below the same header."""
     folder = shared_folder(spark)
     rows = df.select(F.lpad(F.floor(F.col("__source_record") / records).cast("string"), 9, "0").alias("part"), "__source_record", "line")
@@ -121,7 +121,7 @@ def _quarantine_manifest(s, d):
 def _headers(s, d, strict: bool = True):
     """Orders under a header with outer spaces, a blank and repeated names."""
     rows = load(s, d, ORDERS).select("__source_record", F.concat_ws(",", "orderkey", "custkey", "status", "priority").alias("line"))
-    path = _headed_lines(rows, " orderkey ,,custkey,custkey", s)
+    path = headed_lines(rows, " orderkey ,,custkey,custkey", s)
     return strict_scan(s, path, multi_line=False) if strict else lenient_scan(s, path, multi_line=False).drop("__row_width")
 
 
