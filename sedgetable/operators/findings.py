@@ -17,7 +17,7 @@ from sedgetable.functions.dates import is_iso_day, reviewed_date
 from sedgetable.functions.numbers import decimal_or_null, fits_declared_type, script_number_or_null, trimmed_script_number
 from sedgetable.functions.text import folded_name, folded_name_column, is_blank, starts_with_digit, trim_space
 from sedgetable.operators.profiles import TYPE_CLASSES
-from sedgetable.scale import non_first, salted_join, top_rows
+from sedgetable.scale import cells_digest, non_first, salted_join, top_rows
 
 # Marker sets, value shapes and field-name patterns of the rules.
 MISSING_TOKENS = ("NA", "N/A", "NULL", "NONE", "-9999", "?")
@@ -207,8 +207,8 @@ def _record_finding(df: DataFrame, rule: str, severity: str = "Warning", layer:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Every row that repeats an earlier row in all columns."""
-    return _record_finding(non_first(df, data_columns(df)), "exact duplicate rows")
+    """Every row that repeats an earlier row in all columns. Only numbers and digests are shuffled."""
+    return _record_finding(non_first(df.select(SRC, cells_digest(df).alias("__cells")), ["__cells"]), "exact duplicate rows")
 
 
 def row_width(df: DataFrame, header_width: int) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedgetable.core import DATA_TYPES, SRC, STATUSES, WIDTH, Field, explode_marks, require, unpivot_cells
+from sedgetable.core import DATA_TYPES, SRC, STATUSES, WIDTH, Field, TableError, explode_marks, require, unpivot_cells
 from sedgetable.functions.dates import is_iso_day, iso_or_null
 from sedgetable.functions.numbers import DECIMAL, INTEGER, record_number_or_null
 from sedgetable.functions.text import RECORD_SPACE, bind, is_blank
@@ -24,13 +24,37 @@ TRUE_VALUES = ("true", "True", "TRUE", "1")
 FALSE_VALUES = ("false", "False", "FALSE", "0")
 TERM_ADDRESS = r"^https?://[^\s]+\z"
 START_END = (("deploymentStart", "deploymentEnd"), ("eventStart", "eventEnd"))
-_DIRECTIVES = {"Y": "([0-9]{4})", "m": "([0-9]{1,2})", "d": "([0-9]{1,2})", "H": "([0-9]{1,2})", "M": "([0-9]{1,2})", "S": "([0-9]{1,2})", "f": "([0-9]{1,6})", "z": "(Z|[+-][0-9]{2}:?[0-9]{2})"}
+# What the directives of date-time formats stand for.
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_DIRECTIVES = {
+    "Y": "([0-9]{4})",
+    "y": "([0-9]{2})",
+    "m": "([0-9]{1,2})",
+    "b": "((?i:" + "|".join(m[:3] for m in _MONTHS) + "))",
+    "B": "((?i:" + "|".join(_MONTHS) + "))",
+    "d": "([0-9]{1,2})",
+    "j": "([0-9]{1,3})",
+    "a": "((?i:" + "|".join(d[:3] for d in _DAYS) + "))",
+    "A": "((?i:" + "|".join(_DAYS) + "))",
+    "H": "([0-9]{1,2})",
+    "I": "([0-9]{1,2})",
+    "p": "((?i:am|pm))",
+    "M": "([0-9]{1,2})",
+    "S": "([0-9]{1,2})",
+    "f": "([0-9]{1,6})",
+    "z": "(Z|[+-][0-9]{2}:?[0-9]{2})",
+}
 _PARTS = {"Y": "year", "m": "month", "d": "day", "H": "hour", "M": "minute", "S": "second", "f": "fraction", "z": "zone"}
 _ISO_MOMENT = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z"
 
 
 def moment(c: Column, fmt: str | None = None) -> Column:
-    """Struct (zoned, at) of a date-time text, or null when it does not follow the format."""
+    """Struct (zoned, at) of a date-time text, or null when it does not follow the format.
+
+    A two-digit year from 69 on belongs to the 1900s. Names of weekdays are read
+    and not compared with the day.
+    """
     if fmt and fmt != "default":
         pattern, groups = "^", {}
         for literal, directive in re.findall(r"([^%]*)(?:%(.))?", fmt):
@@ -38,17 +62,32 @@ def moment(c: Column, fmt: str | None = None) -> Column:
             if directive == "%":
                 pattern += "%"
             elif directive:
+                if directive not in _DIRECTIVES or directive in groups:
+                    raise TableError(f"date-time format {fmt!r}: %{directive} is unknown or repeated")
                 groups[directive] = len(groups) + 1
                 pattern += _DIRECTIVES[directive]
         pattern += r"\z"
     else:
         pattern, groups = _ISO_MOMENT, {d: i for i, d in enumerate("YmdHMSfz", 1)}
-    parts = F.struct(*[(F.regexp_extract(c, pattern, groups[d]) if d in groups else F.lit("")).alias(name) for d, name in _PARTS.items()])
+    part = lambda d: F.regexp_extract(c, pattern, groups[d]) if d in groups else F.lit("")
+    texts = {name: part(d) for d, name in _PARTS.items()}
+    if "y" in groups:
+        texts["year"] = (part("y").cast("int") + F.when(part("y") >= "69", 1900).otherwise(2000)).cast("string")
+    if "b" in groups or "B" in groups:
+        short = F.lower(F.substring(part("b" if "b" in groups else "B"), 1, 3))
+        texts["month"] = ((F.instr(F.lit("".join(m[:3] for m in _MONTHS)), short) + 2) / 3).cast("int").cast("string")
+    if "I" in groups:
+        half = F.when(F.lower(part("p")) == "pm", 12).otherwise(0)
+        texts["hour"] = F.when(part("I").cast("int").between(1, 12), part("I").cast("int") % 12 + half).otherwise(99).cast("string")
+    parts = F.struct(*[text.alias(name) for name, text in texts.items()], part("j").alias("yearday"))
 
     def read(p: Column) -> Column:
         number = lambda name, default: F.coalesce(p[name].try_cast("int"), F.lit(default))
         hour, minute, second, offset = number("hour", 0), number("minute", 0), number("second", 0), p["zone"]
         day = iso_or_null(number("year", 1900), number("month", 1), number("day", 1))
+        if "j" in groups:
+            counted = F.date_add(F.make_date(number("year", 1900), F.lit(1), F.lit(1)), number("yearday", 0) - 1)
+            day = F.when(F.year(counted) == number("year", 1900), counted.cast("string"))
         shift = F.when(offset.isin("", "Z"), F.lit(0)).otherwise(
             F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int"))
         )
@@ -170,6 +209,25 @@ def temporal_findings(df: DataFrame, schema: Mapping, pairs: Sequence[tuple[str,
     return df.select(SRC, F.explode(rules).alias("rule")).select("rule", SRC)
 
 
+def resource_findings(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings on ``declared(file, bytes, hash)`` against a file manifest; nulls declare nothing.
+
+    A hash may name its algorithm before a colon. Only SHA-256 can be compared; any
+    other one is a warning.
+    """
+    f = found.select("file", F.col("bytes").alias("__bytes"), F.col("sha256").alias("__sha"))
+    algorithm = F.when(F.contains("hash", F.lit(":")), F.lower(F.substring_index("hash", ":", 1))).otherwise("md5")
+    value = F.lower(F.substring_index("hash", ":", -1))
+    other = ~algorithm.isin("sha256", "sha-256")
+    rules = F.array(
+        F.when(F.col("__sha").isNull(), "absent resource"),
+        F.when(F.col("bytes") != F.col("__bytes"), "byte length differs"),
+        F.when(F.col("hash").isNotNull() & other, "checksum not supported"),
+        F.when(~other & (value != F.col("__sha")), "hash differs"),
+    )
+    return declared.join(f, "file", "left").select(F.explode(F.array_compact(rules)).alias("rule"), "file")
+
+
 def foreign_key_orphans(df: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:
     """Nonempty references without a parent record."""
     require(df, [column])

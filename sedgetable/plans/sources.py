@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sedgetable.core import literalise
+from sedgetable.operators import validation as V
 from sedgetable.plans.inputs import CUSTOMER, ORDERS, PARTS, SURVEY, load, with_tables
 from sedgetable.scale import shared_folder
 from sedgetable.sources import manifest as M
@@ -104,6 +105,19 @@ def _integrity(s, d):
     return M.verify_integrity(expected.unionByName(lost), found)
 
 
+def _declared(s, d):
+    """Declarations with a wrong size, a wrong hash, an old algorithm and an absent file."""
+    found = _named(M.source_manifest(s, _mixed_folder(s, d)).filter("not file rlike '(^|/)[._]'"))
+    sha = F.concat(F.lit("sha256:"), F.upper("sha256"))
+    declared = found.select(
+        "file",
+        F.when(F.col("file") == "kind=1", F.col("bytes") + 1).when(F.col("file") != "kind=3", F.col("bytes")).alias("bytes"),
+        F.when(F.col("file") == "kind=2", "sha256:00").when(F.col("file") == "kind=4", "d41d8cd98f00b204e9800998ecf8427e").otherwise(sha).alias("hash"),
+    )
+    lost = found.filter("file = 'kind=3'").select(F.lit("kind=9").alias("file"), "bytes", sha.alias("hash"))
+    return V.resource_findings(declared.unionByName(lost), found)
+
+
 def _probe(s, d):
     return _named(M.probe_files(s, _mixed_folder(s, d)).filter("not file rlike '(^|/)[._]'"))
 
@@ -271,6 +285,10 @@ def entries():
             _integrity,
             "SELECT 'kind=0' AS file, 'unlisted file' AS status FROM (SELECT count(*) FROM customer) UNION ALL SELECT 'kind=1', 'byte length differs' UNION ALL SELECT 'kind=2', 'hash differs' UNION ALL SELECT 'kind=9', 'missing file'",
         ),
+        "v12_declared_resources": (
+            _declared,
+            "SELECT 'kind=1' AS file, 'byte length differs' AS rule FROM (SELECT count(*) FROM customer) UNION ALL SELECT 'kind=2', 'hash differs' UNION ALL SELECT 'kind=4', 'checksum not supported' UNION ALL SELECT 'kind=9', 'absent resource'",
+        ),
         "src13_ordered_csv_round_trip": (
             lambda s, d: strict_scan(s, write_csv(load(s, d, PARTS), shared_folder(s)), multi_line=False),
             with_tables("SELECT row_number() OVER (ORDER BY __source_record) AS __source_record, partkey, name, brand, size FROM a", a=PARTS),

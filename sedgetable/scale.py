@@ -76,6 +76,12 @@ def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: in
 DIGEST_FAN = 10_000
 
 
+def cells_digest(df: DataFrame) -> Column:
+    """SHA-256 of the cells of a row, without its number: equal rows have equal digests."""
+    parts = [F.concat(F.length(F.col(f"`{c}`")).cast("string"), F.lit(":"), F.col(f"`{c}`")) for c in data_columns(df)]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 of one record; every value carries its length, so cell borders cannot shift."""
     parts = [F.concat(F.length(F.col(f"`{c}`")).cast("string"), F.lit(":"), F.col(f"`{c}`")) for c in data_columns(df)]

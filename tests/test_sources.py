@@ -258,3 +258,18 @@ def test_findings_without_fields_are_empty(table):
     df = table(["id"], [["a"], ["a"]])
     assert unique_findings(df, {"fields": [{"name": "id"}]}).count() == 0
     assert temporal_findings(df, {"fields": [{"name": "id"}]}).count() == 0
+
+
+def test_date_time_directives(one):
+    from sedgetable.operators.validation import moment
+
+    def at(text, fmt):
+        r = one([text], lambda c: moment(c, fmt))[0]
+        return None if r is None else r["at"] // 1_000_000
+
+    assert at("05 Feb 21", "%d %b %y") == at("2021-02-05", None)
+    assert at("Friday, March 05 1999 12:30 am", "%A, %B %d %Y %I:%M %p") == at("1999-03-05T00:30:00", None)
+    assert at("2020/366", "%Y/%j") == at("2020-12-31", None) and at("2021/366", "%Y/%j") is None
+    assert at("13 PM", "%I %p") is None and at("1 Xxx", "%d %b") is None
+    with pytest.raises(TableError, match="unknown"):
+        moment(F.lit("x"), "%Q")
