@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 # Pages that meet in one wrapper: a busy host has as many groups as it needs.
 GROUP_PAGES = 256
 SHARE = 0.6
+CLASSES = 1 << 16
 # Elements nested deeper are taken as siblings, as browsers do; content lists above WIDE are aligned first come, first served.
 DEPTH = 160
 WIDE = 250_000
@@ -326,13 +327,15 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     """``key, url, text, n_chars`` of every row.
 
     Pages of a host meet in groups of about ``GROUP_PAGES``, dealt by key and
-    content, so a host with a third of all pages is many groups. Null html gives an
+    address, so a host with a third of all pages is many groups. How many is told by
+    the size of the host's class, a table of at most ``CLASSES`` rows. Null html gives an
     empty text. Repeated rows are extracted each; other columns are not read.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
     kind = rows.schema["k"].dataType.simpleString()
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PAGES)
-    deal = rows.join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("k", "url"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP_PAGES)).cast("int"))
+    rows = rows.withColumn("class", F.pmod(F.xxhash64("host"), F.lit(CLASSES)))
+    sizes = rows.groupBy("class").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PAGES)
+    deal = rows.join(F.broadcast(sizes), "class", "left").withColumn("part", F.pmod(F.xxhash64("k", "url"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP_PAGES)).cast("int"))
 
     def extract(table: pa.Table) -> pa.Table:
         table = table.sort_by([("k", "ascending"), ("url", "ascending"), ("html", "ascending")])
