@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -33,8 +34,9 @@ def starts_with_digit(c: Column) -> Column:
 
 
 def contains_folded(c: Column, text: str) -> Column:
-    """Literal, case-insensitive substring; ``%``, ``_`` and ``\\`` are ordinary."""
-    return F.contains(F.lower(c), F.lower(F.lit(text)))
+    """Literal substring, A-Z folded; ``%``, ``_`` and ``\\`` are ordinary."""
+    fold = lambda x: F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
+    return F.contains(fold(c), fold(F.lit(text)))
 
 
 def folded_name(name: str) -> str:

@@ -82,3 +82,10 @@ def test_units(one):
     assert one(["1"], lambda c: units.convert_unit(c, F.lit("mi"), "km")) == ["1.609344"]
     assert one(["1"], lambda c: units.convert_unit(c, F.lit("kg"), "km")) == [None]
     assert one(["1"], lambda c: units.convert_unit(c, F.lit("C"), "F")) == ["33.8"]
+
+
+def test_search_folds_ascii_only(one):
+    from sedgetable.functions.text import contains_folded
+
+    assert one(["CAFÉ", "café", "cafe"], lambda c: contains_folded(c, "Café")) == [False, True, False]
+    assert one(["ABC", "x%y"], lambda c: contains_folded(c, "b")) == [True, False]
