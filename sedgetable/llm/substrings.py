@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sedgetable.llm.words import block_count, joined, pack, unpack, words_of
+from sedgetable.llm.words import block_count, joined, pack, portions, unpack, words_of
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LADDER = (1, 2, 4, 8)
 CLASSES = 1 << 12
 GROUP = 1 << 18
@@ -44,9 +44,9 @@ def _paths(h: np.ndarray, size: int) -> np.ndarray:
     return out[: max(0, len(h) - size + 1)]
 
 
-def _windows(table: pa.Table, size: int):
-    """Words of the block's texts, with the start position, path and prefix classes of every window."""
-    words = words_of(table["text"])
+def _windows(texts: pa.Array | pa.ChunkedArray, size: int):
+    """Words of the texts, with the start position, path and prefix classes of every window."""
+    words = words_of(texts)
     h = words.hashes()
     room = words.first[1:][words.text] - np.arange(len(h)) >= size
     at = np.flatnonzero(room)
@@ -93,10 +93,11 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
         """Suffixes per prefix length and class: the sizes that decide each group's prefix."""
         sums = np.zeros((len(LADDER), CLASSES), np.int64)
         for batch in batches:
-            _, h, at, _ = _windows(pa.Table.from_batches([batch]), size)
-            for row, length in enumerate(LADDER):
-                if length <= size:
-                    sums[row] += np.bincount(_prefix_classes(h, at, length), minlength=CLASSES)
+            for part in portions(batch.column(0)):
+                _, h, at, _ = _windows(part, size)
+                for row, length in enumerate(LADDER):
+                    if length <= size:
+                        sums[row] += np.bincount(_prefix_classes(h, at, length), minlength=CLASSES)
         row, cls = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cls), pa.array(sums[row, cls])], ["row", "cls", "n"])
 
@@ -120,7 +121,7 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
         return (joined(code, code) % np.uint64(groups)).astype(np.int64)
 
     def order(table: pa.Table):
-        words, h, at, path = _windows(table, size)
+        words, h, at, path = _windows(table["text"], size)
         group = group_of(h, at, path)
         by = np.lexsort((path, group))
         first = np.ones(len(by), bool)
