@@ -87,8 +87,8 @@ def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
 
 def edit_events(changes: DataFrame, last_sequence: int, action: str, rationale: str, reviewer: str) -> DataFrame:
     """New log rows, numbered on from the last sequence in record and column order."""
-    if not rationale.strip() or len(rationale) > 2000 or len(reviewer) > 200:
-        raise TableError("an edit needs a rationale of 1 to 2000 characters")
+    if not rationale.strip():
+        raise TableError("an edit needs a rationale")
     numbered = number_rows(changes, [SRC, "column"], "sequence", last_sequence + 1)
     return numbered.select(
         "sequence", SRC, "column", "before", "after", F.lit(action).alias("action"), F.lit(None).cast("long").alias("reference"), F.lit(rationale.strip()).alias("rationale"), F.lit(reviewer.strip()).alias("reviewer")
@@ -110,6 +110,35 @@ def edit_states(log: DataFrame) -> DataFrame:
     return latest.select("edit", "last_action", "last_sequence", state.alias("state"))
 
 
+def step_events(log: DataFrame, action: str, rationale: str, reviewer: str, groups: DataFrame | None = None) -> DataFrame:
+    """Log rows that undo the newest active edit, or redo the oldest one that can be redone.
+
+    Where that edit lies in one of ``groups(first_sequence, last_sequence)``, whose
+    sequences are contiguous, the whole group is one step. A cell that does not hold
+    what the step starts from fails the result.
+    """
+    if action not in ("undo", "redo"):
+        raise TableError("a step is an undo or a redo")
+    if not rationale.strip():
+        raise TableError("an edit needs a rationale")
+    states = edit_states(log)
+    edge = F.max(F.when(F.col("state") == "active", F.col("edit"))) if action == "undo" else F.min(F.when(F.col("state") == "redoable", F.col("edit")))
+    edit = states.agg(edge).first()[0]
+    if edit is None:
+        raise TableError(f"nothing to {action}")
+    group = None if groups is None else groups.filter(F.lit(edit).between(F.col("first_sequence"), F.col("last_sequence"))).first()
+    first, last = (edit, edit) if group is None else (group["first_sequence"], group["last_sequence"])
+    end = log.agg(F.max("sequence")).first()[0]
+    latest = log.groupBy(SRC, "column").agg(F.max_by("after", "sequence").alias("__now"))
+    rows = log.filter(F.col("sequence").between(first, last) & F.col("action").isin(*NEW_ACTIONS)).join(latest, [SRC, "column"])
+    start, to = ("after", "before") if action == "undo" else ("before", "after")
+    held = F.when(F.col("__now") == F.col(start), F.col(start)).otherwise(F.raise_error(F.lit(f"{action} refused: a cell holds another value")))
+    return rows.select(
+        (F.lit(end + 1 - first) + F.col("sequence")).alias("sequence"), SRC, "column", held.alias("before"), F.col(to).alias("after"),
+        F.lit(action if group is None else f"batch-{action}").alias("action"), F.col("sequence").alias("reference"), F.lit(rationale.strip()).alias("rationale"), F.lit(reviewer.strip()).alias("reviewer"),
+    )
+
+
 def chain_breaks(log: DataFrame) -> DataFrame:
     """Log rows whose ``before`` is not the ``after`` of the previous edit of the same cell."""
     with_previous = previous_value(log, [SRC, "column"], "sequence", "after", "previous")

@@ -38,6 +38,27 @@ def _events(s, d):
     return H.edit_events(H.trim_changes(_survey(s, d), TARGETS), 100, "batch-trim", "outer whitespace", "curator")
 
 
+def _batch_step(action: str):
+    """The trim batch as one group, undone, and for a redo done again."""
+
+    def run(s, d):
+        log = _events(s, d)
+        group = log.agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+        undone = H.step_events(log, "undo", "not wanted", "curator", group)
+        return undone if action == "undo" else H.step_events(log.unionByName(undone), "redo", "wanted", "curator", group)
+
+    return run
+
+
+def _step_sql(action: str) -> str:
+    """Every change of the batch again, behind as many steps as came before."""
+    steps, cells, why = (1, "after AS before, before AS after", "not wanted") if action == "undo" else (2, "before, after", "wanted")
+    return _changes_sql(
+        f"""SELECT 100 + {steps} * (SELECT count(*) FROM changes) + n AS sequence, __source_record, "column", {cells}, 'batch-{action}' AS action, 100 + n AS reference, '{why}' AS rationale, 'curator' AS reviewer
+        FROM (SELECT *, row_number() OVER (ORDER BY __source_record, "column") AS n FROM changes)"""
+    )
+
+
 def _conflicts(s, d):
     edits = load(s, d, EDITS).filter("action <> 'redo'").select("__source_record", "column", "before", "after")
     more = _customers(s, d).filter("__source_record % 50 = 0").select(F.col("__source_record") + 100000000, F.lit("name"), F.lit("x"), F.lit("y"))
@@ -114,6 +135,8 @@ def entries():
                 """SELECT 100 + row_number() OVER (ORDER BY __source_record, "column") AS sequence, __source_record, "column", before, after, 'batch-trim' AS action, CAST(NULL AS BIGINT) AS reference, 'outer whitespace' AS rationale, 'curator' AS reviewer FROM changes"""
             ),
         ),
+        "h05_batch_undo_events": (_batch_step("undo"), _step_sql("undo")),
+        "h05_batch_redo_events": (_batch_step("redo"), _step_sql("redo")),
         "h04_table_as_of": (_half_way, as_of("(SELECT max(sequence) // 2 FROM log)")),
         "h05_edit_states": (
             lambda s, d: H.edit_states(load(s, d, EDITS)),

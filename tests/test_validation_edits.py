@@ -110,3 +110,26 @@ def test_events_are_numbered_on(table):
     assert [(r.sequence, r[SRC], r["column"]) for r in events.orderBy("sequence").collect()] == [(8, 1, "a"), (9, 1, "b"), (10, 2, "b")]
     with pytest.raises(TableError):
         H.edit_events(df, 0, "edit", " ", "me")
+
+
+def test_undo_and_redo_steps(spark):
+    import pytest
+    from sedgetable.core import TableError
+    from sedgetable.operators.edits import step_events
+
+    schema = "sequence long, __source_record long, `column` string, before string, after string, action string, reference long, rationale string, reviewer string"
+    log = spark.createDataFrame([(1, 1, "a", "x", "y", "edit", None, "r", "w"), (2, 2, "a", "p", "q", "batch-trim", None, "r", "w"), (3, 3, "a", "p", "q", "batch-trim", None, "r", "w")], schema)
+    groups = spark.createDataFrame([(2, 3)], "first_sequence long, last_sequence long")
+    steps = []
+    for action in ("undo", "undo", "redo", "redo"):
+        new = step_events(log, action, "r", "w", groups)
+        steps.append(sorted((r["sequence"], r["before"], r["after"], r["action"], r["reference"]) for r in new.collect()))
+        log = spark.createDataFrame(log.unionByName(new).collect(), schema)
+    assert steps == [
+        [(4, "q", "p", "batch-undo", 2), (5, "q", "p", "batch-undo", 3)],
+        [(6, "y", "x", "undo", 1)],
+        [(7, "x", "y", "redo", 1)],
+        [(8, "p", "q", "batch-redo", 2), (9, "p", "q", "batch-redo", 3)],
+    ]
+    with pytest.raises(TableError, match="nothing"):
+        step_events(log, "redo", "r", "w", groups)
