@@ -92,14 +92,19 @@ def run_available(stream: DataFrame, folder: str, name: str) -> str:
 def flag_repeats(spark: SparkSession, stream: DataFrame, folder: str, horizon: str = "1 hour", horizon_ms: int = 3_600_000) -> DataFrame:
     """Flag repeats of an identifier; ``stream(identifier, __source_record, at)``.
 
-    State lives until the watermark passes the newest sighting plus the horizon,
-    so a later repeat is not flagged. Two stages keep a hot identifier from
-    filling one task: rows are first flagged per (identifier, salt), and only the
-    first row of each salt reaches the stage that is keyed by identifier alone.
+    State lives until the watermark passes the newest sighting plus the horizon.
+    Rows that come later than the watermark cannot be compared with state; they
+    are kept with a null flag, so nothing that arrived is lost. Two stages keep a
+    hot identifier from filling one task: rows are first flagged per (identifier,
+    salt), and only the first row of each salt reaches the stage that is keyed by
+    identifier alone. The source is read twice, as files and logs can be.
     """
+    arrived = run_available(stream.select("identifier", SRC, "at"), folder, "arrived")
     salted = stream.withColumn("salt", F.pmod(F.xxhash64(SRC), F.lit(SALTS)).cast("int"))
     first = run_available(_flag_groups(salted, ["identifier", "salt"], horizon, horizon_ms), folder, "salted")
     local = spark.read.schema(_FLAGGED).parquet(first)
     heads = spark.readStream.schema(_FLAGGED).parquet(first).filter("not repeat").select("identifier", SRC, "at")
     second = run_available(_flag_groups(heads, ["identifier"], horizon, horizon_ms), folder, "whole")
-    return local.filter("repeat").unionByName(spark.read.schema(_FLAGGED).parquet(second))
+    flagged = local.filter("repeat").unionByName(spark.read.schema(_FLAGGED).parquet(second))
+    late = spark.read.schema(_FLAGGED).parquet(arrived).join(flagged.select(SRC), SRC, "left_anti")
+    return flagged.unionByName(late.select("identifier", SRC, "at", F.lit(None).cast("boolean").alias("repeat")))

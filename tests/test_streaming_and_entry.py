@@ -44,6 +44,20 @@ def test_stream_repeats_split_a_hot_identifier(spark, tmp_path):
     assert got == {k: (1, n) for k, n in {r.identifier: r.n for r in df.groupBy("identifier").agg(F.count("*").alias("n")).collect()}.items()}
 
 
+def test_late_stream_rows_are_kept(spark, tmp_path):
+    import time
+
+    for n, (key, minute) in enumerate([("a", 0), ("b", 300), ("b", 301), ("b", 302), ("a", 5)]):
+        row = spark.createDataFrame([(key, n, 1_600_000_000 + 60 * minute)], f"identifier string, {SRC} long, s long")
+        row.withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flagged = flag_repeats(spark, stream, str(tmp_path / "out"), "1 minute", 60_000)
+    got = {r[SRC]: r["repeat"] for r in flagged.collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: None}
+
+
 def test_salting_spreads_a_heavy_key(spark, table):
     big = table(["k"], [("hot",)] * 400 + [(str(i),) for i in range(50)], 4)
     small = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, x int")
