@@ -49,7 +49,7 @@ class WordIds:
         self.alphabet = byte_alphabet()
 
     def _word(self, piece: str) -> bytes:
-        mapped = "".join([self.alphabet[b] for b in piece.encode()])
+        mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])  # visible ASCII stands for itself
         return array(self.code, [t.id for t in self.whole.model.tokenize(mapped)]).tobytes()
 
     def _run(self, run: str) -> bytes:
@@ -61,16 +61,13 @@ class WordIds:
         get, keep = self.words.young.get, self.words.keep
         return b"".join([get(piece) or keep(piece, lambda: self._word(piece)) for piece in pieces])
 
+    def _kept(self, run: str) -> bytes:
+        return self.runs.keep(run, lambda: self._run(run))
+
     def encode(self, text: str) -> bytes:
         odd = any(c in text for c in ODD_SPACES)
-        get, keep, out = self.runs.young.get, self.runs.keep, []
-        for run in self.not_white.findall(text) if odd else text.split():
-            found = get(run)
-            if found is None:
-                found = keep(run, lambda: self._run(run))
-                get = self.runs.young.get
-            out.append(found)
-        return b"".join(out)
+        get, kept = self.runs.young.get, self._kept
+        return b"".join([get(run) or kept(run) for run in (self.not_white.findall(text) if odd else text.split())])
 
 
 @lru_cache(maxsize=1)
@@ -118,8 +115,10 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        pairs = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+        kind = np.uint32 if len(idf) * n < 1 << 32 else np.uint64
+        pairs = np.concatenate(docs).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes)
         pairs, tf = np.unique(pairs, return_counts=True)
+        pairs = pairs.astype(np.int64)
         term, self.doc = pairs // n, pairs % n
         useful = idf[term] > 0
         term, self.doc, tf = term[useful], self.doc[useful], tf[useful]
