@@ -49,7 +49,7 @@ class WordIds:
         self.alphabet = byte_alphabet()
 
     def _word(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])  # visible ASCII stands for itself
+        mapped = piece if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])  # visible ASCII stands for itself
         return array(self.code, [t.id for t in self.whole.model.tokenize(mapped)]).tobytes()
 
     def _run(self, run: str) -> bytes:
