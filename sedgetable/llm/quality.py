@@ -53,11 +53,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Log ratio of each bucket, and the labels (1 good, 0 bad) left for setting the cut.
 
     The raw model counts every document. The target model counts good rows of the
-    labelled sample: quality 1 and not toxic. Counts are summed per task, then by
-    bucket, so at most ``BUCKETS`` rows reach the driver.
+    labelled sample: quality 1 and not toxic. Bad are quality 0 and every toxic row.
+    Counts are summed per task, then by bucket, so at most ``BUCKETS`` rows reach the driver.
     """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    bad = F.col("quality") == 0
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     known = labels.filter(F.col(key).isNotNull() & (good | bad)).select(key, good.cast("int").alias("good"))
     # Rows of low hash are picked by a share first, so that all tasks together send on few more than the sample.
     share = min(1.0, 1.2 * LABELLED / max(1, known.count()))
