@@ -36,13 +36,14 @@ def decided(pages: DataFrame, key: str, payload: Column, min_bytes: int = 0) ->
     """``pages`` with ``refers_to``: the largest key of equal payloads of at least ``min_bytes`` where that is another row.
 
     Digests travel without payloads: combined per digest before the shuffle, then
-    joined on the digest with skew handling, and only repeats are joined back by key.
+    joined on the digest with skew handling, and only repeats are joined back, by key and
+    digest, as a key may have several payloads.
     """
     sha = pages.select(F.col(key).alias("__page"), F.sha1(payload).alias("__sha"), F.octet_length(payload).alias("__size"))
     sha = sha.filter((F.col("__size") >= min_bytes) & F.col("__page").isNotNull()).drop("__size")
     latest = sha.groupBy("__sha").agg(F.max("__page").alias("__last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    repeats = sha.join(latest, "__sha").filter("__page < __last").select("__page", F.col("__last").alias("refers_to")).distinct()
-    return pages.join(repeats, pages[key] == repeats["__page"], "left").drop("__page")
+    repeats = sha.join(latest, "__sha").filter("__page < __last").select("__page", "__sha", F.col("__last").alias("refers_to")).distinct()
+    return pages.join(repeats, (pages[key] == repeats["__page"]) & (F.sha1(payload) == repeats["__sha"]), "left").drop("__page", "__sha")
 
 
 def _record_id(page: int | None) -> str:
