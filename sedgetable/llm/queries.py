@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedgetable.llm import bpe, lm, packing, quality, rules, simhash, substrings, topk, warc, wrappers
+from sedgetable.llm import bpe, collocations, kdshards, lm, merkle, packing, quality, rules, simhash, substrings, topk, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,6 +129,90 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS size))),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score
+  FROM k JOIN f AS l ON k.lang = l.lang AND array_to_string(k.words[:k.k], ' ') = l.phrase
+  JOIN f AS r ON k.lang = r.lang AND array_to_string(k.words[k.k + 1:], ' ') = r.phrase),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, words, a, m, unnest(range(1, size - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < size)
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, score
+FROM b JOIN t ON b.lang = t.lang LEFT JOIN h ON b.lang = h.lang AND b.phrase = h.phrase
+WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) <= 2000
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"), tampered)
+
+
+def _tree_sql(name: str, first: str, levels: int) -> str:
+    """Levels ``{name}0`` to ``{name}{levels}`` above the nodes ``first(g, i, h)``, each with its siblings."""
+    run = "PARTITION BY g, i // 8 ORDER BY i"
+    out, source = [], first
+    for j in range(levels + 1):
+        out.append(f"""{name}{j} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n,
+  coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM ({source}))""")
+        source = f"SELECT g, i // 8 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{j} GROUP BY g, i // 8"
+    return ",\n".join(out)
+
+
+def _op12_sql(levels: int = 7, top_levels: int = 4) -> str:
+    """Up to 8**levels documents of a language, and 8**top_levels languages."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END)"""
+    joins = []
+    for name, depth, key, at in (("t", levels, "x.g", "x.i"), ("u", top_levels, "0", "x.top")):
+        for j in range(depth):
+            node = f"{name}{j}"
+            joins.append(f"JOIN {node} ON {node}.g = {key} AND {node}.i = {at} // {8**j}")
+    # Each step of the fold is a column of its own, as a nested one would repeat itself.
+    steps = []
+    for k, join in enumerate(joins):
+        node = join.split()[1]
+        steps.append(f"f{k} AS (SELECT x.* EXCLUDE (changed, siblings), CASE WHEN n = 1 THEN x.changed ELSE sha256({node}.before || x.changed || {node}.after) END AS changed, x.siblings || {node}.before || {node}.after AS siblings FROM {f'f{k - 1}' if k else 'd'} AS x {join})")
+    return f"""WITH b AS (
+  SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(folded)} END AS changed FROM documents),
+l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+e AS (SELECT doc_id, leaf, coalesce(changed, leaf) AS changed, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM b JOIN l ON b.lang IS NOT DISTINCT FROM l.lang),
+{_tree_sql('t', 'SELECT g, i, leaf AS h FROM e', levels)},
+{_tree_sql('u', f'SELECT 0 AS g, g AS i, h FROM t{levels}', top_levels)},
+d AS (SELECT doc_id, leaf, changed, '' AS siblings, g, i, g AS top FROM e),
+{",".join(steps)}
+SELECT doc_id, leaf, t{levels}.h AS subroot, u{top_levels}.h AS root, sha256(siblings) AS proof_sha256, changed AS folded_root, changed = u{top_levels}.h AS verified
+FROM f{len(joins) - 1} AS x JOIN t{levels} ON t{levels}.g = x.g JOIN u{top_levels} ON true
+"""
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshards.sharded(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"), shards=16)
+
+
 def entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_bpe_round_trip": (op1_bpe_round_trip, None),
@@ -141,4 +225,7 @@ def entries() -> dict[str, tuple[Query, str | None]]:
         "op8_quality_rules": (op8_quality_rules, OP8_SQL),
         "op9_html_main_text": (op9_html_main_text, None),
         "op10_retrieval_packing": (op10_retrieval_packing, None),
+        "op11_phrase_collocations": (op11_phrase_collocations, OP11_SQL),
+        "op12_merkle_manifest": (op12_merkle_manifest, _op12_sql()),
+        "op13_kd_shards": (op13_kd_shards, None),
     }

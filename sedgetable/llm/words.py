@@ -80,8 +80,8 @@ class Words:
         return h
 
 
-def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Null texts have no words. ``lower`` folds A-Z only."""
+def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False, spaces: np.ndarray = SPACES) -> Words:
+    """Null texts have no words. ``lower`` folds A-Z only; ``spaces`` marks the ASCII bytes between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
@@ -94,7 +94,7 @@ def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     at = at - at[0]
     if lower:
         data = LOWER[data]
-    word = ~SPACES[data]
+    word = ~spaces[data]
     begins, ends = word.copy(), word.copy()
     if len(data):
         begins[1:] &= ~word[:-1]
