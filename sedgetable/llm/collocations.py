@@ -1,18 +1,19 @@
 """Phrase collocations by direct-address tiling.
 
 Words that occur often enough are numbered by falling frequency within their
-language. Two numbers in a row address a cell in a square table of pairs; the table
-is cut into tiles of ``SIDE`` by ``SIDE`` cells. Because frequent words have low
-numbers, the pairs of a block of texts crowd into few tiles, which are counted by a
-dense ``bincount``; what falls into thin tiles is counted as sorted coordinates.
-The pairs that are frequent over all blocks are numbered by falling frequency again
-and become the symbols of the next level: two overlapping pairs address a phrase of
-three words, two overlapping phrases of three one of four. A phrase cannot be more
-frequent than its parts, so nothing frequent is missed.
+language. Two numbers in a row address a cell in a square table of pairs, which is
+cut into tiles of ``2**bits`` by ``2**bits`` cells. Because frequent words have low
+numbers, pairs crowd into the tiles at the head of the table, and these are counted
+by a dense ``bincount``; the thin tiles beyond are counted as sorted coordinates. The
+pairs that are frequent over all blocks are numbered by falling frequency again and
+become the symbols of the next level: two overlapping pairs address a phrase of three
+words, two overlapping phrases of three one of four. A phrase cannot be more frequent
+than its parts, so nothing frequent is missed.
 
 No vocabulary is held in one place. Blocks keep their texts as numbers; their counts
 go to tiles, and a tile answers each block with the numbers of the block's own
-frequent cells. A tile that all blocks fill is cut into ranges of its cells.
+frequent cells. A head tile that many blocks fill is cut into ranges of its cells; the
+thin tiles are dealt to as many groups as their cells ask for.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedgetable.llm.ranks import SHORT_ROWS, numbered
-from sedgetable.llm.words import SPACES, pack, portions, stored, unpack, words_of
+from sedgetable.llm.words import SPACES, joined, pack, portions, stored, unpack, words_of
 from sedgetable.scale import top_rows
 
 # Text of a block, and block cells that meet in one group.
-BLOCK_BYTES, GROUP_CELLS = 4 << 20, 2 << 20
+BLOCK_BYTES, GROUP_CELLS = 8 << 20, 1 << 20
 
 # Characters that end a piece; words of a piece are parted by blanks and tabs.
 ENDS = np.zeros(256, bool)
@@ -39,9 +40,10 @@ BETWEEN = SPACES | ENDS
 
 @dataclass(frozen=True)
 class Grid:
-    """Tiles of ``2**bits`` by ``2**bits`` cells."""
+    """A square of ``head`` by ``head`` tiles of ``2**bits`` by ``2**bits`` cells, and thin tiles beyond it."""
 
     bits: int = 10
+    head: int = 8
 
     @property
     def cells(self) -> int:
@@ -54,11 +56,8 @@ class Grid:
     def cell(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return (u & self.low) << self.bits | (v & self.low)
 
-    def tile(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return (u >> self.bits << 32) | (v >> self.bits)
-
     def pair(self, tile: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (tile >> 32 << self.bits) + (cell >> self.bits), ((tile & 0xFFFFFFFF) << self.bits) + (cell & self.low)
+        return (tile // self.head << self.bits) + (cell >> self.bits), (tile % self.head << self.bits) + (cell & self.low)
 
     def counted(self, cell: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cells of one tile, ascending, and their sums: dense where the tile is full enough, else by sorted coordinates.
@@ -69,24 +68,46 @@ class Grid:
             full = np.bincount(cell, n, self.cells)
             some = np.flatnonzero(full)
             return some, full[some].astype(np.int64)
-        if n is None:
-            return np.unique(cell, return_counts=True)
-        order = np.argsort(cell, kind="stable")
-        some, begin = np.unique(cell[order], return_index=True)
-        return some, np.add.reduceat(n[order], begin) if len(some) else n
-
-    def split(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions whose pair has a cell, by tile; their cells; the tiles, and where each begins."""
+        some, at, sums = summed(cell, n)
+        return cell[at], sums
+
+    def split(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose pair lies in the head, by tile; their cells; the tiles, and where each begins; positions of thin pairs."""
         at = np.flatnonzero((state[:-1] >= 0) & (state[1:] >= 0))
         u, v = state[at], state[at + 1]
-        tile = self.tile(u, v)
+        head = np.maximum(u, v) < self.head << self.bits
+        thin, at, u, v = at[~head], at[head], u[head], v[head]
+        tile = (u >> self.bits) * self.head + (v >> self.bits)
         order = np.argsort(tile, kind="stable")
         tiles, begin = np.unique(tile[order], return_index=True)
-        return at[order], self.cell(u, v)[order], tiles, begin
+        return at[order], self.cell(u, v)[order], tiles, begin, thin
+
+    def region(self, u: np.ndarray, v: np.ndarray, regions: int) -> np.ndarray:
+        """Which of ``regions`` groups each thin pair's tile is dealt to."""
+        tile = joined((u >> self.bits).astype(np.uint64), (v >> self.bits).astype(np.uint64))
+        return (tile % np.uint64(regions)).astype(np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending; where each stands first; and the sum of its ``n``, or how often it stands."""
+    if n is None:
+        return np.unique(keys, return_index=True, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    some, begin = np.unique(keys[order], return_index=True)
+    return some, order[begin], np.add.reduceat(n[order], begin) if len(some) else n[:0]
+
+
+def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for equal pairs of this call, ascending with u, then v."""
+    if max(u.max(initial=0), v.max(initial=0)) >> 32:
+        u, v = (np.unique(x, return_inverse=True)[1] for x in (u, v))
+    return u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64)
 
 
 BLOCKS = "lang string, block bigint, state binary, word string, code bigint, n bigint"
-TILES = "lang string, block bigint, state binary, tile bigint, m bigint, cells binary, counts binary"
+TILES = "lang string, block bigint, state binary, tile bigint, m bigint, us binary, vs binary, counts binary"
+# The tile number of all thin tiles.
+THIN = -1
 
 
 def _coded(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -135,15 +156,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
 
 
 def _emitted(grid: Grid, lang: str, block: int, state: np.ndarray) -> pa.Table:
-    """The block's state, and a row for each of its tiles."""
-    _, cell, tiles, begin = grid.split(state)
-    found = [grid.counted(c) for c in np.split(cell, begin[1:])] if len(tiles) else []
-    k = len(tiles)
-    return pa.table({
-        "lang": [lang] * (k + 1), "block": pa.array([block] * (k + 1), pa.int64()), "state": pa.array([pack(state)] + [None] * k, pa.binary()),
-        "tile": pa.array([None, *tiles.tolist()], pa.int64()), "m": pa.array([None, *[len(c) for c, _ in found]], pa.int64()),
-        "cells": pa.array([None, *[pack(c.astype(np.uint32)) for c, _ in found]], pa.binary()), "counts": pa.array([None, *[pack(n.astype(np.uint32)) for _, n in found]], pa.binary()),
-    })
+    """The block's state, a row for each of its head tiles, and one for all its thin tiles."""
+    _, cell, tiles, begin, thin = grid.split(state)
+    rows = [(pack(state), None, None, None, None, None)]
+    for tile, part in zip(tiles.tolist(), np.split(cell, begin[1:])):
+        cells, n = grid.counted(part)
+        rows.append((None, tile, len(cells), pack(cells.astype(np.uint32)), None, pack(n.astype(np.uint32))))
+    if len(thin):
+        u, v = state[thin], state[thin + 1]
+        _, at, n = summed(pair_keys(u, v))
+        rows.append((None, THIN, len(at), pack(u[at]), pack(v[at]), pack(n.astype(np.uint32))))
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.table([pa.array([lang] * len(rows), pa.string()), pa.array([block] * len(rows), pa.int64()), *cols], ["lang", "block", "state", "tile", "m", "us", "vs", "counts"])
+
+
+def _all(tables: list[pa.Table], grid: Grid) -> pa.Table:
+    return pa.concat_tables(tables) if tables else _emitted(grid, "", 0, np.zeros(0, np.int64)).slice(0, 0)
 
 
 def _from_words(grid: Grid, blocks: pa.Table, told: pa.Table) -> pa.Table:
@@ -154,94 +183,131 @@ def _from_words(grid: Grid, blocks: pa.Table, told: pa.Table) -> pa.Table:
         number = np.full(codes.max(initial=-1) + 2, -1)
         number[told["code"].to_numpy()] = told["index"].to_numpy()
         out.append(_emitted(grid, lang, block, number[codes]))  # code -1 takes the last entry, which stays -1
-    return pa.concat_tables(out) if out else pa.Table.from_batches([], _emitted(grid, "", 0, np.zeros(0, np.int64)).schema)
+    return _all(out, grid)
+
+
+def _looked_up(u: np.ndarray, v: np.ndarray, known_u: np.ndarray, known_v: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Number of each pair among known ones, else -1."""
+    keys = pair_keys(np.concatenate([u, known_u]), np.concatenate([v, known_v]))
+    asked, known = keys[: len(u)], keys[len(u) :]
+    if not len(known):
+        return np.full(len(u), -1)
+    order = np.argsort(known)
+    known, index = known[order], index[order]
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, index[at], -1)
 
 
 def _from_pairs(grid: Grid, blocks: pa.Table, told: pa.Table) -> pa.Table:
     """A block's next state: the number of the frequent pair at each position."""
-    answers: dict[int, list[tuple[bytes, bytes]]] = {}
-    for tile, cells, ids in zip(*(told[c].to_pylist() for c in ("tile", "cells", "ids"))):
-        answers.setdefault(tile, []).append((cells, ids))
+    answers: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+    for tile, *blobs in zip(*(told[c].to_pylist() for c in ("tile", "us", "vs", "ids"))):
+        answers.setdefault(tile, []).append(blobs)
+    thin_known = [np.concatenate([np.zeros(0, np.int64), *[unpack(x[k], np.int64) for x in answers.get(THIN, [])]]) for k in range(3)]
     out, number = [], np.full(grid.cells, -1)
     for lang, block, blob in zip(*(blocks[c].to_pylist() for c in ("lang", "block", "state"))):
         state = unpack(blob, np.int64)
-        at, cell, tiles, begin = grid.split(state)
+        at, cell, tiles, begin, thin = grid.split(state)
         after = np.full(len(state), -1)
         for tile, lo, hi in zip(tiles.tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
-            for cells, ids in answers.get(tile, []):
-                known = unpack(cells, np.uint32)
-                number[known] = unpack(ids, np.int64)
+            own = [(unpack(cells, np.uint32), unpack(ids, np.int64)) for cells, _, ids in answers.get(tile, [])]
+            for cells, ids in own:
+                number[cells] = ids
             after[at[lo:hi]] = number[cell[lo:hi]]
-            for cells, _ in answers.get(tile, []):
-                number[unpack(cells, np.uint32)] = -1
+            for cells, _ in own:
+                number[cells] = -1
+        after[thin] = _looked_up(state[thin], state[thin + 1], *thin_known)
         out.append(_emitted(grid, lang, block, after))
-    return pa.concat_tables(out) if out else pa.Table.from_batches([], _emitted(grid, "", 0, np.zeros(0, np.int64)).schema)
+    return _all(out, grid)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], cells_of_tile: int) -> Iterator[pa.RecordBatch]:
-    """Rows of tiles cut into ``subs`` ranges of cells."""
+def _ranges(grid: Grid, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows cut into ``subs`` parts: head tiles by ranges of cells, thin ones by regions."""
+    names, kinds = ["lang", "block", "tile", "sub", "us", "vs", "counts"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            cells, counts = unpack(r["cells"], np.uint32), unpack(r["counts"], np.uint32)
-            sub = cells.astype(np.int64) * r["subs"] // cells_of_tile
-            some, begin = np.unique(sub, return_index=True)
-            for s, c, n in zip(some.tolist(), np.split(cells, begin[1:]), np.split(counts, begin[1:])):
-                rows.append((r["lang"], r["block"], r["tile"], s, pack(c), pack(n)))
-        names, kinds = ["lang", "block", "tile", "sub", "cells", "counts"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+        for lang, block, tile, us, vs, counts, subs in zip(*(batch.column(c) for c in ("lang", "block", "tile", "us", "vs", "counts", "subs"))):
+            subs, thin = subs.as_py(), vs.is_valid
+            u, n = unpack(us.as_py(), np.int64 if thin else np.uint32), unpack(counts.as_py(), np.uint32)
+            v = unpack(vs.as_py(), np.int64) if thin else None
+            sub = grid.region(u, v, subs) if thin else u.astype(np.int64) * subs // grid.cells
+            order = np.argsort(sub, kind="stable")
+            some, begin = np.unique(sub[order], return_index=True)
+            parts = [[pack(x) for x in np.split(a[order], begin[1:])] if a is not None else [None] * len(some) for a in (u, v, n)]
+            rows = [[lang.as_py()] * len(some), [block.as_py()] * len(some), [tile.as_py()] * len(some), some, *parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
 
 def _by_tile(grid: Grid, tiles: DataFrame, group_cells: int) -> DataFrame:
-    """Rows of tiles with ``sub``: a tile that blocks fill with more than ``group_cells`` cells is cut into ranges."""
+    """Rows of tiles with ``sub``: what blocks fill with more than ``group_cells`` cells in all is cut into parts."""
     sizes = tiles.groupBy("lang", "tile").agg(F.sum("m").alias("m")).filter(F.col("m") > group_cells)
     hot = stored(sizes.select("lang", "tile", F.ceil(F.col("m") / group_cells).cast("bigint").alias("subs")), "hot")
     found = hot.count()
-    kept = tiles.select("lang", "block", "tile", "cells", "counts")
+    kept = tiles.select("lang", "block", "tile", "us", "vs", "counts")
     if not found:
         return kept.withColumn("sub", F.lit(0).cast("bigint"))
     hot = F.broadcast(hot) if found <= SHORT_ROWS else hot
-    cut = kept.join(hot, ["lang", "tile"]).mapInArrow(lambda b: _ranges(b, grid.cells), "lang string, block bigint, tile bigint, sub bigint, cells binary, counts binary")
+    cut = kept.join(hot, ["lang", "tile"]).mapInArrow(lambda b: _ranges(grid, b), "lang string, block bigint, tile bigint, sub bigint, us binary, vs binary, counts binary")
     return kept.join(hot, ["lang", "tile"], "left_anti").withColumn("sub", F.lit(0).cast("bigint")).unionByName(cut)
 
 
 GROUP = ["lang", "tile", "sub"]
 
 
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([unpack(b.as_buffer(), kind) for b in table[column]]).astype(np.int64)
+
+
 def _frequent(grid: Grid, tiles: DataFrame, least: int) -> DataFrame:
     """``lang, tile, sub, u, v, f`` of the pairs of symbols that occur at least ``least`` times."""
 
     def merge(table: pa.Table) -> pa.Table:
-        cell, f = grid.counted(*(np.concatenate([unpack(b, np.uint32) for b in table[c].to_pylist()]).astype(np.int64) for c in ("cells", "counts")))
-        some = f >= least
-        cell, f, n = cell[some], f[some], int(some.sum())
         lang, tile, sub = (table[c][0].as_py() for c in GROUP)
-        u, v = grid.pair(tile, cell)
-        return pa.table({"lang": pa.array([lang] * n, pa.string()), "tile": pa.array([tile] * n, pa.int64()), "sub": pa.array([sub] * n, pa.int64()), "u": u, "v": v, "f": f})
+        n = _joined(table, "counts", np.uint32)
+        if tile == THIN:
+            u, v = _joined(table, "us", np.int64), _joined(table, "vs", np.int64)
+            _, at, f = summed(pair_keys(u, v), n)
+            u, v = u[at], v[at]
+        else:
+            cell, f = grid.counted(_joined(table, "us", np.uint32), n)
+            u, v = grid.pair(tile, cell)
+        some = f >= least
+        k = int(some.sum())
+        return pa.table({"lang": pa.array([lang] * k, pa.string()), "tile": pa.array([tile] * k, pa.int64()), "sub": pa.array([sub] * k, pa.int64()), "u": u[some], "v": v[some], "f": f[some]})
 
     return tiles.groupBy(*GROUP).applyInArrow(merge, "lang string, tile bigint, sub bigint, u bigint, v bigint, f bigint")
 
 
 def _told(grid: Grid, tiles: DataFrame, ranked: DataFrame) -> DataFrame:
-    """For each block and tile the cells that are frequent, with their numbers."""
+    """For each block and tile the pairs that are frequent, with their numbers."""
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         rows = []
         if len(known) and len(asked):
             tile = known["tile"][0].as_py()
-            number = np.full(grid.cells, -1)
-            number[grid.cell(known["u"].to_numpy(), known["v"].to_numpy())] = known["index"].to_numpy()
-            for block, blob in zip(asked["block"].to_pylist(), asked["cells"].to_pylist()):
-                cells = unpack(blob, np.uint32)
-                cells = cells[number[cells] >= 0]
-                if len(cells):
-                    rows.append((block, tile, pack(cells), pack(number[cells])))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["block", "tile", "cells", "ids"])
-
-    asked = tiles.select(*[F.col(c).alias(c) for c in GROUP], "block", "cells")
+            u, v, index = (known[c].to_numpy() for c in ("u", "v", "index"))
+            if tile == THIN:
+                us, vs = _joined(asked, "us", np.int64), _joined(asked, "vs", np.int64)
+                sizes = [len(unpack(b.as_buffer(), np.uint32)) for b in asked["counts"]]
+                found = _looked_up(us, vs, u, v, index)
+                ends = np.cumsum(sizes)[:-1]
+                for block, *part in zip(asked["block"].to_pylist(), *(np.split(x, ends) for x in (us, vs, found))):
+                    hit = part[2] >= 0
+                    if hit.any():
+                        rows.append((block, tile, *[pack(x[hit]) for x in part]))
+            else:
+                number = np.full(grid.cells, -1)
+                number[grid.cell(u, v)] = index
+                for block, blob in zip(asked["block"].to_pylist(), asked["us"]):
+                    cells = unpack(blob.as_buffer(), np.uint32)
+                    cells = cells[number[cells] >= 0]
+                    if len(cells):
+                        rows.append((block, tile, pack(cells), None, pack(number[cells])))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["block", "tile", "us", "vs", "ids"])
+
+    asked = tiles.select(*[F.col(c).alias(c) for c in GROUP], "block", "us", "vs", "counts")
     known = ranked.select(*GROUP, "u", "v", "index")
-    return asked.groupBy(*GROUP).cogroup(known.groupBy(*GROUP)).applyInArrow(answer, "block bigint, tile bigint, cells binary, ids binary")
+    return asked.groupBy(*GROUP).cogroup(known.groupBy(*GROUP)).applyInArrow(answer, "block bigint, tile bigint, us binary, vs binary, ids binary")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -249,7 +315,7 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"(2000000 * cast({a} as decimal(25, 0))) div cast({left} + {right} as decimal(20, 0))")
 
 
-def phrases(docs: DataFrame, text: str = "text", group: str = "lang", least: int = 30, percent: int = 80, longest: int = 4, bits: int = 10, block_bytes: int = BLOCK_BYTES, group_cells: int = GROUP_CELLS) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", group: str = "lang", least: int = 30, percent: int = 80, longest: int = 4, bits: int = 10, head: int = 8, block_bytes: int = BLOCK_BYTES, group_cells: int = GROUP_CELLS) -> DataFrame:
     """Candidate phrases: ``lang, phrase, a, l, r, n, score, kept``.
 
     ``kept`` is false where a candidate of one word more holds the phrase and has at
@@ -258,7 +324,7 @@ def phrases(docs: DataFrame, text: str = "text", group: str = "lang", least: int
     """
     if not 2 <= longest <= 4:
         raise ValueError("phrases have two to four words")
-    grid = Grid(bits)
+    grid = Grid(bits, head)
     source = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     coded = stored(source.mapInArrow(lambda b: _blocks(b, block_bytes), BLOCKS), "blocks")
     words = coded.filter("word is not null")

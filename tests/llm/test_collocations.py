@@ -49,7 +49,7 @@ def corpus(n=260, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("sizes,limits", [({}, (12, 50, 7)), ({"bits": 2, "block_bytes": 2000, "group_cells": 20}, (5, 80, 2000))])
+@pytest.mark.parametrize("sizes,limits", [({}, (12, 50, 7)), ({"bits": 2, "head": 3, "block_bytes": 2000, "group_cells": 20}, (5, 80, 2000))])
 def test_equals_brute_force(spark, sizes, limits):
     """Once as in production, once with many tiles, many small blocks and tiles cut into ranges."""
     rows = [*corpus(), ("en", None), ("en", ""), (None, " .,"), ("de", "rare words"), ("en", "b c d " * 4000), ("en", "A,A a a")]
@@ -72,3 +72,12 @@ def test_scores_are_exact_beyond_64_bits(spark):
     big = 9 * 10**14 + 7
     df = spark.createDataFrame([(big, 10**15, 3 * 10**15 + 1)], "a long, l long, r long")
     assert df.select(collocations._score("a", "l", "r")).first()[0] == 2000000 * big // (4 * 10**15 + 1)
+
+
+def test_numbers_beyond_32_bits():
+    import numpy as np
+
+    u, v = np.array([2**40, 3, 2**40, 3]), np.array([1, 2**33, 1, 2])
+    known, first, n = collocations.summed(collocations.pair_keys(u, v))
+    assert len(known) == 3 and sorted(n.tolist()) == [1, 1, 2]
+    assert collocations._looked_up(u, v, u[:2], v[:2], np.array([7, 8])).tolist() == [7, 8, 7, -1]
