@@ -50,6 +50,14 @@ def _strict(s, d):
     return strict_scan(s, _written_survey(s, d))
 
 
+def _quoted_documents(s, d):
+    """Whole texts with their quotes and line breaks as quoted cells, beside cells with quotes inside."""
+    docs = load(s, d, "SELECT doc_id + 1 AS __source_record, doc_id, lang, text FROM {documents}")
+    text = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.col("lang"), F.lit(' 5" pipe')), text)
+    return strict_scan(s, headed_lines(docs.select("__source_record", line.alias("line")), "doc_id,mark,text", s))
+
+
 def _ragged_lines(s, d):
     rows = load(s, d, ORDERS)
     text = F.when(F.col("__source_record") % 5 == 0, F.concat_ws(",", "orderkey", "custkey")).when(
@@ -237,6 +245,10 @@ def entries():
             CASE WHEN event_id % 5 = 0 THEN '' ELSE coalesce(props, '') END AS props FROM events""",
         ),
         "src01_strict_delimited_scan": (_strict, survey),
+        "src01_quoted_documents": (
+            _quoted_documents,
+            """SELECT row_number() OVER (ORDER BY doc_id) AS __source_record, CAST(doc_id AS VARCHAR) AS doc_id, lang || ' 5" pipe' AS mark, text FROM documents""",
+        ),
         "src02_lenient_delimited_scan": (
             _lenient,
             with_tables(

@@ -1,20 +1,20 @@
 """Strict and lenient delimited scans.
 
-``multi_line=True`` reads quoted line breaks and takes a file per task.
-``multi_line=False`` is for files whose records are single lines: Spark splits
-them freely, and every line is checked as recorded.
+``multi_line=True`` reads quoted line breaks; splits of a file are read side by side
+(:mod:`sedgetable.sources.quoted`). ``multi_line=False`` is for files whose records are
+single lines, which are checked as recorded and parsed in generated code.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sedgetable.core import SRC, TableError, WIDTH
+from sedgetable.scale import shared_folder
 from sedgetable.sources.headers import unique_headers
 from sedgetable.sources.numbering import BLOCK, FILE, LINE, number_records, with_position
+from sedgetable.sources.quoted import Quoted
 
 DELIMITERS = (",", ";", "\t", "|")
 # Encoding labels and the charset that reads them.
@@ -56,13 +56,20 @@ def _schema(width: int, raw: bool = True) -> T.StructType:
     return T.StructType([*cells, T.StructField(RAW, T.StringType())] if raw else cells)
 
 
+def _bare(raw: Column, delimiter: str) -> Column:
+    """The record with each whole quoted cell replaced. A quote opens only at the start of a cell and closes at its end."""
+    mark = re.escape(delimiter)
+    return F.regexp_replace(raw, f'(^|{mark})"[^"]*+(?:""[^"]*+)*+"(?={mark}|$)', "$1q")
+
+
 def record_width(raw: Column, delimiter: str) -> Column:
-    """Fields of a raw record: separators outside quotes plus one; a blank line has none.
+    """Fields of a raw record: separators outside quoted cells plus one; a blank line has none."""
+    return F.when(raw == "", 0).otherwise(F.regexp_count(_bare(raw, delimiter), F.lit(re.escape(delimiter))) + 1)
 
-    A doubled quote closes one quoted run and opens the next, so runs need no nesting.
-    """
-    outside = F.regexp_replace(raw, '"[^"]*+"', "q")
-    return F.when(raw == "", 0).otherwise(F.regexp_count(outside, F.lit(re.escape(delimiter))) + 1)
+
+def misquoted(raw: Column, delimiter: str) -> Column:
+    """Whether a quoted cell stays open or text follows its closing quote."""
+    return _bare(raw, delimiter).rlike(f'(?:^|{re.escape(delimiter)})"')
 
 
 def _single_lines(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
@@ -84,44 +91,10 @@ def _refuse(problems: DataFrame) -> None:
         raise TableError(f"{bad['reason']}: {bad['sample']!r}")
 
 
-def _text_problems(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Bytes that are not text in UTF-8, and quotes that stay open, per file of a multi-line load."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), "value")
-    per_file = text.groupBy(FILE).agg(F.max(~F.is_valid_utf8("value")).alias("bad"), (F.sum(F.regexp_count("value", F.lit('"'))) % 2).alias("open"), F.count("*").alias("lines"))
-    return per_file if encoding in ("utf-8", "utf-8-sig") else per_file.limit(0)
-
-
-def _multi_line_problems(spark: SparkSession, path: str, rows: DataFrame, header: list[str], encoding: str) -> DataFrame:
-    """Records of another width, files with another header, blank lines and broken text.
-
-    The reader drops blank lines, so each file's lines are counted: a record takes
-    one, and one more for every line break inside its cells.
-    """
-    cells = [f"c{i}" for i in range(len(header))]
-    other = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cells]) != F.array(*[F.lit(name) for name in header])
-    # Raw text may not be read without a data column, so the sample touches one.
-    sample = F.concat(F.substring(RAW, 1, 200), F.coalesce(F.substring("c0", 1, 0), F.lit("")))
-    breaks = 1 + F.regexp_count(F.concat_ws(" ", *cells), F.lit("\r\n|\r|\n"))
-    found = rows.groupBy(FILE).agg(
-        F.max(F.when(F.col(RAW).isNotNull(), sample)).alias("wide"),
-        F.max((F.col(LINE) == 1) & other).alias("other"),
-        F.sum(breaks).alias("taken"),
-    )
-    text = _text_problems(spark, path, encoding)
-    reason = (
-        F.when(F.col("bad"), "bytes are not valid in this encoding")
-        .when(F.col("open") == 1, "a quoted value is never closed")
-        .when(F.col("wide").isNotNull(), "a record has another width than the header")
-        .when(F.coalesce("other", F.lit(True)), "a file has another header than the first")
-        .when(F.col("lines") != F.col("taken"), "a blank line has another width than the header")
-    )
-    return found.join(text, FILE, "full").select(FILE, reason.alias("reason"), F.coalesce("wide", FILE).alias("sample"))
-
-
 def _single_line_problems(lines: DataFrame, width: int, delimiter: str, header: str) -> DataFrame:
     reason = (
         F.when(~F.is_valid_utf8(RAW), "bytes are not valid in this encoding")
-        .when(F.regexp_count(RAW, F.lit('"')) % 2 == 1, "a quoted value is never closed")
+        .when(misquoted(F.col(RAW), delimiter), "a quoted value is never closed, or text follows its end")
         .when(record_width(F.col(RAW), delimiter) != width, "a record has another width than the header")
         .when((F.col(LINE) == 1) & (F.col(RAW) != header), "a file has another header than the first")
     )
@@ -134,9 +107,10 @@ def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimit
     A record of another width, a blank line, another header or broken text fails the
     whole load.
     """
+    check_format(spark, encoding, delimiter)
     if multi_line:
-        first = _reader(spark, encoding, delimiter).load(path).first()
-        header = None if first is None else ["" if v is None else v for v in first]
+        quoted = Quoted(spark, path, encoding, delimiter, shared_folder(spark))
+        header = quoted.header()
     else:
         lines = _single_lines(spark, path, encoding, delimiter)
         head = lines.filter(F.col(SRC) == 1).withColumn("__w", record_width(F.col(RAW), delimiter))
@@ -149,9 +123,8 @@ def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimit
         raise TableError("the source is empty")
     names = unique_headers(header)
     if multi_line:
-        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema(len(names))).load(path)))
-        _refuse(_multi_line_problems(spark, path, rows, header, encoding))
-        rows = rows.filter(F.col(LINE) > 1)
+        quoted.check(header)
+        rows = quoted.records().filter(F.col(LINE) > 1).select("*", *[F.col("cells")[i].alias(f"c{i}") for i in range(len(names))])
     else:
         _refuse(_single_line_problems(lines, len(names), delimiter, top[RAW]))
         rows = _parsed(lines.filter(F.col(LINE) > 1), len(names), delimiter)
@@ -159,7 +132,7 @@ def strict_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimit
     return rows.select(number.alias(SRC), *[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
-def below_header(lines: DataFrame, header_row: int, repeats: Column, touched: Sequence[Column] = ()) -> tuple[DataFrame, Column]:
+def below_header(lines: DataFrame, header_row: int, repeats: Column) -> tuple[DataFrame, Column]:
     """Lines after the header, and their numbers.
 
     One header heads all files, as where a table is written in parts, or every file
@@ -169,7 +142,7 @@ def below_header(lines: DataFrame, header_row: int, repeats: Column, touched: Se
     if not header_row:
         return lines, F.col(SRC)
     at = F.col(LINE) == header_row
-    found = lines.agg(F.count_distinct(FILE).alias("files"), F.count_if(at & repeats).alias("heads"), *touched).first()
+    found = lines.agg(F.count_distinct(FILE).alias("files"), F.count_if(at & repeats).alias("heads")).first()
     if found["heads"] <= 1:
         return lines.filter(F.col(SRC) > header_row), F.col(SRC) - header_row
     if found["heads"] < found["files"]:
@@ -179,28 +152,23 @@ def below_header(lines: DataFrame, header_row: int, repeats: Column, touched: Se
 
 def lenient_scan(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", header_row: int = 1, multi_line: bool = True) -> DataFrame:
     """Ragged delimited file: short rows are padded, extra columns are kept, every row records its own width."""
+    check_format(spark, encoding, delimiter)
     if multi_line:
-        # One column more than the widest record: every record is then reported with its raw text.
-        narrow = _reader(spark, encoding, delimiter).schema(_schema(1)).load(path)
-        most = narrow.agg(F.max(F.coalesce(record_width(F.col(RAW), delimiter), F.lit(1))), F.count("c0")).first()[0]
-        rows = number_records(with_position(_reader(spark, encoding, delimiter).schema(_schema((most or 1) + 1)).load(path)))
-        parse = lambda lines, width: lines
-        # The count keeps a data column in the scan, which raw text alone may not be read without.
-        touched = [F.count("c0")]
+        numbered = Quoted(spark, path, encoding, delimiter, shared_folder(spark)).records().withColumn(WIDTH, F.size("cells"))
+        parse = lambda lines, width: lines.select("*", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)])
+        same = lambda head: F.col("cells") == F.array(*[F.lit(c) for c in head["cells"]])
     else:
-        rows = _single_lines(spark, path, encoding, delimiter)
-        parse = lambda lines, width: _parsed(lines, width, delimiter)
-        touched = []
-    numbered = rows.withColumn(WIDTH, record_width(F.col(RAW), delimiter))
-    if encoding in ("utf-8", "utf-8-sig"):
-        broken = _text_problems(spark, path, encoding).filter("bad").select(F.col(FILE).alias("sample")) if multi_line else numbered.filter(~F.is_valid_utf8(RAW)).select(F.substring(RAW, 1, 200).alias("sample"))
-        _refuse(broken.select("sample", F.lit("bytes are not valid in this encoding").alias("reason")))
-    widest = numbered.filter(F.col(SRC) >= header_row).agg(F.max(WIDTH), *touched).first()[0]
+        numbered = _single_lines(spark, path, encoding, delimiter).withColumn(WIDTH, record_width(F.col(RAW), delimiter))
+        parse = lambda lines, width: _parsed(lines, width, delimiter)
+        same = lambda head: F.col(RAW) == head[RAW]
+        broken = ~F.is_valid_utf8(RAW) | misquoted(F.col(RAW), delimiter)
+        _refuse(numbered.filter(broken).select(F.substring(RAW, 1, 200).alias("sample"), F.lit("bytes are not valid in this encoding, or a quoted value has no proper end").alias("reason")))
+    widest = numbered.filter(F.col(SRC) >= header_row).agg(F.max(WIDTH)).first()[0]
     if not widest:
         raise TableError("choose a header row within the table")
     head = parse(numbered.filter(F.col(SRC) == header_row), widest).first()
     header = [head[f"c{i}"] or "" for i in range(head[WIDTH])]
     names = unique_headers(header, strip=False, width=widest)
     cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    body, number = below_header(numbered, header_row, F.col(RAW) == head[RAW], touched)
+    body, number = below_header(numbered, header_row, same(head))
     return parse(body, widest).select(number.alias(SRC), F.col(WIDTH), *cells)
