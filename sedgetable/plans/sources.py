@@ -35,6 +35,17 @@ def headed_lines(df: DataFrame, head: str, spark: SparkSession, records: int = 5
     return folder
 
 
+def listed_documents(df: DataFrame, head: str, tail: str, spark: SparkSession, items: int = 50_000) -> str:
+    """Write items (``at`` from 0, ``line``) as documents of many lines: ``items`` of them between a head and a tail, with commas between."""
+    folder = shared_folder(spark)
+    part = F.lpad(F.floor(F.col("at") / items).cast("string"), 9, "0")
+    line = F.when(F.col("at") % items == 0, F.col("line")).otherwise(F.concat(F.lit(","), F.col("line")))
+    rows = df.select(part.alias("part"), "at", line.alias("line"))
+    ends = rows.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("line")), F.struct(F.lit(1 << 62).cast("bigint").alias("at"), F.lit(tail).alias("line")))).alias("end")).select("part", "end.*")
+    rows.unionByName(ends).repartition("part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(folder)
+    return folder
+
+
 def _documents(df: DataFrame, spark: SparkSession) -> str:
     """Write whole documents, one per file; each row holds one document."""
     folder = shared_folder(spark)
@@ -154,15 +165,14 @@ def _fixed(s, d):
 
 
 def _json_documents(s, d):
-    """Thirty documents of events, each an object with an array of records and a scalar member."""
+    """Events as documents of up to 50,000 records, each an object with an array of records and a scalar member."""
     events = load(s, d, "SELECT event_id, user_id, event_type, props FROM {events}")
     record = F.struct("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("user"), "event_type", F.struct(F.col("user_id").alias("id"), (F.col("event_id") % 2 == 0).alias("even")).alias("nested"))
-    grouped = events.groupBy((F.col("event_id") % 30).alias("doc")).agg(F.array_sort(F.collect_list(record)).alias("events"))
-    return _documents(grouped.select("doc", F.to_json(F.struct(F.lit("x").alias("title"), "events")).alias("value")), s)
+    return listed_documents(events.select(F.col("event_id").alias("at"), F.to_json(record).alias("line")), '{"title":"x","events":[', "]}", s)
 
 
 def _json(s, d):
-    return json_scan(s, _json_documents(s, d), "events").drop("__source_record")
+    return json_scan(s, _json_documents(s, d), "events")
 
 
 def _json_lines(s, d):
@@ -174,8 +184,7 @@ def _json_lines(s, d):
 def _geojson(s, d):
     rows = load(s, d, "SELECT c_custkey, c_name, c_nationkey FROM {customer}")
     feature = F.concat(F.lit('{"type":"Feature","id":'), F.col("c_custkey").cast("string"), F.lit(',"geometry":{"type":"Point","coordinates":['), F.col("c_nationkey").cast("string"), F.lit(',5]},"properties":{"name":"'), "c_name", F.lit('","nation":'), F.col("c_nationkey").cast("string"), F.lit("}}"))
-    docs = rows.groupBy(F.col("c_nationkey").alias("doc")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list(feature)), ","), F.lit("]}")).alias("value"))
-    return geojson_scan(s, _documents(docs, s)).drop("__source_record")
+    return geojson_scan(s, listed_documents(rows.select(F.col("c_custkey").alias("at"), feature.alias("line")), '{"type":"FeatureCollection","features":[', "]}", s))
 
 
 def _xml(s, d):
@@ -271,7 +280,7 @@ def entries():
         ),
         "src06_json_records_scan": (
             _json,
-            """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS "user", event_type,
+            """SELECT CAST(event_id + 1 AS BIGINT) AS __source_record, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS "user", event_type,
             '{"id":' || user_id || ',"even":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS nested FROM events""",
         ),
         "src06_json_tables": (lambda s, d: json_tables(s, _json_documents(s, d)), """SELECT 'events' AS "table", count(*) AS records FROM events UNION ALL SELECT 'title', 0"""),
@@ -281,7 +290,7 @@ def entries():
         ),
         "src07_geojson_scan": (
             _geojson,
-            """SELECT c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS _feature_id, '{"type":"Point","coordinates":[' || c_nationkey || ',5]}' AS _geometry_json FROM customer""",
+            """SELECT CAST(c_custkey + 1 AS BIGINT) AS __source_record, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS _feature_id, '{"type":"Point","coordinates":[' || c_nationkey || ',5]}' AS _geometry_json FROM customer""",
         ),
         "src08_xml_scan": (_xml, with_tables('SELECT custkey AS "@id", name, segment FROM c', c=CUSTOMER)),
         "src09_fixed_record_binary_scan": (

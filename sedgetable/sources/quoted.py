@@ -136,7 +136,7 @@ def parsed(data: bytes, codec: str, delimiter: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(data.decode(codec), newline=""), delimiter=delimiter, strict=True))
 
 
-def _runs(splits: np.ndarray) -> Iterator[tuple[int, int]]:
+def runs_of(splits: np.ndarray) -> Iterator[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(np.diff(splits)) + 1).tolist(), len(splits)]
     yield from (x for x in zip(cuts, cuts[1:]) if x[0] < x[1])
 
@@ -173,7 +173,7 @@ def _walks(lines: DataFrame, encoding: str, delimiter: str) -> DataFrame:
 
         for batch in batches:
             splits, rows = batch.column(0).to_numpy(zero_copy_only=False), []
-            for lo, hi in _runs(splits):
+            for lo, hi in runs_of(splits):
                 data = _lines(batch.column(3).slice(lo, hi - lo))
                 if splits[lo] != now:
                     rows += told()
@@ -235,7 +235,7 @@ def _records(lines: DataFrame, encoding: str, delimiter: str) -> DataFrame:
         quotes, now, rest = Quotes(delimiter), None, b""
         for table in batches:
             splits, rows = table.column(0).to_numpy(zero_copy_only=False), []
-            for lo, hi in _runs(splits):
+            for lo, hi in runs_of(splits):
                 data = _lines(table.column(7).slice(lo, hi - lo))
                 if splits[lo] != now:
                     if rest:

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sedgetable.core import SRC, TableError, data_columns
-from sedgetable.scale import bounded_broadcast
+from sedgetable.sources.elements import Documents, numbered_elements
 from sedgetable.sources.numbering import number_records, with_position
 
 RECORDS = "array<map<string,string>>"
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.col("_metadata.file_path").alias("__file"), F.regexp_replace("value", "^﻿", "").alias("document"))
-
-
 def _keys_in_order(records: DataFrame, column: str) -> list[str]:
     """Union of keys in first-seen order. The names are the header, so their number is checked."""
     keys = records.select("__file", "__at", F.posexplode(F.map_keys(column)).alias("i", "key"))
@@ -26,35 +21,31 @@ def _keys_in_order(records: DataFrame, column: str) -> list[str]:
     return names
 
 
-def _numbered(records: DataFrame) -> DataFrame:
-    """Records of whole documents: offset of the document plus the place inside it."""
-    sizes = records.groupBy("__file").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__file", before.alias("__before"))
-    placed = records.join(bounded_broadcast(offsets, len(records.inputFiles())), "__file")
-    return placed.withColumn(SRC, F.col("__before") + F.col("__at") + 1)
-
-
 def _literal(record: str, name: str):
     return F.coalesce(F.try_element_at(F.col(record), F.lit(name)), F.lit("")).alias(name)
 
 
 def json_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Tables found in JSON documents: ``records`` for a top-level array, else one per array member."""
-    doc = F.col("document")
-    as_list = F.when(doc.rlike(r"^\s*\["), F.array(F.struct(F.lit("records").alias("key"), doc.alias("value"))))
-    members = F.map_entries(F.from_json(doc, "map<string,string>"))
-    found = _documents(spark, path).select(F.explode(F.coalesce(as_list, members)).alias("m")).select("m.key", F.from_json("m.value", RECORDS).alias("r"))
-    return found.groupBy(F.col("key").alias("table")).agg(F.sum(F.coalesce(F.size("r"), F.lit(0))).alias("records"))
+    """Tables found in JSON documents: ``records`` for a top-level array, else one per array member.
+
+    Members that are no array of objects have no records.
+    """
+    documents = Documents(spark, path)
+    found = documents.elements().groupBy(F.col("member").alias("table")).agg(F.count("*").alias("records"))
+    named = documents.members().select(F.col("name").alias("table")).distinct()
+    return named.join(found, "table", "full").select("table", F.coalesce("records", F.lit(0)).alias("records"))
+
+
+def _records(elements: DataFrame) -> DataFrame:
+    numbered = numbered_elements(elements)
+    return numbered.select(SRC, F.lit(0).alias("__file"), F.col(SRC).alias("__at"), "text")
 
 
 def json_scan(spark: SparkSession, path: str, table: str = "records") -> DataFrame:
     """One literal table of JSON documents: nested values stay JSON text, null and absent are blank."""
-    doc = F.col("document")
-    member = F.when(doc.rlike(r"^\s*\["), F.when(F.lit(table == "records"), doc)).otherwise(F.try_element_at(F.from_json(doc, "map<string,string>"), F.lit(table)))
-    records = _documents(spark, path).select("__file", F.posexplode(F.from_json(member, RECORDS)).alias("__at", "record"))
+    records = _records(Documents(spark, path).elements().filter(F.col("member") == table)).withColumn("record", F.from_json("text", "map<string,string>"))
     names = _keys_in_order(records, "record")
-    return _numbered(records).select(SRC, *[_literal("record", n) for n in names])
+    return records.select(SRC, *[_literal("record", n) for n in names])
 
 
 def json_lines_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -67,17 +58,20 @@ def json_lines_scan(spark: SparkSession, path: str) -> DataFrame:
 
 def geojson_scan(spark: SparkSession, path: str) -> DataFrame:
     """Feature properties with ``_feature_id`` and literal ``_geometry_json``; no reference system is assumed."""
-    schema = "struct<type:string,features:array<struct<id:string,geometry:string,properties:map<string,string>>>>"
-    docs = _documents(spark, path).withColumn("c", F.from_json("document", schema))
-    if docs.filter("c is null or c.type is null or c.type <> 'FeatureCollection' or c.features is null").limit(1).count():
+    documents = Documents(spark, path)
+    collection = F.max((F.col("name") == "type") & F.startswith("value", F.lit('"FeatureCollection"')))
+    whole = documents.members().groupBy("file").agg(collection.alias("type"), F.max((F.col("name") == "features") & F.startswith("value", F.lit("["))).alias("features"))
+    good = whole.filter("type and features").count()
+    if not good or good < documents.starts.select("file").distinct().count():
         raise TableError("only FeatureCollection documents are supported")
-    features = docs.select("__file", F.posexplode("c.features").alias("__at", "f"))
-    records = features.select("__file", "__at", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("record"), "f.id", "f.geometry")
+    feature = F.from_json("text", "struct<id:string,geometry:string,properties:map<string,string>>")
+    features = _records(documents.elements().filter("member = 'features'")).withColumn("f", feature)
+    records = features.select(SRC, "__file", "__at", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("record"), "f.id", "f.geometry")
     names = _keys_in_order(records, "record")
     if {"_feature_id", "_geometry_json"} & set(names):
         raise TableError("a property uses a reserved column name")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return _numbered(records).select(SRC, *[_literal("record", n) for n in names], blank("id").alias("_feature_id"), blank("geometry").alias("_geometry_json"))
+    return records.select(SRC, *[_literal("record", n) for n in names], blank("id").alias("_feature_id"), blank("geometry").alias("_geometry_json"))
 
 
 def xml_scan(spark: SparkSession, path: str, record: str) -> DataFrame:
