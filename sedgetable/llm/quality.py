@@ -27,11 +27,13 @@ KEEP = 0.997
 # The target model's smoothing: n-grams drawn from the raw model, and a count that every bucket has.
 PRIOR, FLOOR = 5_000, 0.02
 M = np.uint32(0x9E3779B1)
+# Text whose n-grams are held at once.
+PORTION = 1 << 19
 
 
 def _buckets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bucket of every n-gram of bytes, and how many n-grams each text has (none below ``GRAM`` bytes)."""
-    for part in portions(texts):
+    for part in portions(texts, PORTION):
         at = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, part.offset * 8)
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint32)
         count = np.maximum(np.diff(at) - GRAM + 1, 0)
