@@ -23,7 +23,7 @@ import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.llm.bpe import WHITE, Recent, byte_alphabet
-from sedgetable.llm.words import stored
+from sedgetable.llm.words import kept_in_worker, stored
 
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
@@ -84,6 +84,7 @@ def _tokenised(path: str, end: int, window: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(path)
+        kept_in_worker["packing"] = loaded.cache_clear
         stop = np.array([end], words.kind).tobytes()
         frequency = np.zeros(max(words.size, end + 1), np.int64)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "token", "df"]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedgetable.llm.words import portions, stored
+from sedgetable.llm.words import freed, portions, stored
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -70,6 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     held = {i: sample[i] for n, i in enumerate(ids) if n % 2}
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         raw, of_target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in rows:
             keys = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -96,6 +97,7 @@ def log_weight(text: Column, ratio: np.ndarray) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        freed()
         out = []
         for bucket, n in _buckets(texts):
             total = np.concatenate([[0.0], np.cumsum(ratio[bucket])])

@@ -6,10 +6,12 @@ occur inside a multi-byte UTF-8 character, so byte positions are exact.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,6 +153,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# What operators keep in a Python worker between tasks, with the call that frees it.
+kept_in_worker: dict[str, Callable[[], None]] = {}
+
+
+def freed() -> None:
+    """Free what other operators' tasks have left in this worker, which Spark uses again for any stage."""
+    if kept_in_worker:
+        for free in kept_in_worker.values():
+            free()
+        kept_in_worker.clear()
+        gc.collect()
+
+
 def portions(texts: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
     """Consecutive slices of about ``most`` bytes, or of one longer text."""
     texts = texts.cast(pa.large_string()).fill_null("")
