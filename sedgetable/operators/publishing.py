@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.core import Field, TableError, data_columns
 from sedgetable.functions.numbers import record_number_or_null
+from sedgetable.functions.text import number_text
 from sedgetable.operators.findings import PLACE_NAME, PLACE_TERMS
 from sedgetable.operators.validation import star_findings
 from sedgetable.scale import salted_join
@@ -36,7 +37,11 @@ def public_table(df: DataFrame, fields: Sequence[Field], mode: str, precision: i
         c = F.col(f"`{f.name}`")
         decimal = f.term in ("decimalLatitude", "decimalLongitude") and f.status == "Confirmed"
         if mode == "generalize" and decimal and not f.sensitive:
-            changes[f.name] = F.coalesce(F.bround(record_number_or_null(c), precision).cast("string"), F.lit(""))
+            rounded = F.bround(record_number_or_null(c), precision)
+            plain = number_text(rounded)
+            plain = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
+            # Only texts with an exponent are written anew.
+            changes[f.name] = F.coalesce(F.when(rounded.cast("string").contains("E"), plain).otherwise(rounded.cast("string")), F.lit(""))
         else:
             changes[f.name] = F.lit("")
     return df.withColumns(changes) if changes else df

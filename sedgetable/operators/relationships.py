@@ -148,18 +148,6 @@ def verify_join(joined: DataFrame, child: DataFrame, parent: DataFrame, child_ke
     return same_rows(joined, literal_left_join(child, parent, child_keys, parent_keys))
 
 
-def value_overlap(child: DataFrame, parent: DataFrame, child_column: str, parent_column: str) -> DataFrame:
-    """Nonempty child rows, those whose value occurs in the parent, and parent uniqueness."""
-    values = child.filter(F.col(f"`{child_column}`") != "").groupBy(F.col(f"`{child_column}`").alias("v")).agg(F.count("*").alias("n"))
-    known = parent.filter(F.col(f"`{parent_column}`") != "").groupBy(F.col(f"`{parent_column}`").alias("v")).agg(F.count("*").alias("m"))
-    unique = known.agg(F.coalesce(F.max("m"), F.lit(0)) <= 1).scalar()
-    hits = values.join(known, "v", "left")
-    return hits.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(F.col("m").isNotNull(), F.col("n"))), F.lit(0)).alias("matched"),
-    ).select("total", "matched", (F.col("total") - F.col("matched")).alias("orphans"), unique.alias("parent_unique"))
-
-
 def _same_named(tables: dict[str, DataFrame]):
     for child_name, child in tables.items():
         for parent_name, parent in tables.items():
@@ -171,36 +159,63 @@ def _same_named(tables: dict[str, DataFrame]):
                     yield child_name, column, parent_name, target
 
 
-def _overlap_rows(tables: dict[str, DataFrame], pairs) -> DataFrame | None:
-    parts = []
-    for child, column, parent, target in pairs:
-        found = value_overlap(tables[child], tables[parent], column, target)
-        parts.append(found.select(F.lit(child).alias("child"), F.lit(column).alias("child_column"), F.lit(parent).alias("parent"), F.lit(target).alias("parent_column"), "*"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+def inclusions(tables: dict[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """For each pair of columns: nonempty child rows, those whose value the parent holds, and whether the parent's values are unique.
+
+    Every table is read once, whatever the number of pairs: its cells are counted per
+    value, the columns that hold a value meet in one group, and the group adds its
+    counts to each of its pairs of columns. Only the sums, fewer than pairs of columns,
+    are looked up at the end. ``parent_identifies`` is true where each of the parent's
+    rows has a value of its own and none is blank.
+    """
+    columns = sorted({side for p in pairs for side in (p[:2], p[2:])})
+    number = {side: i for i, side in enumerate(columns)}
+    name = {side: folded_name(side[1]) for side in columns}
+    counted = []
+    for table, df in tables.items():
+        own = [side for side in columns if side[0] == table]
+        if own:
+            cells = F.array(*[F.struct(F.lit(name[s]).alias("name"), F.lit(number[s]).alias("i"), F.col(f"`{s[1]}`").alias("value")) for s in own])
+            counted.append(df.select(F.explode(cells).alias("c")).groupBy("c.name", "c.value", "c.i").agg(F.count("*").alias("n")))
+    holders = reduce(DataFrame.unionByName, counted).groupBy("name", "value").agg(F.collect_list(F.struct("i", "n")).alias("held"))
+    filled = F.col("value") != ""
+    alone = F.transform("held", lambda x: F.struct(x["i"].alias("i"), F.lit(-1).alias("j"), x["n"].alias("n")))
+    met = F.flatten(F.transform("held", lambda x: F.transform("held", lambda y: F.struct(x["i"].alias("i"), y["i"].alias("j"), x["n"].alias("n")))))
+    rows = holders.select(filled.alias("filled"), (F.trim("value") == "").alias("blank"), F.explode(F.concat(alone, F.when(filled, met).otherwise(F.slice(met, 1, 0)))).alias("p")).select("filled", "blank", "p.*")
+    sums = rows.groupBy("i", "j").agg(
+        F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("n"),
+        F.max(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("most"),
+        F.max("n").alias("repeats"),
+        F.max("blank").alias("blank"),
+    )
+    facts = sums.agg(F.collect_list(F.struct("i", "j", "n", "most", "repeats", "blank"))).scalar()
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(*p, number[p[:2]], number[p[2:]]) for p in pairs]
+    asked = spark.createDataFrame(rows, "child string, child_column string, parent string, parent_column string, i int, j int").withColumn("facts", facts)
+    fact = lambda i, j: F.get(F.filter("facts", lambda x: (x["i"] == i) & (x["j"] == j)), F.lit(0))
+    found = asked.select("child", "child_column", "parent", "parent_column", fact(F.col("i"), F.lit(-1)).alias("c"), fact(F.col("j"), F.lit(-1)).alias("p"), fact(F.col("i"), F.col("j")).alias("m"))
+    total, matched = F.coalesce("c.n", F.lit(0)), F.coalesce("m.n", F.lit(0))
+    return found.select(
+        "child", "child_column", "parent", "parent_column", total.alias("total"), matched.alias("matched"), (total - matched).alias("orphans"),
+        (F.coalesce("p.most", F.lit(0)) <= 1).alias("parent_unique"), F.coalesce((F.col("p.repeats") == 1) & ~F.col("p.blank"), F.lit(False)).alias("parent_identifies"),
+    )
 
 
 def relationship_candidates(tables: dict[str, DataFrame], share: float = 0.5) -> DataFrame:
     """Same-named pairs whose parent column identifies its rows and covers enough child values."""
-    found = _overlap_rows(tables, _same_named(tables))
-    if found is None:
+    pairs = list(_same_named(tables))
+    if not pairs:
         raise TableError("no two tables share a column name")
-    identifying = []
-    for name, df in tables.items():
-        cells = unpivot_cells(df).filter(F.col("column").isin(*data_columns(df)))
-        groups = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
-        whole = groups.groupBy("column").agg(F.max("n").alias("most"), F.count_if(F.trim("value") == "").alias("blank"))
-        identifying.append(whole.filter("most = 1 and blank = 0").select(F.lit(name).alias("parent"), F.col("column").alias("parent_column")))
-    keys = reduce(DataFrame.unionByName, identifying)
-    return found.filter((F.col("total") > 0) & (F.col("matched") / F.col("total") >= share)).join(keys, ["parent", "parent_column"], "left_semi")
+    found = inclusions(tables, pairs)
+    return found.filter((F.col("total") > 0) & (F.col("matched") >= share * F.col("total")) & F.col("parent_identifies")).drop("parent_identifies")
 
 
 def relationship_suggestions(tables: dict[str, DataFrame]) -> DataFrame:
     """Same-named key-like columns with at least one shared value."""
     pairs = [p for p in _same_named(tables) if re.search("id|key|code|^site$|^sp$", p[1], re.I)]
-    found = _overlap_rows(tables, pairs)
-    if found is None:
+    if not pairs:
         raise TableError("no two tables share a key-like column name")
-    return found.filter("matched > 0")
+    return inclusions(tables, pairs).filter("matched > 0").drop("parent_identifies")
 
 
 def _issue(df: DataFrame, rule: str, severity: str = "Error") -> DataFrame:

@@ -232,7 +232,7 @@ def reviewed_field(fields: Sequence[Field], name: str, operation: str, sources:
         sensitive=inherits_sensitivity(fields, sources) or operation in ("coordinate", "coordinate-pair"),
         **extra,
     )
-    outcome = Field(outcome_name(name), outcome_name(name), description="Per-row translation outcome.", status="Confirmed", allowed=list(OUTCOMES), rationale=reason)
+    outcome = Field(outcome_name(name), outcome_name(name), description="How each record's value was arrived at, or why it was not.", status="Confirmed", allowed=list(OUTCOMES), rationale=reason)
     return [*fields, derived, outcome]
 
 

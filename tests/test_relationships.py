@@ -73,6 +73,27 @@ def test_suggestions(table):
     assert R.relationship_suggestions(tables).count() == 2
 
 
+def test_inclusions_of_all_pairs_at_once(table):
+    tables = {
+        "a": table(["id", "key"], [("1", "x"), ("2", "x"), ("", "y"), ("4", " ")]),
+        "b": table(["ID", "k"], [("1", "x"), ("2", "z"), ("3", "y")]),
+        "c": table(["id", "Key"], [("1", "x"), ("1", "q")]),
+    }
+    pairs = list(R._same_named(tables))
+    found = R.inclusions(tables, pairs)
+    got = {(r.child, r.child_column, r.parent): tuple(r)[4:] for r in found.collect()}
+    for child, column, parent, target in pairs:
+        mine = [r[column] for r in tables[child].collect() if r[column] != ""]
+        every = [r[target] for r in tables[parent].collect()]
+        theirs = [v for v in every if v != ""]
+        matched = sum(v in theirs for v in mine)
+        unique = len(set(theirs)) == len(theirs)
+        identifies = len(set(every)) == len(every) and all(v.strip() for v in every)
+        assert got[child, column, parent] == (len(mine), matched, len(mine) - matched, unique, identifies)
+    empty = {n: df.limit(0) for n, df in tables.items()}
+    assert R.relationship_candidates(empty).count() == 0 and R.relationship_suggestions(empty).count() == 0
+
+
 def test_codebooks_and_mentions(spark, table):
     obs = table(["code", "n"], [("A", "1"), ("B", "2"), ("", "A")])
     books = spark.createDataFrame([("x", "A", "ash"), ("x", "A", "alder"), ("x", "B", "birch"), ("y", "B", "beech")], "codebook string, code string, meaning string")

@@ -50,6 +50,8 @@ def test_public_copies(table):
     fields = [Field("id"), Field("latitude", term="decimalLatitude", status="Confirmed"), Field("longitude")]
     rounded = [tuple(r)[1:] for r in X.public_table(df, fields, "generalize", 1).orderBy(SRC).collect()]
     assert rounded == [("001", "53.5", ""), ("002", "", "")]
+    long = table(["latitude"], [("12345678.26",), ("90000000",)])
+    assert [r.latitude for r in X.public_table(long, fields[1:2], "generalize", 1).orderBy(SRC).collect()] == ["12345678.3", "90000000.0"]
     assert {r.latitude for r in X.public_table(df, fields, "redact").collect()} == {""}
     with pytest.raises(TableError):
         X.public_table(df, fields, "generalize", 4)
