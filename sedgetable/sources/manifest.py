@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sedgetable.core import SRC
@@ -19,19 +23,80 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_relative(F.col("path"), folder).alias("file"), "content", "length")
 
 
+# Endings that Spark's text reader would decompress.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files whose lines come in order; a file's last line feed is there if its bytes say so."""
+    now, digest, seen, length = None, None, 0, 0
+
+    def done() -> list[tuple[str, str]]:
+        if now is None:
+            return []
+        if seen < length:
+            digest.update(b"\n")
+        return [(now, digest.hexdigest())]
+
+    for batch in batches:
+        rows = []
+        for file, size, value in zip(*(batch.column(k) for k in range(3))):
+            file, line = file.as_py(), value.as_buffer()
+            if file != now:
+                rows += done()
+                now, digest, seen, length = file, hashlib.sha256(), 0, size.as_py()
+            else:
+                digest.update(b"\n")
+                seen += 1
+            digest.update(line)
+            seen += line.size
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], []))], ["file", "sha256"])
+    rows = done()
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], []))], ["file", "sha256"])
+
+
 def source_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes, SHA-256, line-end counts and NUL count per file."""
+    """Bytes, SHA-256, line-end counts and NUL count per file.
+
+    Files are read as lines that Spark splits freely, so no file is held as a value:
+    counts are added up per file, and the hash runs over a file's lines in their order,
+    one file in one task but a batch at a time. Only files that the text reader would
+    decompress are hashed whole. Spark does not list files without bytes, so they are
+    absent.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_relative(F.col("_metadata.file_path"), folder).alias("file"), "length")
+    text = spark.read.option("recursiveFileLookup", True).text(folder, lineSep="\n")
+    lines = text.select(
+        _relative(F.col("_metadata.file_path"), folder).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"),
+    ).filter(~F.col("file").rlike(PACKED))
+    order = F.struct("block", "at")
+    # Bytes are compared as characters of one byte each.
+    line = F.decode("value", "ISO-8859-1")
+    carriage = F.endswith(line, F.lit("\r"))
+    counts = lines.groupBy("file").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("inside"), F.count_if(carriage).alias("ends"), F.max_by(carriage, order).alias("last"),
+        F.sum(F.regexp_count(line, F.lit("\r"))).alias("returns"), F.sum(F.regexp_count(line, F.lit("\x00"))).alias("nul"),
+    )
+    ordered = lines.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "size", "value")
+    found = counts.join(ordered.mapInArrow(_hashed, "file string, sha256 string"), "file")
+    all_ = listed.filter(~F.col("file").rlike(PACKED)).join(found, "file", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    open_end = F.col("inside") + F.col("lines") > F.col("length")  # no line feed after the last line
+    lf = zero(F.col("lines") - open_end.cast("int"))
+    crlf = zero(F.col("ends") - (open_end & F.col("last")).cast("int"))
+    plain = all_.select(
+        "file", F.col("length").alias("bytes"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("sha256"),
+        crlf.cast("int").alias("crlf"), (lf - crlf).cast("int").alias("lf"), (zero(F.col("returns")) - crlf).cast("int").alias("cr"), zero(F.col("nul")).cast("int").alias("nul"),
+    )
+    return plain.unionByName(_whole_files(spark, folder))
+
+
+def _whole_files(spark: SparkSession, folder: str) -> DataFrame:
     text = F.decode("content", "ISO-8859-1")
     crlf, lf, cr = (F.regexp_count(text, F.lit(p)) for p in ("\r\n", "\n", "\r"))
-    return _files(spark, folder).select(
-        "file",
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        crlf.alias("crlf"),
-        (lf - crlf).alias("lf"),
-        (cr - crlf).alias("cr"),
-        F.regexp_count(text, F.lit("\x00")).alias("nul"),
-    )
+    packed = _files(spark, folder).filter(F.col("file").rlike(PACKED))
+    return packed.select("file", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), crlf.alias("crlf"), (lf - crlf).alias("lf"), (cr - crlf).alias("cr"), F.regexp_count(text, F.lit("\x00")).alias("nul"))
 
 
 def duplicate_sources(manifest: DataFrame) -> DataFrame:
