@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sedgetable.core import SRC, TableError
+from sedgetable.scale import bounded_broadcast
 from sedgetable.sources.delimited import CHARSETS
 
 TEXT_KINDS = ("C", "N", "D", "L", "F")
@@ -38,6 +39,15 @@ def dbase_layouts(spark: SparkSession, path: str) -> DataFrame:
     return sized.withColumn("fields", fields)
 
 
+def _numbered(records: DataFrame) -> DataFrame:
+    """Records of whole files: offset of the file plus the place inside it."""
+    sizes = records.groupBy("__file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__file", before.alias("__before"))
+    placed = records.join(bounded_broadcast(offsets, len(records.inputFiles())), "__file")
+    return placed.withColumn(SRC, F.col("__before") + F.col("__at") + 1)
+
+
 def dbase_scan(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
     """Literal cells of all files that share one layout; text is right-trimmed, other kinds are ``hex:``."""
     if encoding == "cp1252":
@@ -61,7 +71,5 @@ def dbase_scan(spark: SparkSession, path: str, encoding: str = "cp1252") -> Data
         text = F.rtrim(F.decode(part, CHARSETS[encoding])) if f["kind"] in TEXT_KINDS else F.concat(F.lit("hex:"), F.lower(F.hex(part)))
         cells.append(text.alias(f["name"]))
         at += f["length"]
-    from sedgetable.sources.structured import _numbered
-
     deleted = F.when(F.substring("raw", 1, 1) == F.lit(b"*"), "true").otherwise("false")
     return _numbered(rows).select(SRC, *cells, deleted.alias("_dbf_deleted"))
