@@ -14,6 +14,7 @@ from sedgetable.sources import manifest as M
 from sedgetable.sources.dbase import dbase_scan
 from sedgetable.sources.delimited import lenient_scan, strict_scan
 from sedgetable.sources.fixed_width import fixed_width_scan
+from sedgetable.sources.markup import xml_record_paths
 from sedgetable.sources.numbering import number_frame, shape_report
 from sedgetable.sources.sinks import write_baseline, write_csv
 from sedgetable.sources.structured import geojson_scan, json_lines_scan, json_scan, json_tables, xml_scan
@@ -35,24 +36,17 @@ def headed_lines(df: DataFrame, head: str, spark: SparkSession, records: int = 5
     return folder
 
 
-def listed_documents(df: DataFrame, head: str, tail: str, spark: SparkSession, items: int = 50_000) -> str:
-    """Write items (``at`` from 0, ``line``) as documents of many lines: ``items`` of them between a head and a tail, with commas between."""
+def listed_documents(df: DataFrame, head: str, tail: str, spark: SparkSession, items: int = 50_000, between: str = ",") -> str:
+    """Write items (``at`` from 0, ``line``) as documents of many lines: ``items`` of them between a head and a tail, by default with commas between."""
     folder = shared_folder(spark)
     part = F.lpad(F.floor(F.col("at") / items).cast("string"), 9, "0")
-    line = F.when(F.col("at") % items == 0, F.col("line")).otherwise(F.concat(F.lit(","), F.col("line")))
+    line = F.when(F.col("at") % items == 0, F.col("line")).otherwise(F.concat(F.lit(between), F.col("line")))
     rows = df.select(part.alias("part"), "at", line.alias("line"))
     ends = rows.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("line")), F.struct(F.lit(1 << 62).cast("bigint").alias("at"), F.lit(tail).alias("line")))).alias("end")).select("part", "end.*")
     rows.unionByName(ends).repartition("part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(folder)
     return folder
 
 
-def _documents(df: DataFrame, spark: SparkSession) -> str:
-    """Write whole documents, one per file; each row holds one document."""
-    folder = shared_folder(spark)
-    df.repartitionByRange(8, "doc").write.partitionBy("doc").text(folder)
-    return folder
-
-
 def _written_survey(s, d):
     return write_csv(load(s, d, SURVEY), shared_folder(s))
 
@@ -187,11 +181,27 @@ def _geojson(s, d):
     return geojson_scan(s, listed_documents(rows.select(F.col("c_custkey").alias("at"), feature.alias("line")), '{"type":"FeatureCollection","features":[', "]}", s))
 
 
-def _xml(s, d):
+XML_ITEMS = 1000
+
+
+def _xml_folder(s, d):
+    """Documents of a thousand customers with an attribute, an optional child and a remark that holds markup as text."""
     rows = load(s, d, CUSTOMER)
-    record = F.concat(F.lit('<record id="'), "custkey", F.lit('"><name>'), "name", F.lit("</name><segment>"), "segment", F.lit("</segment></record>"))
-    docs = rows.groupBy(F.col("nationkey").alias("doc")).agg(F.concat(F.lit("<records>\n"), F.array_join(F.array_sort(F.collect_list(record)), "\n"), F.lit("\n</records>")).alias("value"))
-    return xml_scan(s, _documents(docs, s), "record").drop("__source_record")
+    plain = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    remark = F.concat(F.lit("<remark><![CDATA[<"), "segment", F.lit("> & more]]></remark>"))
+    optional = F.when(F.col("custkey").cast("bigint") % 3 == 0, remark).otherwise("")
+    line = F.concat(F.lit('<record id="'), "custkey", F.lit('>"><name>'), plain(F.col("name")), F.lit("</name>"), optional, F.lit("<!-- > --><segment>"), plain(F.col("segment")), F.lit("</segment></record>"))
+    items = rows.select((F.col("__source_record") - 1).alias("at"), line.alias("line"))
+    return listed_documents(items, "<survey><records>", "</records></survey>", s, XML_ITEMS, "")
+
+
+def _xml(s, d):
+    return xml_scan(s, _xml_folder(s, d), "/survey/records/record").drop("__source_record")
+
+
+def _xml_paths(s, d):
+    path = F.concat(F.lit("/"), F.array_join("path", "/"))
+    return xml_record_paths(s, _xml_folder(s, d)).select(path.alias("path"), "records", F.array_join("attributes", ",").alias("attributes"), "files")
 
 
 def _dbase(s, d):
@@ -292,7 +302,21 @@ def entries():
             _geojson,
             """SELECT CAST(c_custkey + 1 AS BIGINT) AS __source_record, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_custkey AS VARCHAR) AS _feature_id, '{"type":"Point","coordinates":[' || c_nationkey || ',5]}' AS _geometry_json FROM customer""",
         ),
-        "src08_xml_scan": (_xml, with_tables('SELECT custkey AS "@id", name, segment FROM c', c=CUSTOMER)),
+        "src08_xml_scan": (
+            _xml,
+            with_tables("""SELECT custkey || '>' AS "@id", name, CASE WHEN CAST(custkey AS BIGINT) % 3 = 0 THEN '<' || segment || '> & more' ELSE '' END AS remark, segment FROM c""", c=CUSTOMER),
+        ),
+        "src08_xml_record_paths": (
+            _xml_paths,
+            with_tables(
+                f"""SELECT path, CAST(sum(n) AS BIGINT) AS records, max(attributes) AS attributes, count(*) FILTER (n > 0) AS files FROM (
+                    SELECT unnest(['/survey', '/survey/records', '/survey/records/record', '/survey/records/record/name', '/survey/records/record/remark', '/survey/records/record/segment']) AS path,
+                        unnest(['', '', 'id', '', '', '']) AS attributes, unnest([1, 1, r, r, k, r]) AS n
+                    FROM (SELECT (__source_record - 1) // {XML_ITEMS} AS doc, count(*) AS r, count(*) FILTER (CAST(custkey AS BIGINT) % 3 = 0) AS k FROM c GROUP BY 1)
+                ) GROUP BY path""",
+                c=CUSTOMER,
+            ),
+        ),
         "src09_fixed_record_binary_scan": (
             lambda s, d: _dbase(s, d).drop("__source_record"),
             """SELECT lpad(CAST(c_custkey AS VARCHAR), 9, ' ') AS "KEY", c_name AS "NAME", CASE WHEN c_custkey % 4 = 0 THEN 'true' ELSE 'false' END AS _dbf_deleted FROM customer""",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Sequence
 
-from sedgetable.core import SRC, TableError, data_columns
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sedgetable.core import SRC, TableError
 from sedgetable.sources.elements import Documents, numbered_elements
+from sedgetable.sources.markup import xml_records
 from sedgetable.sources.numbering import number_records, with_position
 
 RECORDS = "array<map<string,string>>"
@@ -74,17 +77,15 @@ def geojson_scan(spark: SparkSession, path: str) -> DataFrame:
     return records.select(SRC, *[_literal("record", n) for n in names], blank("id").alias("_feature_id"), blank("geometry").alias("_geometry_json"))
 
 
-def xml_scan(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Flat record elements: children and ``@attributes`` become columns; nested or repeated children fail."""
-    rows = (
-        spark.read.format("xml")
-        .options(rowTag=record, inferSchema=False, attributePrefix="@", valueTag="#text", ignoreSurroundingSpaces=False, mode="FAILFAST", recursiveFileLookup=True)
-        .load(path)
-    )
-    nested = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.StringType)]
-    if nested:
-        raise TableError(f"nested, mixed or repeated children: {nested}")
-    if "#text" in rows.columns and len(rows.columns) > 1 and any(not c.startswith("@") and c != "#text" for c in rows.columns):
-        raise TableError("records mix text with child elements")
-    numbered = number_records(with_position(rows))
-    return numbered.select(SRC, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in data_columns(rows)])
+def xml_scan(spark: SparkSession, path: str, record: str | Sequence[str]) -> DataFrame:
+    """Flat record elements at one exact path: ``@attributes`` and children become columns in first-seen order.
+
+    ``record`` is ``/root/record``, a list of expanded names, or a bare name that only one path ends in. Children
+    that are nested, repeated or carry attributes, and text beside children, are refused. Absent and empty are blank.
+    """
+    numbered = numbered_elements(xml_records(spark, path, record))
+    records = numbered.select(SRC, F.lit(0).alias("__file"), F.col(SRC).alias("__at"), "record")
+    names = _keys_in_order(records, "record")
+    if SRC in names:
+        raise TableError("a child uses a reserved column name")
+    return records.select(SRC, *[_literal("record", n) for n in names])
