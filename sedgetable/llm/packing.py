@@ -23,7 +23,7 @@ import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.llm.bpe import WHITE, Recent, byte_alphabet
-from sedgetable.llm.words import kept_in_worker, stored
+from sedgetable.llm.words import handed_back, kept_in_worker, stored
 
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
@@ -104,6 +104,7 @@ def _tokenised(path: str, end: int, window: int):
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), kinds[6]), pa.nulls(len(out), kinds[7])], names)
         words.runs = Recent()  # the worker lives on; later tasks need its memory
+        handed_back()
         seen = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), k) for k in kinds[:6]] + [pa.array(seen), pa.array(frequency[seen])], names)
 
@@ -191,6 +192,7 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     shards = max(1, -(-counts["t"] // SHARD_TOKENS), -(-counts["rows"] // SHARD_TOKENS))
 
     def pack(table: pa.Table) -> pa.Table:
+        handed_back()
         kind = loaded(path).kind
         shard = table["shard"][0].as_py()
         whole = table.filter(pa.compute.is_null(table["ids"]))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sedgetable.llm.words import freed, portions, stored
+from sedgetable.llm.words import freed, handed_back, portions, stored
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -80,6 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 of_target += np.bincount(bucket[np.repeat(is_target[lo : lo + len(n)], n)], minlength=BUCKETS)
                 lo += len(n)
+        handed_back()
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(raw[seen]), pa.array(of_target[seen])], ["bucket", "raw", "target"])
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sedgetable.llm.words import block_count, joined, pack, portions, unpack, words_of
+from sedgetable.llm.words import block_count, freed, joined, pack, portions, unpack, words_of
 
 BLOCK_BYTES = 4 << 20
 LADDER = (1, 2, 4, 8)
@@ -129,6 +129,7 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
         return words, at, path, group, by, first
 
     def send(table: pa.Table) -> pa.Table:
+        freed()
         block = table["block"][0].as_py()
         _, _, path, group, by, first = order(_sorted(table))
         path, group = path[by][first], group[by][first]
@@ -138,6 +139,7 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
 
     def subtree(table: pa.Table) -> pa.Table:
         """Sort a group's suffixes by path, then block: a leaf after the first of its node repeats an earlier one."""
+        freed()
         table = table.sort_by("block")
         lists = [unpack(b.as_buffer(), np.uint64) for b in table["paths"]]
         path = np.concatenate(lists)
@@ -148,6 +150,7 @@ def repeated_words(docs: DataFrame, key: str, text: str, size: int, shape, schem
         return pa.table({"block": table["block"], "g": table["g"], "again": pa.array([pack(np.packbits(f)) for f in flags], pa.binary())})
 
     def answer(docs_: pa.Table, bits: pa.Table) -> pa.Table:
+        freed()
         docs_ = _sorted(docs_)
         words, at, path, group, by, first = order(docs_)
         earlier = np.zeros(int(first.sum()), bool)

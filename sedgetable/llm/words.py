@@ -6,6 +6,7 @@ occur inside a multi-byte UTF-8 character, so byte positions are exact.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -157,6 +158,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 kept_in_worker: dict[str, Callable[[], None]] = {}
 
 
+def handed_back() -> None:
+    """Give free memory of this worker back to the system: workers stay through stages that run no Python."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def freed() -> None:
     """Free what other operators' tasks have left in this worker, which Spark uses again for any stage."""
     if kept_in_worker:
@@ -164,6 +173,7 @@ def freed() -> None:
             free()
         kept_in_worker.clear()
         gc.collect()
+    handed_back()
 
 
 def portions(texts: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
