@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.core import SRC, TableError, data_columns, require
-from sedgetable.operators.relationships import any_empty, same_rows
+from sedgetable.operators.equality import same_rows
+from sedgetable.operators.relationships import any_empty
 from sedgetable.scale import salted_join, table_digest
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sedgetable.core import SRC, TableError, data_columns, require, unpivot_cells
 from sedgetable.functions.text import RECORD_SPACE, trim_space
-from sedgetable.operators.relationships import same_rows
+from sedgetable.operators.equality import same_rows
 from sedgetable.scale import highest_before, keyed_digest, number_rows, previous_value
 
 REVIEW_LIMIT = 50_000

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sedgetable.core import SRC, TableError, data_columns, require, unpivot_cells
 from sedgetable.functions.text import folded_name
+from sedgetable.operators.equality import same_rows
 from sedgetable.scale import key_groups, non_first, salted_join, top_rows
 
 PREVIEW_LENGTH = 500
@@ -131,18 +132,6 @@ def join_dictionary(child_dictionary: DataFrame, parent_dictionary: DataFrame) -
     return out
 
 
-def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row counts and multiset differences of two tables; all zero differences means equal."""
-    right = right.select(*[F.col(f"`{c}`") for c in left.columns])
-    only_left, only_right = left.exceptAll(right), right.exceptAll(left)
-    return left.agg(F.count("*").alias("left_rows")).select(
-        "left_rows",
-        right.agg(F.count("*")).scalar().alias("right_rows"),
-        only_left.agg(F.count("*")).scalar().alias("left_only"),
-        only_right.agg(F.count("*")).scalar().alias("right_only"),
-    )
-
-
 def verify_join(joined: DataFrame, child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str]) -> DataFrame:
     """Recompute a delivered join and compare every row."""
     return same_rows(joined, literal_left_join(child, parent, child_keys, parent_keys))

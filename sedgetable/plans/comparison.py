@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedgetable.operators import comparison as C
+from sedgetable.operators import comparison as C, equality as E
 from sedgetable.plans.inputs import DICTIONARY_ROWS, NEW_PARTS, PART_COLUMNS, PARTS, dictionary, load, with_tables
 from sedgetable.scale import table_digest
 
@@ -12,6 +12,22 @@ KEYS = [("partkey", "partkey")]
 FIELDS = [("name", "name"), ("brand", "brand"), ("size", "size")]
 
 
+# A later version: some rows changed, gone, repeated or added, none of them in most ranges of a hundred.
+LATER_PARTS = """
+SELECT CAST(p_partkey + 1 AS BIGINT) AS __source_record, CASE WHEN p_partkey % 40 = 9 THEN '' ELSE CAST(p_partkey AS STRING) END AS partkey,
+  CASE WHEN p_partkey % 700 = 5 THEN p_name || '!' ELSE p_name END AS name, p_brand AS brand, CAST(p_size AS STRING) AS size
+FROM {part} WHERE p_partkey % 900 <> 3
+UNION ALL
+SELECT CAST(p_partkey + 1 AS BIGINT), CASE WHEN p_partkey % 40 = 9 THEN '' ELSE CAST(p_partkey AS STRING) END, p_name, p_brand, CAST(p_size AS STRING) FROM {part} WHERE p_partkey % 1100 = 8
+UNION ALL
+SELECT CAST(10000000000 + p_partkey AS BIGINT), CAST(p_partkey AS STRING), p_name, p_brand, CAST(p_size AS STRING) FROM {part} WHERE p_partkey % 500 = 4"""
+ONE_SIDED = """SELECT *, 'l' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'r' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+
+
+def _later(s, d):
+    return load(s, d, LATER_PARTS)
+
+
 def _old(s, d):
     return load(s, d, PARTS)
 
@@ -75,6 +91,18 @@ def entries():
                 CAST(0 AS BIGINT) AS left_only, (SELECT count(*) FROM report WHERE status = 'different' AND left_record % 100 = 1) AS right_only"""
             ),
         ),
+        "c04_differing_ranges": (
+            lambda s, d: E.differing_ranges(_old(s, d), _later(s, d), 100),
+            with_tables(
+                f"""SELECT g * 100 + 1 AS first_record, g * 100 + 100 AS last_record, (SELECT count(*) FROM a WHERE (__source_record - 1) // 100 = g) AS left_rows, (SELECT count(*) FROM b WHERE (__source_record - 1) // 100 = g) AS right_rows
+                FROM (SELECT DISTINCT (__source_record - 1) // 100 AS g FROM ({ONE_SIDED}))""",
+                a=PARTS, b=LATER_PARTS,
+            ),
+        ),
+        "c04_differing_records": (
+            lambda s, d: E.differing_records(_old(s, d), _later(s, d), 100),
+            with_tables(f"SELECT __source_record, count(*) FILTER (side = 'l') AS left_only, count(*) FILTER (side = 'r') AS right_only FROM ({ONE_SIDED}) GROUP BY 1", a=PARTS, b=LATER_PARTS),
+        ),
         "c05_table_fingerprint": (
             lambda s, d: table_digest(_old(s, d)),
             with_tables("@", a=PARTS).replace(" @", f", {_digest_sql(PART_COLUMNS)} SELECT h AS digest FROM l4"),
