@@ -284,16 +284,44 @@ def codebook_matches(df: DataFrame, codebooks: DataFrame) -> DataFrame:
     )
 
 
-def evidence_mentions(texts: DataFrame, names: Sequence[str], k: int = 20, excerpt: int = 400) -> DataFrame:
-    """First ``k`` lines per field name that hold it as a whole word. ``texts(doc, text)`` are whole texts."""
+WORD = "[A-Za-z0-9_]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _name_pattern(name: str) -> str:
+    return "(?i)(?:^|[^a-zA-Z0-9_])" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", name) + "(?:$|[^a-zA-Z0-9_])"
+
+
+def mentions(texts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``field, doc, line_number, line`` of every line that holds a field name as a whole word; A-Z match either case.
+
+    Names are indexed by their longest word, and the distinct words of a line look up that
+    index, so a line's cost does not grow with the number of names; only names that share
+    a word with the line are matched whole. Names without such a word are matched one by one.
+    """
     lines = texts.select("doc", F.posexplode(F.split("text", "\r?\n")).alias("i", "line"))
-    hits = []
-    for name in names:
-        pattern = "(?i)(?:^|[^a-zA-Z0-9_])" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", name) + "(?:$|[^a-zA-Z0-9_])"
-        quick = F.contains(F.lower("line"), F.lit(name.lower()))
-        hits.append(F.when(quick & F.col("line").rlike(pattern), F.lit(name)))
-    found = lines.select("doc", (F.col("i") + 1).alias("line_number"), "line", F.explode(F.array_compact(F.array(*hits))).alias("field"))
-    best = top_rows(found, ["field"], [F.asc("doc"), F.asc("line_number")], k)
-    return best.select("field", "rank", "doc", "line_number", F.substring("line", 1, excerpt).alias("excerpt"))
+    lines = lines.select("doc", (F.col("i") + 1).alias("line_number"), "line")
+    words = {name: re.findall(WORD, name) for name in dict.fromkeys(names)}
+    index = [(max(found, key=len).translate(str.maketrans(UPPER, LOWER)), name, _name_pattern(name)) for name, found in words.items() if found]
+    tokens = F.array_distinct(F.regexp_extract_all(F.translate("line", UPPER, LOWER), F.lit(f"({WORD})"), 1))
+    named = texts.sparkSession.createDataFrame(index, "word string, field string, pattern string")
+    met = lines.select("*", F.explode(tokens).alias("word")).join(named, "word").filter(F.regexp_like("line", "pattern"))
+    found = met.select("field", "doc", "line_number", "line")
+    for name in (n for n, w in words.items() if not w):
+        found = found.unionByName(lines.filter(F.contains("line", F.lit(name)) & F.col("line").rlike(_name_pattern(name))).withColumn("field", F.lit(name)))
+    return found
+
+
+def mention_totals(texts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``field, lines, docs`` of every name: lines that mention it and documents that hold one, zero where none does."""
+    per_doc = mentions(texts, names).groupBy("field", "doc").agg(F.count("*").alias("n"))
+    totals = per_doc.groupBy("field").agg(F.sum("n").alias("lines"), F.count("*").alias("docs"))
+    every = texts.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "field string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return every.join(totals, "field", "left").select("field", zero("lines"), zero("docs"))
 
 
+def evidence_mentions(texts: DataFrame, names: Sequence[str], k: int = 20, excerpt: int = 400) -> DataFrame:
+    """First ``k`` lines per field name that hold it as a whole word, of the hits of :func:`mentions`. ``texts(doc, text)`` are whole texts."""
+    best = top_rows(mentions(texts, names), ["field"], [F.asc("doc"), F.asc("line_number")], k)
+    return best.select("field", "rank", "doc", "line_number", F.substring("line", 1, excerpt).alias("excerpt"))

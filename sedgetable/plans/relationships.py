@@ -33,6 +33,19 @@ def _mentions(s, d):
     return R.evidence_mentions(texts, ["data", "count", "license"])
 
 
+FIELD_NAMES = ["data", "count", "license", "text", "source", "name", "part", "year", "data, set", "no such field"]
+MENTION_TOTALS = f"""WITH names AS (SELECT unnest({FIELD_NAMES}) AS field),
+  split AS (SELECT doc_id AS doc, string_split_regex(text, '\r?\n') AS parts FROM documents),
+  numbered AS (SELECT doc, unnest(parts) AS line FROM split),
+  hits AS (SELECT field, doc FROM names JOIN numbered ON contains(lower(line), lower(field)) AND regexp_matches(line, '(^|[^a-zA-Z0-9_])' || regexp_escape(field) || '($|[^a-zA-Z0-9_])', 'i'))
+  SELECT field, count(hits.field) AS lines, count(DISTINCT doc) AS docs FROM names LEFT JOIN hits USING (field) GROUP BY field"""
+
+
+def _mention_totals(s, d):
+    texts = load(s, d, "SELECT doc_id AS doc, text FROM {documents}")
+    return R.mention_totals(texts, FIELD_NAMES)
+
+
 def _mention_sql():
     parts = []
     for name in ("data", "count", "license"):
@@ -212,6 +225,7 @@ def entries():
             ),
         ),
         "r13_evidence_mentions": (_mentions, _mention_sql()),
+        "r13_mention_totals": (_mention_totals, MENTION_TOTALS),
     }
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from sedgetable.core import SRC, TableError
@@ -101,3 +103,19 @@ def test_codebooks_and_mentions(spark, table):
     assert found == {("code", "x"): (2, 1, 2), ("code", "y"): (1, 0, 1), ("n", "x"): (1, 1, 1)}
     texts = spark.createDataFrame([(1, "n is a count\r\nno mention\nsee [n]"), (2, "nn")], "doc long, text string")
     assert [(r.doc, r.line_number) for r in R.evidence_mentions(texts, ["n"]).orderBy("rank").collect()] == [(1, 1), (1, 3)]
+
+
+def test_all_mentions_equal_a_pattern_per_name(spark):
+    names = ["n", "N2", "water temp", "温度", "a.b", "x_1", "absent", "Kab", "ab"]
+    lines = ["N2 and n", "the WATER Temp, waterxtemp", "温度: 3", "a.b axb", "x_1 x_12", "\u212aab", "", "n n n"]
+    texts = spark.createDataFrame([(1, "\n".join(lines)), (2, "n\r\nab"), (3, None)], "doc long, text string")
+    want = set()
+    for doc, text in ((1, "\n".join(lines)), (2, "n\nab")):
+        for at, line in enumerate(text.split("\n"), 1):
+            for name in names:
+                if re.search(f"(?i)(?a:(^|[^a-zA-Z0-9_]){re.escape(name)}($|[^a-zA-Z0-9_]))", line, re.ASCII):
+                    want.add((name, doc, at, line))
+    got = [tuple(r) for r in R.mentions(texts, [*names, "n"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    totals = {r["field"]: (r["lines"], r["docs"]) for r in R.mention_totals(texts, names).collect()}
+    assert totals["n"] == (3, 2) and totals["absent"] == (0, 0) and totals["温度"] == (1, 1) and totals["ab"] == (2, 2)
