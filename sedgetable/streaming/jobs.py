@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sedgetable.core import SRC, Field
 from sedgetable.operators.findings import cell_findings
 from sedgetable.operators.relationships import key_index
-from sedgetable.scale import SALTS
+from sedgetable.scale import SALTS, shared_folder
 
 
 def stream_cell_findings(stream: DataFrame, fields: Sequence[Field] | None = None, rules: Sequence[str] | None = None) -> DataFrame:
@@ -24,10 +24,14 @@ def link_arrivals(stream: DataFrame, parent: DataFrame, child_keys: Sequence[str
     """Link outcome of arriving child records against a static parent.
 
     Heavy keys are spread by a salt on every arriving row; only parent keys are
-    repeated, never parent rows.
+    repeated, never parent rows. The index of the parent's keys is written once to
+    the shared folder, so micro-batches read it instead of building it again.
     """
     names = [f"__k{i}" for i in range(len(child_keys))]
-    index = key_index(parent.select(SRC, *[F.col(f"`{k}`").alias(n) for k, n in zip(parent_keys, names)]), names)
+    found = key_index(parent.select(SRC, *[F.col(f"`{k}`").alias(n) for k, n in zip(parent_keys, names)]), names)
+    kept = shared_folder(parent.sparkSession)
+    found.write.parquet(kept)
+    index = parent.sparkSession.read.schema(found.schema).parquet(kept)
     salts = 8
     spread = index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = stream.select(SRC, *[F.col(f"`{k}`").alias(n) for k, n in zip(child_keys, names)])
