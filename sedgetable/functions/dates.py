@@ -11,6 +11,7 @@ DATE_FORMATS = ("ISO", "DMY", "MDY", "english-day-month", "english-month-day", "
 STRICT_FORMATS = ("ISO", "year", "month", "excel1900", "excel1904", "DMY", "MDY")
 MONTHS = "january february march april may june july august september october november december".split()
 LAST_SERIAL = 2958465
+FAR_SERIAL = 2**31 - 1  # days are 32-bit numbers
 PHANTOM_SERIAL = 60
 
 
@@ -40,20 +41,25 @@ def is_iso_day(c: Column) -> Column:
     return c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & iso_or_null(part(1, 4), part(6, 2), part(9, 2)).isNotNull()
 
 
-def _serial(c: Column, base: str, phantom: bool, pattern: str) -> Column:
+def _serial(c: Column, base: str, phantom: bool, pattern: str, far: bool = False) -> Column:
     n = F.when(c.rlike(pattern), F.regexp_extract(c, "^([0-9]+)", 1).try_cast("long"))
 
     def day_of(n: Column) -> Column:
         shift = F.when(n > PHANTOM_SERIAL, n - 1).otherwise(n) if phantom else n
-        day = F.when(n.between(0, LAST_SERIAL), F.date_add(F.lit(base).cast("date"), shift.cast("int")))
-        keep = F.year(day) <= 9999
-        return F.when(keep & (n != PHANTOM_SERIAL) if phantom else keep, F.date_format(day, "yyyy-MM-dd"))
+        day = F.when(n.between(0, FAR_SERIAL if far else LAST_SERIAL), F.date_add(F.lit(base).cast("date"), shift.cast("int")))
+        # A pattern of year letters puts a plus before a fifth digit.
+        text = F.format_string("%04d-%02d-%02d", F.year(day), F.month(day), F.day(day)) if far else F.date_format(day, "yyyy-MM-dd")
+        keep = day.isNotNull() if far else F.year(day) <= 9999
+        return F.when(keep & (n != PHANTOM_SERIAL) if phantom else keep, text)
 
     return bind(n, day_of)
 
 
-def strict_date(c: Column, fmt: str) -> Column:
-    """Whole-column date grammar: mixed separators allowed, four-digit years only. Null means refused."""
+def strict_date(c: Column, fmt: str, far: bool = False) -> Column:
+    """Whole-column date grammar: mixed separators allowed, four-digit years only. Null means refused.
+
+    ``far`` also reads serial numbers of days after 9999-12-31, whose years have more digits.
+    """
     if fmt not in STRICT_FORMATS:
         raise ValueError(f"unsupported date format: {fmt}")
     if fmt == "ISO":
@@ -63,7 +69,7 @@ def strict_date(c: Column, fmt: str) -> Column:
     elif fmt == "month":
         out = F.when(c.rlike("^[0-9]{4}-(0[1-9]|1[0-2])\\z"), c)
     elif fmt in ("excel1900", "excel1904"):
-        out = _serial(c, "1904-01-01" if fmt == "excel1904" else "1899-12-31", fmt == "excel1900", "^[0-9]+\\z")
+        out = _serial(c, "1904-01-01" if fmt == "excel1904" else "1899-12-31", fmt == "excel1900", "^[0-9]+\\z", far)
     else:
         p = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})\z"
         first, second = _part(c, p, 1), _part(c, p, 2)

@@ -138,8 +138,9 @@ def convert_by_factor(df: DataFrame, column: str, name: str, factor: float, offs
     return _strict(df, column, name, value, "a value is not a finite number")
 
 
-def parse_dates(df: DataFrame, column: str, name: str, fmt: str) -> DataFrame:
-    return _strict(df, column, name, strict_date(_col(column), fmt), "a value is not a date of the confirmed format")
+def parse_dates(df: DataFrame, column: str, name: str, fmt: str, far: bool = False) -> DataFrame:
+    """Dates of one confirmed format. Serial numbers end with the year 9999, unless ``far`` allows later ones."""
+    return _strict(df, column, name, strict_date(_col(column), fmt, far), "a value is not a date of the confirmed format")
 
 
 def convert_coordinates(df: DataFrame, column: str, name: str, axis: str) -> DataFrame:
@@ -192,7 +193,7 @@ _OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "reorder column": lambda df, s: reorder_column(df, s["column"], s["position"]),
     "remove duplicate rows": lambda df, s: drop_repeats(df, s.get("keys", ())),
     "derive field": lambda df, s: derive_copy(df, s["column"], s["name"]),
-    "parse dates": lambda df, s: parse_dates(df, s["column"], s["name"], s["format"]),
+    "parse dates": lambda df, s: parse_dates(df, s["column"], s["name"], s["format"], s.get("far", False)),
     "convert coordinates": lambda df, s: convert_coordinates(df, s["column"], s["name"], s["axis"]),
     "convert units": lambda df, s: convert_by_factor(df, s["column"], s["name"], s["factor"], s.get("offset", 0.0)),
     "split column": lambda df, s: split_column(df, s["column"], s["separator"], s["part"], s["name"]),

@@ -93,7 +93,7 @@ def entries():
             t("SELECT *, split_part(day, '-', 2) || '-' || lpad(split_part(split_part(day, '-', 1), '/', 2), 2, '0') || '-' || split_part(day, '/', 1) AS iso FROM t"),
         ),
         "t14_parse_serial_dates": (
-            _op(_strict, op="parse dates", column="serial", name="iso", format="excel1900"),
+            _op(_strict, op="parse dates", column="serial", name="iso", format="excel1900", far=True),  # record numbers have no upper end
             t("SELECT *, strftime(DATE '1899-12-31' + CAST(CAST(serial AS BIGINT) - 1 AS INT), '%Y-%m-%d') AS iso FROM t"),
         ),
         "t15_convert_coordinates": (

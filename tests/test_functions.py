@@ -89,3 +89,9 @@ def test_search_folds_ascii_only(one):
 
     assert one(["CAFÉ", "café", "cafe"], lambda c: contains_folded(c, "Café")) == [False, True, False]
     assert one(["ABC", "x%y"], lambda c: contains_folded(c, "b")) == [True, False]
+
+
+def test_serial_dates_beyond_four_digit_years_on_request(one):
+    serials = ["61", "2958465", "2958466", "9000061", "60", "2147483648"]
+    assert one(serials, lambda c: dates.strict_date(c, "excel1900", far=True)) == ["1900-03-01", "9999-12-31", "10000-01-01", "26541-04-29", None, None]
+    assert one(serials, lambda c: dates.strict_date(c, "excel1900")) == ["1900-03-01", "9999-12-31"] + [None] * 4
