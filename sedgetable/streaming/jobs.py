@@ -45,35 +45,40 @@ def link_arrivals(stream: DataFrame, parent: DataFrame, child_keys: Sequence[str
     return joined.select(SRC, "__link_status", F.when(F.col("__link_status") == "linked", F.col("sole_record")).alias("__parent_source_record"))
 
 
-_SEEN = T.StructType([T.StructField("seen", T.BooleanType())])
+_SEEN = T.StructType([T.StructField("identifiers", T.ArrayType(T.StringType())), T.StructField("newest", T.ArrayType(T.LongType()))])
 _FLAGGED = T.StructType([T.StructField("identifier", T.StringType()), T.StructField(SRC, T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("repeat", T.BooleanType())])
+# State groups of a stage. A group keeps the sightings of all its identifiers, so a batch costs calls by groups and not by identifiers.
+GROUPS = 2048
 
 
 def _flag(horizon_ms: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = state.exists
-        newest = 0
-        for batch in batches:
+        now = state.getCurrentWatermarkMs()
+        kept = zip(*state.get) if state.exists else ()
+        newest = {k: at for k, at in kept if at + horizon_ms > now}
+        for batch in () if state.hasTimedOut else batches:
             if batch.empty:
                 continue
-            flags = [True] * len(batch)
-            if not seen:
-                flags[0] = False
-                seen = True
-            newest = max(newest, int(batch["at"].max().timestamp() * 1000))
-            yield pd.DataFrame({"identifier": key[0], SRC: batch[SRC].to_numpy(), "at": batch["at"], "repeat": flags})
-        state.update((True,))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + horizon_ms)
+            seen = batch["identifier"].isin(set(newest)) if newest else False
+            flags = batch["identifier"].duplicated() | seen
+            for k, at in batch.groupby("identifier", sort=False, dropna=False)["at"].max().items():
+                k = None if pd.isna(k) else k
+                newest[k] = max(newest.get(k, 0), now if pd.isna(at) else int(at.timestamp() * 1000))
+            yield pd.DataFrame({"identifier": batch["identifier"], SRC: batch[SRC], "at": batch["at"], "repeat": flags})
+        if not newest:
+            if state.exists:
+                state.remove()
+            return
+        state.update((list(newest), list(newest.values())))
+        state.setTimeoutTimestamp(max(min(newest.values()) + horizon_ms, now + 1))
 
     return run
 
 
 def _flag_groups(stream: DataFrame, keys: Sequence[str], horizon: str, horizon_ms: int) -> DataFrame:
-    timed = stream.withWatermark("at", horizon)
-    return timed.groupBy(*keys).applyInPandasWithState(_flag(horizon_ms), _FLAGGED, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)
+    """Repeats of an identifier among the rows that share a group; rows that agree in ``keys`` do."""
+    timed = stream.withWatermark("at", horizon).withColumn("group", F.pmod(F.xxhash64(*keys), F.lit(GROUPS)))
+    return timed.groupBy("group").applyInPandasWithState(_flag(horizon_ms), _FLAGGED, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, folder: str, name: str) -> str:
@@ -99,9 +104,9 @@ def flag_repeats(spark: SparkSession, stream: DataFrame, folder: str, horizon: s
     State lives until the watermark passes the newest sighting plus the horizon.
     Rows that come later than the watermark cannot be compared with state; they
     are kept with a null flag, so nothing that arrived is lost. Two stages keep a
-    hot identifier from filling one task: rows are first flagged per (identifier,
-    salt), and only the first row of each salt reaches the stage that is keyed by
-    identifier alone. The source is read twice, as files and logs can be.
+    hot identifier from filling one task: rows are first flagged in groups of
+    (identifier, salt), and only the first row of an identifier in each group reaches
+    the stage whose groups hold identifiers alone. The source is read twice, as files and logs can be.
     """
     arrived = run_available(stream.select("identifier", SRC, "at"), folder, "arrived")
     salted = stream.withColumn("salt", F.pmod(F.xxhash64(SRC), F.lit(SALTS)).cast("int"))

@@ -58,6 +58,22 @@ def test_late_stream_rows_are_kept(spark, tmp_path):
     assert got == {0: False, 1: False, 2: True, 3: True, 4: None}
 
 
+def test_stream_state_is_kept_for_groups_of_identifiers(spark, tmp_path):
+    """State follows identifiers over batches, nulls included, but its rows are as few as the groups."""
+    import time
+
+    for n in range(2):
+        df = spark.range(6000).select(F.when(F.col("id") < 5999, F.concat(F.lit("id"), F.col("id"))).alias("identifier"), (F.col("id") + 6000 * n).alias(SRC), F.timestamp_seconds(F.lit(1_600_000_000) + n).alias("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flagged = flag_repeats(spark, stream, str(tmp_path / "out"))
+    by = flagged.groupBy("identifier").agg(F.count_if(~F.col("repeat")).alias("f"), F.count_if("repeat").alias("r"))
+    assert by.filter("f = 1 and r = 1").count() == by.count() == 6000
+    states = spark.read.format("statestore").option("path", str(tmp_path / "out" / "whole-checkpoint")).load()
+    assert 0 < states.count() <= 2048
+
+
 def test_salting_spreads_a_heavy_key(spark, table):
     big = table(["k"], [("hot",)] * 400 + [(str(i),) for i in range(50)], 4)
     small = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, x int")
