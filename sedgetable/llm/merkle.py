@@ -115,6 +115,24 @@ def folded(leaf: str, proof: Proof) -> str:
     return leaf
 
 
+def checked(leaves: Sequence[str], changed: Sequence[str | None], height: int | None, proof: Proof, root: str, fan: int = FAN) -> tuple[list[str], list[str], list[bool]]:
+    """Digest of each leaf's siblings, the root folded from the leaf and them, and whether it is ``root``.
+
+    ``proof`` is that of the leaves' highest node. Every leaf is folded on its own, level
+    by level: a changed one from its changed digest, any other from its own.
+    """
+    n = len(leaves)
+    digests, roots = [""] * n, [""] * n
+    parent, rest, started = None, "", False
+    for place, own in backward(forward(leaves, height, fan), proof, fan):
+        above = own[2] if own else None
+        if not started or above is not parent:  # leaves of a run follow one another
+            parent, rest, started = above, siblings(above), True
+        digests[place] = sha((own[0] + own[1] if own else "") + rest)
+        roots[place] = folded(leaves[place] if changed[place] is None else changed[place], own)
+    return digests, roots, [r == root for r in roots]
+
+
 def digest_text(columns: Sequence[Column]) -> Column:
     """``-`` for a null, else the number of UTF-8 bytes, ``:`` and the value, column after column."""
     texts = [c.cast("string") for c in columns]
@@ -216,19 +234,10 @@ def manifest(docs: DataFrame, tampered: Column, columns: Sequence[str] = ("doc_i
     def check(table: pa.Table, told: pa.Table) -> pa.Table:
         table, told = _ordered(table), told.to_pylist()[0]
         leaves, changed = table["digest"].to_pylist(), table["changed"].to_pylist()
-        digests, roots = [""] * len(leaves), [told["root"]] * len(leaves)
-        levels = forward(leaves, height if table["n"][0].as_py() > size else None, fan)
-        parent, rest = levels, ""  # no proof yet
-        for place, proof in backward(levels, linked(told["before"], told["after"]), fan):
-            above = proof[2] if proof else None
-            if above is not parent:  # leaves of a run follow one another
-                parent, rest = above, siblings(above)
-            digests[place] = sha((proof[0] + proof[1] if proof else "") + rest)
-            if changed[place] not in (None, leaves[place]):
-                roots[place] = folded(changed[place], proof)
+        proof = linked(told["before"], told["after"])
+        digests, roots, verified = checked(leaves, changed, height if table["n"][0].as_py() > size else None, proof, told["root"], fan)
         same = lambda c: pa.array([told[c]] * len(leaves), pa.string())
-        verified = pa.array([r == told["root"] for r in roots])
-        return pa.table({"id": table["id"], "leaf": table["digest"], "subroot": same("subroot"), "root": same("root"), "proof_sha256": pa.array(digests, pa.string()), "folded_root": pa.array(roots, pa.string()), "verified": verified})
+        return pa.table({"id": table["id"], "leaf": table["digest"], "subroot": same("subroot"), "root": same("root"), "proof_sha256": pa.array(digests, pa.string()), "folded_root": pa.array(roots, pa.string()), "verified": pa.array(verified, pa.bool_())})
 
     out = _ranges(levels[0], height, fan).groupBy("key", "range").cogroup(told.select(F.col("key").alias("key"), F.col("index").alias("range"), "before", "after", "subroot", "root").groupBy("key", "range"))
     return out.applyInArrow(check, f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean").withColumnRenamed("id", key)

@@ -101,3 +101,16 @@ def test_sweeps_agree_with_plain_trees():
         assert [list(zip(*merkle.listed(proofs[k]))) for k in range(n)] == [path(levels, k) for k in range(n)]
         assert all(merkle.folded(leaves[k], proofs[k]) == levels[-1][0] for k in range(n))
         assert list(merkle.backward(levels, None))[0][0] == n - 1
+
+
+@pytest.mark.parametrize("n", [1, 8, 70])
+def test_every_leaf_is_folded_with_its_siblings(n):
+    """A root that the leaves do not give is refused for all of them, changed or not."""
+    leaves = [H(str(k)) for k in range(n)]
+    root = H("a" + levels_of(leaves)[-1][0] + "b")
+    changed = [H("x") if k % 3 == 0 else None for k in range(n)]
+    for told in (root, H("another root")):
+        digests, roots, verified = merkle.checked(leaves, changed, None, ("a", "b", None), told)
+        assert [r == root for r in roots] == [k % 3 != 0 for k in range(n)]
+        assert verified == [told == root and k % 3 != 0 for k in range(n)]
+        assert digests == [H("".join(b + a for b, a in [*path(levels_of(leaves), k), ("a", "b")])) for k in range(n)]
