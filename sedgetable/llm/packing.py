@@ -23,10 +23,18 @@ import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from sedgetable.llm.bpe import WHITE, Recent, byte_alphabet
-from sedgetable.llm.words import handed_back, kept_in_worker, stored
+from sedgetable.llm.words import LOWER, SPACES, Words, handed_back, kept_in_worker, portions, stored, words_of
 
 SHARD_TOKENS = 1 << 20
+PORTION = 2 << 20  # text whose words are held as arrays at once
 K1, B = 1.2, 0.75
+# Bytes of words that go to the library whole; letters, digits and other signs of the rest.
+ODD = np.ones(256, bool)
+ODD[33:127] = False
+ODD[[ord("'"), ord("<")]] = True
+DIGIT = 2
+SORTS = np.where(SPACES, 0, 3)
+SORTS[[*range(65, 91), *range(97, 123)]], SORTS[48:58] = 1, DIGIT
 LATIN = "\u024f"
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -40,7 +48,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.runs, self.words = Recent(), Recent()
+        self.runs, self.words, self.known = Recent(), Recent(), Recent()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -69,6 +77,53 @@ class WordIds:
         get, kept = self.runs.young.get, self._kept
         return b"".join([get(run) or kept(run) for run in (self.not_white.findall(text) if odd else text.split())])
 
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end`` after its own, and where each text's begin; the last bound is the end of all.
+
+        Pieces are told apart by their 64-bit hash, and each different one is encoded
+        once; ids are then gathered for all pieces together.
+        """
+        words, whole = _pieces(texts)
+        _, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        get, keep, data = self.known.young.get, self.known.keep, words.data.tobytes()
+        spelt = [data[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())]
+        blobs = [get(w) or keep(w, lambda: self.encode(w.decode()) if odd else self._word(w.decode())) for w, odd in zip(spelt, whole[at].tolist())]
+        size = np.array([len(b) for b in blobs], np.int64) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(blobs), self.kind)
+        count = size[which]
+        after = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[which] - after[:-1], count) + np.arange(after[-1])]
+        cuts = after[words.first]
+        return np.insert(ids, cuts[1:], end), cuts + np.arange(len(cuts))
+
+
+def _pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """Pieces of the texts, and which of them are whole words for the library's own steps.
+
+    A word of printable ASCII without an apostrophe or ``<`` is folded and falls into
+    runs of letters, single digits and runs of other signs. Any other one stays whole.
+    """
+    words = words_of(texts)
+    odd = np.concatenate([[0], np.cumsum(ODD[words.data])])
+    odd = odd[words.end] > odd[words.start]
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.start[odd]] += 1
+    edge[words.end[odd]] -= 1  # a word may begin where another one ends
+    inside = np.cumsum(edge, dtype=np.int8)[:-1].astype(bool)
+    sort = SORTS[words.data]
+    first_of_word = np.zeros(len(words.data), bool)
+    first_of_word[words.start] = True
+    begins = first_of_word.copy()
+    begins[1:] |= ((sort[1:] != sort[:-1]) | (sort[1:] == DIGIT)) & (sort[1:] > 0) & ~inside[1:]
+    start = np.flatnonzero(begins)
+    leads = np.flatnonzero(first_of_word[start])  # the first piece of each word
+    end = np.append(start[1:], 0)[: len(start)]
+    last = np.append(leads[1:], len(start))[: len(leads)] - 1
+    end[last] = words.end
+    of_word = np.repeat(odd, np.diff(np.append(leads, len(start))))
+    return Words(np.where(inside, words.data, LOWER[words.data]), start, end, np.append(leads, len(start))[words.first]), of_word
+
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> WordIds:
@@ -85,25 +140,25 @@ def _tokenised(path: str, end: int, window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(path)
         kept_in_worker["packing"] = loaded.cache_clear
-        stop = np.array([end], words.kind).tobytes()
         frequency = np.zeros(max(words.size, end + 1), np.int64)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "token", "df"]
         kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blob = words.encode(text.as_py() or "") + stop
-                ids = np.frombuffer(blob, words.kind)
-                n = len(ids)
-                whole = n - n % window
-                out += [(key, s, window, _crc(ids[s : s + window]), n, None) for s in range(0, whole, window)]
-                if whole < n:
-                    frequency[np.unique(ids[whole:])] += 1
-                    out.append((key, whole, n - whole, _crc(ids[whole:]), n, ids[whole:].tobytes()))
+            keys = iter(batch.column(0).to_pylist())
+            for part in portions(batch.column(1), PORTION):
+                every, cuts = words.encode_all(part, end)
+                for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+                    key, ids, n = next(keys), every[lo:hi], hi - lo
+                    whole = n - n % window
+                    out += [(key, s, window, _crc(ids[s : s + window]), n, None) for s in range(0, whole, window)]
+                    if whole < n:
+                        frequency[np.unique(ids[whole:])] += 1
+                        out.append((key, whole, n - whole, _crc(ids[whole:]), n, ids[whole:].tobytes()))
             if out:
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), kinds[6]), pa.nulls(len(out), kinds[7])], names)
-        words.runs = Recent()  # the worker lives on; later tasks need its memory
+        words.runs, words.known = Recent(), Recent()  # the worker lives on; later tasks need its memory
         handed_back()
         seen = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), k) for k in kinds[:6]] + [pa.array(seen), pa.array(frequency[seen])], names)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tokenizers
@@ -81,6 +82,16 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(mine.encode(t), mine.kind).tolist() == mine.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_many_texts_equal_the_library():
+    mine = packing.WordIds(WORD)
+    odd = [None, "", " ", "A1b22,c", "it's IT'S <|ENDOFTEXT|> <|endoftext|>x", "\x00a \x1cB\x7f", "Ünï-code 1\u0662", "x" * 300, "a\u00a0b", "'S-9'", "end", "No.", "e\u0301 12.5%"]
+    batch = [*odd, *texts(1500, 5), *odd]
+    ids, cuts = mine.encode_all(pa.array(batch, pa.string()), 1)
+    for k, t in enumerate(batch):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == [*mine.whole.encode(t or "", add_special_tokens=False).ids, 1], t
+    assert cuts[-1] == len(ids) and len(mine.encode_all(pa.array([], pa.string()), 1)[0]) == 0
+
+
 def test_neighbours_are_bm25_best():
     docs = [np.array(d) for d in ([1, 2, 3], [1, 2, 9], [4, 5], [3, 3, 1], [7])]
     n, mean = len(docs), sum(map(len, docs)) / len(docs)
