@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedgetable.core import SRC, TableError, data_columns, require, unpivot_cells
 from sedgetable.functions.text import folded_name
 from sedgetable.operators.equality import same_rows
-from sedgetable.scale import key_groups, non_first, salted_join, top_rows
+from sedgetable.scale import bounded_broadcast, key_groups, non_first, salted_join, top_rows
 
 PREVIEW_LENGTH = 500
 
@@ -297,7 +297,8 @@ def mentions(texts: DataFrame, names: Sequence[str]) -> DataFrame:
 
     Names are indexed by their longest word, and the distinct words of a line look up that
     index, so a line's cost does not grow with the number of names; only names that share
-    a word with the line are matched whole. Names without such a word are matched one by one.
+    a word with the line are matched whole. The index goes to every task, so that no line is
+    shuffled with each of its words. Names without such a word are matched one by one.
     """
     lines = texts.select("doc", F.posexplode(F.split("text", "\r?\n")).alias("i", "line"))
     lines = lines.select("doc", (F.col("i") + 1).alias("line_number"), "line")
@@ -305,7 +306,7 @@ def mentions(texts: DataFrame, names: Sequence[str]) -> DataFrame:
     index = [(max(found, key=len).translate(str.maketrans(UPPER, LOWER)), name, _name_pattern(name)) for name, found in words.items() if found]
     tokens = F.array_distinct(F.regexp_extract_all(F.translate("line", UPPER, LOWER), F.lit(f"({WORD})"), 1))
     named = texts.sparkSession.createDataFrame(index, "word string, field string, pattern string")
-    met = lines.select("*", F.explode(tokens).alias("word")).join(named, "word").filter(F.regexp_like("line", "pattern"))
+    met = lines.select("*", F.explode(tokens).alias("word")).join(bounded_broadcast(named, len(index)), "word").filter(F.regexp_like("line", "pattern"))
     found = met.select("field", "doc", "line_number", "line")
     for name in (n for n, w in words.items() if not w):
         found = found.unionByName(lines.filter(F.contains("line", F.lit(name)) & F.col("line").rlike(_name_pattern(name))).withColumn("field", F.lit(name)))
@@ -323,5 +324,6 @@ def mention_totals(texts: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def evidence_mentions(texts: DataFrame, names: Sequence[str], k: int = 20, excerpt: int = 400) -> DataFrame:
     """First ``k`` lines per field name that hold it as a whole word, of the hits of :func:`mentions`. ``texts(doc, text)`` are whole texts."""
-    best = top_rows(mentions(texts, names), ["field"], [F.asc("doc"), F.asc("line_number")], k)
-    return best.select("field", "rank", "doc", "line_number", F.substring("line", 1, excerpt).alias("excerpt"))
+    hits = mentions(texts, names).select("field", "doc", "line_number", F.substring("line", 1, excerpt).alias("excerpt"))
+    best = top_rows(hits, ["field"], [F.asc("doc"), F.asc("line_number")], k)
+    return best.select("field", "rank", "doc", "line_number", "excerpt")

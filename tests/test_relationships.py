@@ -119,3 +119,9 @@ def test_all_mentions_equal_a_pattern_per_name(spark):
     assert len(got) == len(set(got)) and set(got) == want
     totals = {r["field"]: (r["lines"], r["docs"]) for r in R.mention_totals(texts, names).collect()}
     assert totals["n"] == (3, 2) and totals["absent"] == (0, 0) and totals["温度"] == (1, 1) and totals["ab"] == (2, 2)
+
+
+def test_mentions_shuffle_no_line_with_its_words(spark):
+    texts = spark.createDataFrame([(1, "n is a count"), (2, "a.b and n")], "doc long, text string").repartition(2)
+    plan = R.mentions(texts, ["n", "a.b"])._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
