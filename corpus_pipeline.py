@@ -31,8 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard). Ids of the others are joined out. Rows with a repeated id share their fate, and
-    documents without id stay, as nothing can name them.
+    SimHash fingerprints of five-word shingles meet by ring search, and those that they leave apart by
+    minima; near copies share at least 0.8 of the shingles (Jaccard), which is checked exactly. Ids of the
+    others are joined out. Rows with a repeated id share their fate, and documents without id stay, as
+    nothing can name them.
     """
     marked = jaccard.near_copies(docs.select("doc_id", "text"))
     others = marked.filter("component_id < doc_id").select("doc_id").distinct()

@@ -1,6 +1,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+
 from sedgetable.llm import jaccard
 from test_duplicates import FOLD, WORD, corpus
 
@@ -65,3 +68,43 @@ def test_near_copies_edges(spark):
     out = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert out == sorted([(3, 3), (3, 3), (None, 3), (None, None), (1, 1)], key=str)
     assert jaccard.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketches_never_differ_in_more_bits_than_texts_in_shingles():
+    texts = [*edited(6), "", "one two", None]
+    signed = jaccard._signed(pa.array(texts, pa.string()), 5, True)
+    sketch = np.array(signed.field("sketch").flatten()).reshape(-1, jaccard.SKETCH).view(np.uint64)
+    sets, size = [shingles(t) for t in texts], signed.field("n").to_pylist()
+    pruned = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            apart = int(np.bitwise_count(sketch[a] ^ sketch[b]).sum())
+            assert apart <= len(sets[a] ^ sets[b])
+            pruned += 180 * apart > 20 * (size[a] + size[b])
+    assert pruned > 0.8 * len(texts) * (len(texts) - 1) / 2
+
+
+def test_fingerprints_propose_pairs_and_unlike_ones_are_not_joined(spark, monkeypatch):
+    """A family of texts that share 60 % of their shingles: no pair passes, and no pair is compared."""
+    rnd = random.Random(5)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for k in range(60):
+        copy = list(base)
+        for at in rnd.sample(range(300), 20):
+            copy[at] = f"c{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100, " ".join(base)), (101, " ".join([*base, "more"]))]
+    searched, kept = [], {}
+    search, store = jaccard.near_links, jaccard.stored
+
+    def stored(df, name):
+        kept.setdefault(name, []).append(store(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(jaccard, "near_links", lambda fps, bits: searched.append(bits) or search(fps, bits))
+    monkeypatch.setattr(jaccard, "stored", stored)
+    out = dict(tuple(r) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = by_brute_force([t for _, t in rows])
+    assert [out[k] for k, _ in rows] == [rows[w][0] for w in want] and out[101] == 100
+    assert searched == [4]
+    assert kept["pairs"][1].count() < 60  # of 1,770 pairs
