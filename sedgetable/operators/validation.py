@@ -175,13 +175,15 @@ def layout_findings(headers: DataFrame, declared: DataFrame) -> DataFrame:
     ``headers(resource, table, position, name)`` are found headers of many files,
     ``declared(table, position, name)`` the schemas.
     """
-    resources = headers.select("resource", "table").distinct()
+    # A header travels as one row with its names, and a schema as one row with its fields.
+    resources = headers.groupBy("resource", "table").agg(F.collect_list(F.struct("name", "position")).alias("found"))
+    schemas = declared.groupBy("table").agg(F.collect_list(F.struct("name", "position")).alias("fields"))
     repeated = resources.groupBy("table").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated table").alias("rule"), F.lit("").alias("resource"), "table", F.lit("").alias("name"))
     absent_table = declared.select("table").distinct().join(resources.select("table").distinct(), "table", "left_anti").select(F.lit("absent table").alias("rule"), F.lit("").alias("resource"), "table", F.lit("").alias("name"))
-    wanted = salted_join(resources, declared, ["table"], "inner")
-    found = headers.select("resource", "table", "name", F.col("position").alias("found_at"))
-    matched = wanted.join(found, ["resource", "table", "name"], "left")
-    rule = F.when(F.col("found_at").isNull(), "absent field").when(F.col("found_at") != F.col("position"), "field order")
+    wanted = salted_join(resources, schemas, ["table"], "inner", ["resource"]).select("resource", "table", "found", F.explode("fields").alias("field"))
+    same = F.filter("found", lambda x: x["name"] == F.col("field.name"))
+    matched = wanted.select("resource", "table", "field.name", "field.position", F.explode_outer(same).alias("hit"))
+    rule = F.when(F.col("hit").isNull(), "absent field").when(F.col("hit.position") != F.col("position"), "field order")
     fields = matched.select(rule.alias("rule"), "resource", "table", "name").filter("rule is not null")
     return fields.unionByName(repeated).unionByName(absent_table)
 

@@ -135,3 +135,12 @@ def test_undo_and_redo_steps(spark):
     ]
     with pytest.raises(TableError, match="nothing"):
         step_events(log, "redo", "r", "w", groups)
+
+
+def test_layout_joins_headers_as_whole_rows(spark):
+    headers = spark.createDataFrame([("f", "t", 0, "b"), ("f", "t", 1, "a"), ("f", "t", 2, "a"), ("g", "u", 0, "a")], "resource string, table string, position int, name string")
+    declared = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b"), ("t", 2, "c"), ("v", 0, "a")], "table string, position int, name string")
+    out = V.layout_findings(headers, declared)
+    assert sorted(tuple(r) for r in out.collect()) == sorted([("field order", "f", "t", "a")] * 2 + [("field order", "f", "t", "b"), ("absent field", "f", "t", "c"), ("absent table", "", "v", "")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-!").startswith("Join") for line in plan.splitlines()) == 2
