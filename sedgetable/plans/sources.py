@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlsplit
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sedgetable.core import literalise
@@ -204,8 +206,11 @@ def _xml_paths(s, d):
     return xml_record_paths(s, _xml_folder(s, d)).select(path.alias("path"), "records", F.array_join("attributes", ",").alias("attributes"), "files")
 
 
+DBASE_KEYS = 100_000
+
+
 def _dbase(s, d):
-    """One binary table per nation: 32-byte header, two field descriptors, fixed records."""
+    """Binary tables of a nation's customers within a range of keys: 32-byte header, two field descriptors, fixed records."""
     rows = load(s, d, "SELECT c_custkey, c_name, c_nationkey FROM {customer}")
     byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
     little = lambda c, n: F.concat(*[byte(F.shiftright(c, 8 * i).bitwiseAND(F.lit(255).cast("long"))) for i in range(n)])
@@ -213,7 +218,7 @@ def _dbase(s, d):
     name = lambda text: F.concat(F.encode(F.lit(text), "UTF-8"), zeros(11 - len(text)))
     descriptor = lambda text, kind, length: F.concat(name(text), F.encode(F.lit(kind), "UTF-8"), zeros(4), byte(F.lit(length)), zeros(15))
     record = F.encode(F.concat(F.when(F.col("c_custkey") % 4 == 0, "*").otherwise(" "), F.lpad(F.col("c_custkey").cast("string"), 9, " "), F.rpad("c_name", 30, " ")), "UTF-8")
-    grouped = rows.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("c_custkey", F.hex(record).alias("r")))).alias("records"))
+    grouped = rows.groupBy("c_nationkey", F.floor(F.col("c_custkey") / DBASE_KEYS).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("c_custkey", F.hex(record).alias("r")))).alias("records"))
     data = F.unhex(F.array_join(F.transform("records", lambda x: x["r"]), ""))
     content = F.concat(
         F.unhex(F.lit("03190101")), little(F.col("n"), 4), little(F.lit(97).cast("long"), 2), little(F.lit(40).cast("long"), 2), zeros(20),
@@ -221,15 +226,16 @@ def _dbase(s, d):
     )
     folder = shared_folder(s)
     # A text writer keeps bytes only where they are valid text, so files are made by the tasks themselves.
-    grouped.select(F.col("c_nationkey").cast("string").alias("name"), content.alias("content")).foreachPartition(_binary_writer(folder))
+    grouped.select(F.concat_ws("-", "c_nationkey", "part").alias("name"), content.alias("content")).foreachPartition(_binary_writer(folder))
     return dbase_scan(s, folder)
 
 
 def _binary_writer(folder: str):
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for row in rows:
-            with open(os.path.join(folder, f"{row['name']}.dbf"), "wb") as out:
+            with store.open_output_stream(f"{base}/{row['name']}.dbf") as out:
                 out.write(bytes(row["content"]))
 
     return write

@@ -1,10 +1,12 @@
 import os
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedgetable.core import SRC, TableError, WIDTH
+from sedgetable.plans import sources
 from sedgetable.sources import manifest as M
 from sedgetable.sources.dbase import dbase_scan
 from sedgetable.sources.delimited import lenient_scan, strict_scan
@@ -137,6 +139,29 @@ def test_dbase(spark, tmp_path):
         dbase_scan(spark, str(tmp_path))
 
 
+def test_dbase_time_grows_with_the_records(spark, tmp_path):
+    n, size = 120_000, 40
+    head = struct.pack("<B3sIHH20s", 3, b"\0\0\0", n, 65, size, b"\0" * 20) + b"KEY".ljust(11, b"\0") + b"N" + b"\0" * 4 + bytes([39]) + b"\0" * 15 + b"\r"
+    put(tmp_path, "a.dbf", head + b"".join(b"%s%39d" % (b"*" if k % 3 == 0 else b" ", k) for k in range(n)) + b"\x1a")
+    put(tmp_path, "b.dbf", head.replace(struct.pack("<I", n), struct.pack("<I", 1), 1) + b" %39d" % 7)
+    start = time.perf_counter()
+    found = dbase_scan(spark, str(tmp_path)).select("__source_record", F.trim("KEY").cast("int").alias("k"), "_dbf_deleted")
+    told = found.agg(F.count("*"), F.count_if(F.expr("k = __source_record - 1 and (k % 3 = 0) = (_dbf_deleted = 'true')")), F.max_by("k", "__source_record")).first()
+    assert tuple(told) == (n + 1, n, 7)
+    assert time.perf_counter() - start < 60
+
+
+def test_dbase_tables_are_bounded_by_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "DBASE_KEYS", 100)
+    files = []
+    monkeypatch.setattr(sources, "dbase_scan", lambda s, folder: files.extend(os.listdir(folder)) or dbase_scan(s, folder))
+    found = sources._dbase(spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert found.count() == customers.count()
+    assert sum(f.endswith(".dbf") for f in files) == customers.selectExpr("c_nationkey", "c_custkey div 100").distinct().count()
+
+
+
 def test_manifest_probe_and_integrity(spark, tmp_path):
     put(tmp_path, "a.csv", b"x\r\ny\nz\r\0")
     put(tmp_path, "b.csv", "a;b\n1;2\n".encode("cp1252") + b"\xe9;x\n")
