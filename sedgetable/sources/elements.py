@@ -5,7 +5,9 @@ every split twice, as if it began outside and inside a string, and keeps how the
 of brackets changes. Composed in order these tell the state and depth at which each
 split begins. The elements, objects at depth one of a top-level array or at depth two
 below a member of a top-level object, are then cut out in parallel; one that spans
-splits is put together from its pieces. No document is ever held as a whole.
+splits is put together from its pieces. No document is ever held as a whole. Elements
+are cut once and stored; one that stands in its split before any member's name takes
+the name that the earlier splits leave open.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sedgetable.core import TableError
-from sedgetable.scale import BROADCAST_ROWS, shared_folder
+from sedgetable.scale import BROADCAST_ROWS, bounded_broadcast, shared_folder
 from sedgetable.sources.numbering import BLOCK, FILE
 from sedgetable.sources.quoted import BOM, runs_of
 
 STEP = np.zeros(256, np.int64)
 STEP[[ord("{"), ord("[")]], STEP[[ord("}"), ord("]")]] = 1, -1
+BRACKET = STEP != 0
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32, ord(",")]] = True
 PEEK = 64
@@ -40,6 +43,16 @@ def quotes(data: bytes, d: np.ndarray) -> np.ndarray:
     return at[keep]
 
 
+class Marks:
+    """What both states of a text share: its quotes, its brackets, and whether an odd number of quotes is before each."""
+
+    def __init__(self, data: bytes):
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.quotes = quotes(data, self.bytes)
+        self.brackets = np.flatnonzero(BRACKET[self.bytes])
+        self.odd = np.searchsorted(self.quotes, self.brackets) & 1 == 1
+
+
 @dataclass
 class Level:
     """Brackets outside strings: where they are, and the depth after each."""
@@ -47,12 +60,12 @@ class Level:
     data: bytes
     inside: bool
     depth: int
+    marks: Marks | None = None
 
     def __post_init__(self):
-        self.bytes = np.frombuffer(self.data, np.uint8)
-        self.quotes = quotes(self.data, self.bytes)
-        at = np.flatnonzero(STEP[self.bytes])
-        self.at = at[~self.in_string(at)]
+        marks = self.marks or Marks(self.data)
+        self.bytes, self.quotes = marks.bytes, marks.quotes
+        self.at = marks.brackets[marks.odd == self.inside]
         self.step = STEP[self.bytes[self.at]]
         self.after = self.depth + np.cumsum(self.step)
         self.ends_inside = bool((len(self.quotes) + self.inside) & 1)
@@ -107,8 +120,8 @@ NAMES = {I: "bigint", S: "string", B: "boolean"}
 schema = lambda fields: ", ".join(f"{n} {NAMES[k]}" for n, k in fields)
 WALK = [("split", I), (FILE, S), (BLOCK, I), ("began", B), ("inside", B), ("delta", I), ("low", I), ("top", S)]
 START = [("file", S), ("split", I), (BLOCK, I), ("inside", B), ("depth", I), ("target", I), ("origin", I), ("reason", S)]
-EVENT = [("split", I), ("seq", I), ("name", S), ("value", S)]
-PIECE = [("number", I), (BLOCK, I), ("__at", I), ("member", S), ("plain", B), ("origin", I), ("piece", I), ("text", S)]
+PIECE = [("split", I), (BLOCK, I), ("__at", I), ("event", S), ("member", S), ("known", B), ("plain", B), ("origin", I), ("piece", I), ("text", S)]
+
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +142,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     data = data.removeprefix(BOM)
             if not place[1] and not top:
                 top = data.lstrip()[:1].decode("latin-1")
+            marks = Marks(data)
             for k, (inside, depth, low) in enumerate(states):
-                level = Level(data, inside, depth)
+                level = Level(data, inside, depth, marks)
                 states[k] = level.ends_inside, level.end, min(low, int(level.after.min(initial=0)))
         yield _rows(rows, WALK)
     yield _rows(told(), WALK)
@@ -160,29 +174,23 @@ def _placed(chunks: DataFrame, starts: DataFrame, columns: list[str]) -> DataFra
     return lines.join(starts, "split").sortWithinPartitions("split", "at").select("split", "value", *columns)
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, seq = None, 0
-    for batch in batches:
-        splits, rows = batch.column(0).to_numpy(zero_copy_only=False), []
-        for lo, hi in runs_of(splits):
-            data = _joined(batch.column(1).slice(lo, hi - lo))
-            if splits[lo] != now:
-                now, seq = int(splits[lo]), 0
-                inside, depth, block = (batch.column(k)[lo].as_py() for k in (2, 3, 4))
-                data = data if block else data.removeprefix(BOM)
-            level = Level(data, inside, depth)
-            for _, name, value in level.members():
-                rows.append((now, seq, name, value))
-                seq += 1
-            inside, depth = level.ends_inside, level.end
-        yield _rows(rows, EVENT)
+def _whole(split: int, block: int, first: int, members: pa.Array, known: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    """Elements that lie in one split, in order."""
+    n = len(texts)
+    same = lambda v: pa.array(np.full(n, v))
+    columns = [same(split), same(block), pa.array(np.arange(first, first + n)), pa.nulls(n, S), members, pa.array(known), same(False), pa.nulls(n, I), pa.nulls(n, I), pa.array(texts, S)]
+    return pa.RecordBatch.from_arrays(columns, [c for c, _ in PIECE])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements, pieces of elements and members of every split.
+
+    Until a split names a member (``known``), all its elements are given without one.
+    """
     now, open_ = None, b""
 
     def fragment() -> list[tuple]:
-        return [(number, None, None, None, False, origin, block, open_.decode())] if now is not None and open_ else []
+        return [(now, None, None, None, None, None, False, origin, block, open_.decode())] if now is not None and open_ else []
 
     for batch in batches:
         splits, rows = batch.column(0).to_numpy(zero_copy_only=False), []
@@ -190,41 +198,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = _joined(batch.column(1).slice(lo, hi - lo))
             if splits[lo] != now:
                 rows += fragment()
-                now, seq, open_ = int(splits[lo]), 0, b""
-                inside, depth, block, target, origin, number, name, array = (batch.column(k)[lo].as_py() for k in range(2, 10))
+                now, seq, told, open_ = int(splits[lo]), 0, 0, b""
+                inside, depth, block, target, origin = (batch.column(k)[lo].as_py() for k in range(2, 7))
                 data = data if block else data.removeprefix(BOM)
                 spans = depth > target  # an element of an earlier split is open
+                current = ("records", True, True) if target == 1 else (None, True, False)
             level = Level(data, inside, depth)
             brace = level.bytes[level.at]
             starts = level.at[(level.step > 0) & (level.after == target + 1) & (brace == ord("{"))]
             ends = level.at[(level.step < 0) & (level.after == target) & (brace == ord("}"))] + 1
-            events = [(-1, name, array), *((at, n, v.startswith("[")) for at, n, v in level.members())] if target == 2 else [(-1, "records", True)]
-            at_event = np.array([e[0] for e in events])
-            of = lambda at: events[int(np.searchsorted(at_event, at)) - 1][1:]
-            for place in level.plain(target).tolist():
-                member, is_array = of(place)
-                if is_array and member is not None:
-                    rows.append((number, block, None, member, True, None, None, None))
-                    break
+            members = level.members() if target == 2 else []
+            for _, name, value in members:
+                rows.append((now, block, told, value, name, None, False, None, None, None))
+                told += 1
+            events = [current, *((name, value.startswith("["), True) for _, name, value in members)]
+            at_event = np.array([-1, *(at for at, _, _ in members)])
+            array, known = (np.array([e[k] for e in events]) for k in (1, 2))
+            of = lambda at: np.searchsorted(at_event, at) - 1
+            for k in np.unique(of(level.plain(target))).tolist():
+                if array[k]:
+                    rows.append((now, block, None, None, events[k][0], events[k][2], True, None, None, None))
             if depth > target:
                 stop = int(ends[0]) if len(ends) else len(data)
                 open_ += data[:stop]
                 if len(ends):
-                    member, is_array = of(0)
-                    if is_array:
-                        rows.append((number, block, seq, member, False, origin if spans else None, block if spans else None, open_.decode()))
+                    if current[1]:
+                        rows.append((now, block, seq, None, current[0], current[2], False, origin if spans else None, block if spans else None, open_.decode()))
                         seq += 1
                     ends, open_, spans = ends[1:], b"", False
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                member, is_array = of(s)
-                if is_array:
-                    rows.append((number, block, seq, member, False, None, None, data[s:e].decode()))
-                    seq += 1
+            which = of(starts[: len(ends)])
+            kept = array[which]
+            texts = [data[s:e] for s, e in zip(starts[: len(ends)][kept].tolist(), ends[kept].tolist())]
+            if texts:
+                which = which[kept]
+                yield _whole(now, block, seq, pa.array([e[0] for e in events], S).take(pa.array(which)), known[which], texts)
+                seq += len(texts)
             if len(starts) > len(ends):
                 open_, origin = data[starts[-1] :], block
-            inside, depth = level.ends_inside, level.end
-            if events:
-                name, array = events[-1][1:]
+            inside, depth, current = level.ends_inside, level.end, events[-1]
         yield _rows(rows, PIECE)
     yield _rows(fragment(), PIECE)
 
@@ -241,10 +252,12 @@ class Documents:
         bad = self.starts.filter("reason is not null").first()
         if bad is not None:
             raise TableError(f"{bad['reason']}: {bad['file']}")
+        self.splits = self.starts.count()
         kept = shared_folder(spark)
-        placed = _placed(self.chunks.drop(FILE, BLOCK), self.starts.filter("target = 2"), ["inside", "depth", BLOCK])
-        placed.mapInArrow(_events, schema(EVENT)).write.parquet(kept)
-        self.events = spark.read.parquet(kept)
+        placed = _placed(self.chunks.drop(FILE, BLOCK), self.starts.select("split", "inside", "depth", BLOCK, "target", "origin"), ["inside", "depth", BLOCK, "target", "origin"])
+        placed.mapInArrow(_cut, schema(PIECE)).write.parquet(kept)
+        self.pieces = spark.read.parquet(kept)
+        self.events = self.pieces.filter("event is not null").select("split", F.col("__at").alias("seq"), F.col("member").alias("name"), F.col("event").alias("value"))
 
     def members(self) -> DataFrame:
         """``file, name, value`` of every member of a top-level object; ``value`` is its first few characters."""
@@ -259,19 +272,24 @@ class Documents:
         order = Window.partitionBy("file").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         held = self.starts.join(last, "split", "left").withColumn("held", F.last("last", True).over(order))
         files = self.starts.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("bigint").alias("number"))
-        starts = held.join(files, "file").select("split", "inside", "depth", BLOCK, "target", "origin", "number", F.col("held.name").alias("name"), F.coalesce("held.array", F.lit(False)).alias("array"))
-        pieces = _placed(self.chunks.drop(FILE, BLOCK), starts, ["inside", "depth", BLOCK, "target", "origin", "number", "name", "array"]).mapInArrow(_cut, schema(PIECE))
+        open_ = held.join(files, "file").select("split", "number", F.col("held.name").alias("name"), F.coalesce("held.array", F.col("target") == 1).alias("array"))
+        member = F.when(F.col("known"), F.col("member")).when(~F.col("known") & F.col("array"), F.col("name"))
+        placed = self.pieces.filter("event is null").join(bounded_broadcast(open_, self.splits), "split")
+        pieces = placed.select("number", BLOCK, "__at", member.alias("member"), "plain", "origin", "piece", "text")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "")
         over = pieces.filter("piece is not null").groupBy("number", "origin").agg(F.max(BLOCK).alias(BLOCK), F.max("__at").alias("__at"), F.max("member").alias("member"), text.alias("text"))
         kept = ["number", "member", BLOCK, "__at", "text"]
-        whole = pieces.filter("piece is null and not plain").select(*kept).unionByName(over.filter("member is not null").select(*kept))
-        mixed = pieces.filter("plain").select("number", "member").distinct()
-        return whole.join(mixed, ["number", "member"], "left_anti").withColumnRenamed("number", FILE)
+        whole = pieces.filter("piece is null and not plain").select(*kept).unionByName(over.select(*kept)).filter("member is not null")
+        plain = self.pieces.filter("plain").count()
+        if plain:
+            mixed = pieces.filter("plain and member is not null").select("number", "member").distinct()
+            whole = whole.join(bounded_broadcast(mixed, plain), ["number", "member"], "left_anti")
+        return whole.withColumnRenamed("number", FILE)
 
 
-def numbered_elements(elements: DataFrame) -> DataFrame:
-    """Elements of one member with ``__source_record`` in document order: a place in the split plus the elements of earlier splits."""
+def numbered_elements(elements: DataFrame, splits: int = BROADCAST_ROWS + 1) -> DataFrame:
+    """Elements of one member, from at most ``splits`` splits, with ``__source_record`` in document order: a place in the split plus the elements of earlier splits."""
     sizes = elements.groupBy(FILE, BLOCK).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.select(FILE, BLOCK, (before - F.col("__first") + 1).alias("__shift"))  # one row for each split
-    return elements.join(shifts, [FILE, BLOCK]).withColumn("__source_record", F.col("__at") + F.col("__shift"))
+    return elements.join(bounded_broadcast(shifts, splits), [FILE, BLOCK]).withColumn("__source_record", F.col("__at") + F.col("__shift"))

@@ -39,14 +39,14 @@ def json_tables(spark: SparkSession, path: str) -> DataFrame:
     return named.join(found, "table", "full").select("table", F.coalesce("records", F.lit(0)).alias("records"))
 
 
-def _records(elements: DataFrame) -> DataFrame:
-    numbered = numbered_elements(elements)
+def _records(documents: Documents, member: str) -> DataFrame:
+    numbered = numbered_elements(documents.elements().filter(F.col("member") == member), documents.splits)
     return numbered.select(SRC, F.lit(0).alias("__file"), F.col(SRC).alias("__at"), "text")
 
 
 def json_scan(spark: SparkSession, path: str, table: str = "records") -> DataFrame:
     """One literal table of JSON documents: nested values stay JSON text, null and absent are blank."""
-    records = _records(Documents(spark, path).elements().filter(F.col("member") == table)).withColumn("record", F.from_json("text", "map<string,string>"))
+    records = _records(Documents(spark, path), table).withColumn("record", F.from_json("text", "map<string,string>"))
     names = _keys_in_order(records, "record")
     return records.select(SRC, *[_literal("record", n) for n in names])
 
@@ -68,7 +68,7 @@ def geojson_scan(spark: SparkSession, path: str) -> DataFrame:
     if not good or good < documents.starts.select("file").distinct().count():
         raise TableError("only FeatureCollection documents are supported")
     feature = F.from_json("text", "struct<id:string,geometry:string,properties:map<string,string>>")
-    features = _records(documents.elements().filter("member = 'features'")).withColumn("f", feature)
+    features = _records(documents, "features").withColumn("f", feature)
     records = features.select(SRC, "__file", "__at", F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("record"), "f.id", "f.geometry")
     names = _keys_in_order(records, "record")
     if {"_feature_id", "_geometry_json"} & set(names):

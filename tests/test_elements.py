@@ -53,6 +53,18 @@ def test_features_over_many_splits(spark, tmp_path, small_splits):
     assert [(r[0], r[1], r[2], json.loads(r[3])["coordinates"]) for r in got] == [(60 * f + k + 1, f"s{k}}}{{", str(k), [k, f]) for f in range(2) for k in range(60)]
 
 
+def test_every_mixed_array_of_a_batch_is_no_table(spark, tmp_path):
+    path = put(tmp_path, "a.json", '{"a":[1,{"x":1}],"b":[{"y":2},"2"],"c":[{"z":3}],"d":[[],{"w":4}]}')
+    assert {r["table"]: r["records"] for r in json_tables(spark, path).collect()} == {"a": 0, "b": 0, "c": 1, "d": 0}
+
+
+def test_elements_are_cut_once_and_their_texts_are_not_shuffled(spark, tmp_path):
+    found = json_scan(spark, put(tmp_path, "a.json", '{"a":[{"x":1},{"x":2}],"b":[{"x":3}]}'), "a")
+    assert rows(found) == [(1, "1"), (2, "2")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("text", ['[{"a":1}', '{"a":[{"b":"x}]}', "7"])
 def test_broken_documents_are_refused(spark, tmp_path, text):
     with pytest.raises(TableError):
