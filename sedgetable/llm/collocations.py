@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedgetable.llm.ranks import SHORT_ROWS, numbered
-from sedgetable.llm.words import SPACES, joined, pack, portions, stored, unpack, words_of
+from sedgetable.llm.words import SPACES, handed_back, joined, pack, portions, stored, unpack, words_of
 from sedgetable.scale import top_rows
 
 # Text of a block, and block cells that meet in one group.
 BLOCK_BYTES, GROUP_CELLS = 8 << 20, 1 << 20
+# Text that is coded at a time: arrays per byte and per word are that long at most.
+PORTION_BYTES = 1 << 20
 
 # Characters that end a piece; words of a piece are parted by blanks and tabs.
 ENDS = np.zeros(256, bool)
@@ -73,14 +75,16 @@ class Grid:
 
     def split(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions whose pair lies in the head, by tile; their cells; the tiles, and where each begins; positions of thin pairs."""
-        at = np.flatnonzero((state[:-1] >= 0) & (state[1:] >= 0))
+        if state.max(initial=-1) < 2**31:
+            state = state.astype(np.int32)
+        at = np.flatnonzero((state[:-1] >= 0) & (state[1:] >= 0)).astype(np.int32)
+        head = np.maximum(state[at], state[at + 1]) < self.head << self.bits
+        thin, at = at[~head], at[head]
         u, v = state[at], state[at + 1]
-        head = np.maximum(u, v) < self.head << self.bits
-        thin, at, u, v = at[~head], at[head], u[head], v[head]
-        tile = (u >> self.bits) * self.head + (v >> self.bits)
+        tile = ((u >> self.bits) * self.head + (v >> self.bits)).astype(np.min_scalar_type(self.head**2))
         order = np.argsort(tile, kind="stable")
         tiles, begin = np.unique(tile[order], return_index=True)
-        return at[order], self.cell(u, v)[order], tiles, begin, thin
+        return at[order], self.cell(u, v).astype(np.uint32)[order], tiles, begin, thin
 
     def region(self, u: np.ndarray, v: np.ndarray, regions: int) -> np.ndarray:
         """Which of ``regions`` groups each thin pair's tile is dealt to."""
@@ -110,17 +114,41 @@ TILES = "lang string, block bigint, state binary, tile bigint, m bigint, us bina
 THIN = -1
 
 
-def _coded(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Texts as one sequence of word codes, -1 between pieces; the distinct words; how often each occurs."""
+@dataclass
+class Coded:
+    """A stretch of texts: its distinct words by ascending hash, how often each occurs, and their codes in sequence, -1 between pieces."""
+
+    hashes: np.ndarray
+    names: pa.Array
+    n: np.ndarray
+    state: np.ndarray
+
+
+def _coded(texts: pa.Array) -> Coded:
     words = words_of(texts, lower=True, spaces=BETWEEN)
-    _, first, code, n = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
+    hashes, first, code, n = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
     names = [words.data[s:e].tobytes().decode() for s, e in zip(words.start[first].tolist(), words.end[first].tolist())]
-    piece = np.cumsum(ENDS[words.data])[words.start] if len(words.start) else words.start
+    piece = np.cumsum(ENDS[words.data], dtype=np.int32)[words.start]
     opens = np.zeros(len(code), np.int64)
     opens[1:] = (np.diff(piece) != 0) | (np.diff(words.text) != 0)
-    out = np.full(len(code) + opens.sum(), -1, np.int64)
+    out = np.full(len(code) + opens.sum(), -1, np.int32)
     out[np.arange(len(code)) + np.cumsum(opens)] = code
-    return out, names, n
+    return Coded(hashes, pa.array(names, pa.string()), n, out)
+
+
+def _merged(parts: list[Coded]) -> Coded:
+    """Stretches one after the other, as if they had been coded at once."""
+    if len(parts) == 1:
+        return parts[0]
+    hashes, first, place = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    n = np.zeros(len(hashes), np.int64)
+    np.add.at(n, place, np.concatenate([p.n for p in parts]))
+    out = []
+    for p, codes in zip(parts, np.split(place.astype(np.int32), np.cumsum([len(p.hashes) for p in parts[:-1]]))):
+        if len(p.state):  # code -1 takes the last entry, which stays -1
+            out += [np.full(1, -1, np.int32)] * bool(out) + [np.append(codes, np.int32(-1))[p.state]]
+    state = np.concatenate(out) if out else np.zeros(0, np.int32)
+    return Coded(hashes, pa.concat_arrays([p.names for p in parts]).take(pa.array(first)), n, state)
 
 
 def _bytes(texts: pa.LargeStringArray) -> int:
@@ -129,30 +157,40 @@ def _bytes(texts: pa.LargeStringArray) -> int:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of about ``block_bytes`` of one language: a row with the codes, and a row for each distinct word."""
+    """Blocks of about ``block_bytes`` of one language: a row with the codes, and a row for each distinct word.
+
+    Texts are coded as they come, a portion at a time, and held as codes.
+    """
     task, made = TaskContext.get().partitionId(), 0
-    held: dict[str, tuple[list[pa.Array], int]] = {}
+    held: dict[str, tuple[list[Coded], int]] = {}
 
     def flushed(lang: str) -> pa.RecordBatch:
         nonlocal made
-        state, names, n = _coded(pa.concat_arrays(held.pop(lang)[0]))
-        block, k = (task << 32) + made, len(names)
+        coded = _merged(held.pop(lang)[0])
+        block, k = (task << 32) + made, len(coded.names)
         made += 1
-        cols = [pa.array([lang] * (k + 1)), pa.array([block] * (k + 1), pa.int64()), pa.array([pack(state)] + [None] * k, pa.binary())]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([None, *names], pa.string()), pa.array([None, *range(k)], pa.int64()), pa.array([None, *n.tolist()], pa.int64())], ["lang", "block", "state", "word", "code", "n"])
+        cols = [pa.array([lang] * (k + 1)), pa.array([block] * (k + 1), pa.int64()), pa.array([pack(coded.state)] + [None] * k, pa.binary())]
+        return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(1, pa.string()), coded.names]), pa.array([None, *range(k)], pa.int64()), pa.array([None, *coded.n.tolist()], pa.int64())], ["lang", "block", "state", "word", "code", "n"])
 
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         for i, lang in enumerate(langs.dictionary.to_pylist()):
             for part in portions(batch.column(1).filter(pa.array(langs.indices.to_numpy() == i)), block_bytes):
-                texts, size = held.get(lang, ([], 0))
-                held[lang] = ([*texts, part], size + _bytes(part))
+                coded, size = held.get(lang, ([], 0))
+                held[lang] = ([*coded, *map(_coded, portions(part, PORTION_BYTES))], size + _bytes(part))
                 if held[lang][1] >= block_bytes:
                     yield flushed(lang)
         while sum(size for _, size in held.values()) > 4 * block_bytes:  # many languages at once
             yield flushed(max(held, key=lambda x: held[x][1]))
     for lang in list(held):
         yield flushed(lang)
+    handed_back()
+
+
+def _trimmed(made: pa.Table) -> pa.Table:
+    """What was made for a group, once the worker has handed back what making it took."""
+    handed_back()
+    return made
 
 
 def _emitted(grid: Grid, lang: str, block: int, state: np.ndarray) -> pa.Table:
@@ -179,7 +217,7 @@ def _from_words(grid: Grid, blocks: pa.Table, told: pa.Table) -> pa.Table:
     """A block's first state: its codes become numbers of frequent words, all others -1."""
     out = []
     for lang, block, state in zip(*(blocks[c].to_pylist() for c in ("lang", "block", "state"))):
-        codes = unpack(state, np.int64)
+        codes = unpack(state, np.int32)
         number = np.full(codes.max(initial=-1) + 2, -1)
         number[told["code"].to_numpy()] = told["index"].to_numpy()
         out.append(_emitted(grid, lang, block, number[codes]))  # code -1 takes the last entry, which stays -1
@@ -198,26 +236,30 @@ def _looked_up(u: np.ndarray, v: np.ndarray, known_u: np.ndarray, known_v: np.nd
     return np.where(known[at] == asked, index[at], -1)
 
 
+def _after(grid: Grid, state: np.ndarray, answers: dict[int, list[tuple[bytes, bytes, bytes]]]) -> np.ndarray:
+    """The number of the frequent pair at each position, else -1."""
+    at, cell, tiles, begin, thin = grid.split(state)
+    after, number = np.full(len(state), -1), np.full(grid.cells, -1)
+    for tile, lo, hi in zip(tiles.tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
+        own = [(unpack(cells, np.uint32), unpack(ids, np.int64)) for cells, _, ids in answers.get(tile, [])]
+        for cells, ids in own:
+            number[cells] = ids
+        after[at[lo:hi]] = number[cell[lo:hi]]
+        for cells, _ in own:
+            number[cells] = -1
+    known = [np.concatenate([np.zeros(0, np.int64), *[unpack(x[k], np.int64) for x in answers.get(THIN, [])]]) for k in range(3)]
+    after[thin] = _looked_up(state[thin], state[thin + 1], *known)
+    return after
+
+
 def _from_pairs(grid: Grid, blocks: pa.Table, told: pa.Table) -> pa.Table:
     """A block's next state: the number of the frequent pair at each position."""
     answers: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for tile, *blobs in zip(*(told[c].to_pylist() for c in ("tile", "us", "vs", "ids"))):
         answers.setdefault(tile, []).append(blobs)
-    thin_known = [np.concatenate([np.zeros(0, np.int64), *[unpack(x[k], np.int64) for x in answers.get(THIN, [])]]) for k in range(3)]
-    out, number = [], np.full(grid.cells, -1)
+    out = []
     for lang, block, blob in zip(*(blocks[c].to_pylist() for c in ("lang", "block", "state"))):
-        state = unpack(blob, np.int64)
-        at, cell, tiles, begin, thin = grid.split(state)
-        after = np.full(len(state), -1)
-        for tile, lo, hi in zip(tiles.tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
-            own = [(unpack(cells, np.uint32), unpack(ids, np.int64)) for cells, _, ids in answers.get(tile, [])]
-            for cells, ids in own:
-                number[cells] = ids
-            after[at[lo:hi]] = number[cell[lo:hi]]
-            for cells, _ in own:
-                number[cells] = -1
-        after[thin] = _looked_up(state[thin], state[thin + 1], *thin_known)
-        out.append(_emitted(grid, lang, block, after))
+        out.append(_emitted(grid, lang, block, _after(grid, unpack(blob, np.int64), answers)))
     return _all(out, grid)
 
 
@@ -235,6 +277,7 @@ def _ranges(grid: Grid, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             parts = [[pack(x) for x in np.split(a[order], begin[1:])] if a is not None else [None] * len(some) for a in (u, v, n)]
             rows = [[lang.as_py()] * len(some), [block.as_py()] * len(some), [tile.as_py()] * len(some), some, *parts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
+    handed_back()
 
 
 def _by_tile(grid: Grid, tiles: DataFrame, group_cells: int) -> DataFrame:
@@ -274,7 +317,7 @@ def _frequent(grid: Grid, tiles: DataFrame, least: int) -> DataFrame:
         k = int(some.sum())
         return pa.table({"lang": pa.array([lang] * k, pa.string()), "tile": pa.array([tile] * k, pa.int64()), "sub": pa.array([sub] * k, pa.int64()), "u": u[some], "v": v[some], "f": f[some]})
 
-    return tiles.groupBy(*GROUP).applyInArrow(merge, "lang string, tile bigint, sub bigint, u bigint, v bigint, f bigint")
+    return tiles.groupBy(*GROUP).applyInArrow(lambda table: _trimmed(merge(table)), "lang string, tile bigint, sub bigint, u bigint, v bigint, f bigint")
 
 
 def _told(grid: Grid, tiles: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -307,7 +350,7 @@ def _told(grid: Grid, tiles: DataFrame, ranked: DataFrame) -> DataFrame:
 
     asked = tiles.select(*[F.col(c).alias(c) for c in GROUP], "block", "us", "vs", "counts")
     known = ranked.select(*GROUP, "u", "v", "index")
-    return asked.groupBy(*GROUP).cogroup(known.groupBy(*GROUP)).applyInArrow(answer, "block bigint, tile bigint, us binary, vs binary, ids binary")
+    return asked.groupBy(*GROUP).cogroup(known.groupBy(*GROUP)).applyInArrow(lambda asked, known: _trimmed(answer(asked, known)), "block bigint, tile bigint, us binary, vs binary, ids binary")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -333,7 +376,7 @@ def phrases(docs: DataFrame, text: str = "text", group: str = "lang", least: int
     level = numbered(common, ["lang"], [F.desc("f"), F.col("word")])
     told = words.join(level, ["lang", "word"]).select(F.col("block").alias("block"), "code", "index")
     states = coded.filter("state is not null").select("lang", "block", "state")
-    step = lambda blocks, told: _from_words(grid, blocks, told)
+    step = lambda blocks, told: _trimmed(_from_words(grid, blocks, told))
     levels = [level.select("lang", "index", F.col("word").alias("phrase"), "f")]
     for size in range(2, longest + 1):
         made = stored(states.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(step, TILES), "states")
@@ -342,7 +385,7 @@ def phrases(docs: DataFrame, text: str = "text", group: str = "lang", least: int
         levels.append(level.select("lang", "index", "u", "v", "f"))
         if size < longest:
             told, states = _told(grid, tiles, level), made.filter("state is not null").select("lang", "block", "state")
-            step = lambda blocks, told: _from_pairs(grid, blocks, told)
+            step = lambda blocks, told: _trimmed(_from_pairs(grid, blocks, told))
     return _cut(levels, totals, percent)
 
 

@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sedgetable.llm import collocations
@@ -75,9 +79,29 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_numbers_beyond_32_bits():
-    import numpy as np
-
     u, v = np.array([2**40, 3, 2**40, 3]), np.array([1, 2**33, 1, 2])
     known, first, n = collocations.summed(collocations.pair_keys(u, v))
     assert len(known) == 3 and sorted(n.tolist()) == [1, 1, 2]
     assert collocations._looked_up(u, v, u[:2], v[:2], np.array([7, 8])).tolist() == [7, 8, 7, -1]
+
+
+def test_blocks_are_the_same_by_portions():
+    texts = pa.array([text for _, text in corpus()] + ["", None, " .,"], pa.large_string()).fill_null("")
+    whole = collocations._coded(texts)
+    for size in (1, 7, len(texts)):
+        parts = collocations._merged([collocations._coded(texts.slice(at, size)) for at in range(0, len(texts), size)])
+        assert all(np.array_equal(getattr(parts, c), getattr(whole, c)) for c in ("hashes", "n", "state"))
+        assert parts.names == whole.names
+
+
+def test_a_block_takes_a_few_times_its_text(monkeypatch):
+    """Texts were held until a block was full, then coded at once: twenty-two times its bytes here, now three."""
+    monkeypatch.setattr(collocations.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rnd = random.Random(3)
+    text = " ".join(f"w{rnd.randrange(3000)}" for _ in range(1000))
+    batch = pa.record_batch([pa.array(["en"] * 1500), pa.array([text] * 1500)], ["lang", "text"])
+    tracemalloc.start()
+    made = sum(b.num_rows for b in collocations._blocks(iter([batch]), 8 << 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 0 and peak < 6 * (8 << 20), peak
